@@ -68,3 +68,14 @@ def normal_bool_text(col: Column) -> Column:
 def segment(code: Column, prefixes: Sequence[str]) -> Column:
     """The first listed prefix the code starts with, else null."""
     return F.coalesce(*[F.when(code.startswith(p), F.lit(p)) for p in prefixes])
+
+
+def round_to(x: Column | str, digits: int) -> Column:
+    """Half-up rounding of the scaled double, i.e. round(x * 10^n) / 10^n.
+
+    Rounding the scaled value rather than its decimal text keeps prices such as 1.005 where other engines
+    and the stored tables put them.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    scale = float(10**digits)
+    return F.round(x * scale) / scale

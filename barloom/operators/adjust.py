@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.windows import Key, Steps, apply_steps, before, lagged, ratio, whole
+from barloom.functions.scalars import round_to
+from barloom.operators.windows import Key, Steps, apply_steps, before, lagged, ordered, ratio
 
 EPS = 1e-4
 
@@ -34,16 +35,18 @@ def back_adjust(bars: DataFrame, inclusive: bool = True, key: Key = "entity", ts
     ratio as well (the behaviour to match); ``inclusive=False`` is the textbook form that scales earlier
     rows only.  Rows with a missing price or volume still carry their ratio but are dropped from the output.
     """
+    # Ordered over the whole entity: the product must multiply in the order of the running one.
+    every = ordered(key, ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     effective = F.when(F.abs(F.col("adj_ratio") - 1) > EPS, F.col("adj_ratio")).otherwise(F.lit(1.0))
     so_far = F.coalesce(F.product("_eff").over(before(key, ts)), F.lit(1.0))
     if not inclusive:
         so_far = so_far * F.col("_eff")
     df = apply_steps(
         add_adj_ratio(bars, key, ts),
-        [{"_eff": effective}, {"adj_factor": ratio(F.product("_eff").over(whole(key)), so_far)}],
+        [{"_eff": effective}, {"adj_factor": ratio(F.product("_eff").over(every), so_far)}],
     )
     df = df.dropna(subset=["open", "high", "low", "close", "volume"])
-    return df.withColumns({c: F.round(F.col(c) * F.col("adj_factor"), 2) for c in ("open", "high", "low", "close")})
+    return df.withColumns({c: round_to(F.col(c) * F.col("adj_factor"), 2) for c in ("open", "high", "low", "close")})
 
 
 def needs_adjust(bars: DataFrame, as_of: Column, days: int = 7, key: Key = "entity", ts: str = "date") -> DataFrame:
@@ -66,7 +69,7 @@ def testing_rows(bars: DataFrame, factor: DataFrame, keys=("entity", "date")) ->
     price, big, small = "decimal(10,2)", "decimal(20,4)", "decimal(10,4)"
     return bars.join(factor, list(keys), "left").select(
         *keys,
-        *[F.col(c).cast(price).alias(c) for c in ("open", "high", "low", "close")],
+        *[round_to(c, 2).cast(price).alias(c) for c in ("open", "high", "low", "close")],
         F.col("volume").cast("decimal(20,2)").alias("volume"),
         F.col("amount").cast(big).alias("amount"),
         F.coalesce(F.col("adj_factor"), F.lit(1.0)).cast(small).alias("adj_factor"),

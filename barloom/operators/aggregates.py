@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import round_to
 from barloom.operators.ranking import average_ranks, global_row_number
 from barloom.operators.windows import names, ratio
 
@@ -20,8 +21,8 @@ def sector_bars(bars: DataFrame, dim: DataFrame, group: str = "industry", key: s
         .where(c(group).isNotNull())
         .groupBy(group, ts)
         .agg(
-            *[F.round(F.avg(x), 2).alias(x) for x in ("open", "high", "low", "close")],
-            *[F.round(F.sum(x), 2).alias(x) for x in ("volume", "amount")],
+            *[round_to(F.avg(x), 2).alias(x) for x in ("open", "high", "low", "close")],
+            *[round_to(F.sum(x), 2).alias(x) for x in ("volume", "amount")],
         )
     )
 
@@ -32,8 +33,8 @@ def segment_bars(bars: DataFrame, code: Column, width: int = 3, ts: str = "date"
         bars.withColumn("segment", F.substring(code, 1, width))
         .groupBy("segment", ts)
         .agg(
-            *[F.round(F.avg(x), 2).alias(x) for x in ("open", "high", "low", "close")],
-            *[F.round(F.sum(x), 2).alias(x) for x in ("volume", "amount")],
+            *[round_to(F.avg(x), 2).alias(x) for x in ("open", "high", "low", "close")],
+            *[round_to(F.sum(x), 2).alias(x) for x in ("volume", "amount")],
         )
     )
 

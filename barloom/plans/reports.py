@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import round_to
 from barloom.operators.aggregates import top_n
 from barloom.operators.universe import latest_slice
 from barloom.operators.windows import latest_rows, preceding, ratio
@@ -49,8 +50,8 @@ def top_inflow(flows: DataFrame, as_of: Column, limit: int = 20, unit: float = 1
     )
     best = _top(agg.where(c("_n") >= min_days), limit, c("net_5d").desc_nulls_last(), "code")
     return best.select(
-        "code", "name", F.round(c("net_5d") / unit, 2).alias("net_5d"),
-        F.round("_sum", 2).alias("pct_sum_5d"), F.round("_avg", 2).alias("pct_avg_5d"),
+        "code", "name", round_to(c("net_5d") / unit, 2).alias("net_5d"),
+        round_to("_sum", 2).alias("pct_sum_5d"), round_to("_avg", 2).alias("pct_avg_5d"),
     )
 
 
@@ -63,8 +64,8 @@ def accelerating_inflow(flows: DataFrame, as_of: Column, limit: int = 20, unit:
     gain = c("last") - F.coalesce("prev", F.lit(0.0))
     best = _top(agg.where((c("last") > 0) & (gain > 0)), limit, gain.desc(), "code")
     return best.select(
-        "code", "name", F.round(c("last") / unit, 2).alias("net_last"), F.round(c("prev") / unit, 2).alias("net_prev"),
-        F.round(gain / unit, 2).alias("acceleration"),
+        "code", "name", round_to(c("last") / unit, 2).alias("net_last"), round_to(c("prev") / unit, 2).alias("net_prev"),
+        round_to(gain / unit, 2).alias("acceleration"),
     )
 
 
@@ -73,8 +74,8 @@ def strong_day(flows: DataFrame, limit: int = 20, unit: float = 1e8, min_pct: fl
     rows = latest_slice(flows).where((c("pct_change") > min_pct) & (c("net_amount") > 0))
     best = _top(rows, limit, c("net_amount").desc(), c("pct_change").desc(), "code")
     return best.select(
-        "code", "name", "lead_stock", "close_price", F.round("pct_change", 2).alias("pct_change"),
-        F.round(c("net_amount") / unit, 2).alias("net_amount"),
+        "code", "name", "lead_stock", "close_price", round_to("pct_change", 2).alias("pct_change"),
+        round_to(c("net_amount") / unit, 2).alias("net_amount"),
     )
 
 
@@ -83,20 +84,20 @@ def consistent_inflow(flows: DataFrame, as_of: Column, limit: int = 20, unit: fl
         F.count(F.lit(1)).alias("days"), F.count_if(c("net_amount") > 0).alias("pos_days"), F.sum("net_amount").alias("_net")
     )
     best = _top(agg.where((c("days") >= min_days) & (c("pos_days") >= min_days)), limit, c("_net").desc(), "code")
-    return best.select("code", "name", "pos_days", "days", F.round(c("_net") / unit, 2).alias("net_sum"))
+    return best.select("code", "name", "pos_days", "days", round_to(c("_net") / unit, 2).alias("net_sum"))
 
 
 def industry_inflow(flows: DataFrame, limit: int = 20, unit: float = 1e8) -> DataFrame:
     best = _top(latest_slice(flows), limit, c("net_amount").desc_nulls_last(), "code")
     return best.select(
-        "code", "name", *[F.round(c(n) / unit, 2).alias(n) for n in ("net_amount", "net_buy_amount", "net_sell_amount")]
+        "code", "name", *[round_to(c(n) / unit, 2).alias(n) for n in ("net_amount", "net_buy_amount", "net_sell_amount")]
     )
 
 
 def entity_inflow(flows: DataFrame, limit: int = 30, unit: float = 1e8, vol_unit: float = 1e6) -> DataFrame:
     rows = latest_slice(flows).where(c("net_mf_amount").isNotNull())
     return _top(rows, limit, c("net_mf_amount").desc(), "entity").select(
-        "entity", F.round(c("net_mf_amount") / unit, 2).alias("net_amount"), F.round(c("net_mf_vol") / vol_unit, 2).alias("net_vol")
+        "entity", round_to(c("net_mf_amount") / unit, 2).alias("net_amount"), round_to(c("net_mf_vol") / vol_unit, 2).alias("net_vol")
     )
 
 
@@ -158,7 +159,7 @@ def reversal_candidates(feats: DataFrame, limit: int = 50, min_score: float = 20
     )
     scored = rows.withColumn("_score", reversal_score()).where(c("_score") >= min_score)
     pattern = F.when(c("is_hammer"), "HAMMER").when(c("is_doji"), "DOJI").when(c("is_shooting_star"), "SHOOTING_STAR").otherwise("")
-    r2 = lambda n, a: F.round(n, 2).alias(a)
+    r2 = lambda n, a: round_to(n, 2).alias(a)
     return _top(scored, limit, c("_score").desc(), "entity").select(
         "entity", "industry", "date", r2("_score", "score"), r2("rsi_14", "rsi"), r2("kdj_j", "kdj_j"),
         r2("bb_percent_b", "percent_b"), c("consecutive_days").alias("streak"), r2("price_position_52w", "pos_52w"),
@@ -183,9 +184,9 @@ def sector_momentum(sectors: DataFrame, as_of: Column, limit: int = 20, unit: fl
     )
     best = _top(agg.where(c("_n") == days), limit, c("_sum").desc(), "code")
     return best.select(
-        "code", "name", F.round("_avg", 2).alias("avg_pct_change"), F.round("_sum", 2).alias("total_return"),
-        F.round("_up", 0).alias("avg_up"), F.round("_down", 0).alias("avg_down"), F.round("_turn", 2).alias("avg_turnover"),
-        F.round(c("_mv") / unit, 2).alias("latest_mv"),
+        "code", "name", round_to("_avg", 2).alias("avg_pct_change"), round_to("_sum", 2).alias("total_return"),
+        round_to("_up", 0).alias("avg_up"), round_to("_down", 0).alias("avg_down"), round_to("_turn", 2).alias("avg_turnover"),
+        round_to(c("_mv") / unit, 2).alias("latest_mv"),
     )
 
 
@@ -201,8 +202,8 @@ def sector_acceleration(sectors: DataFrame, as_of: Column, limit: int = 20, min_
     gain = c("_now") - c("_before")
     best = _top(agg.where((gain > 0) & (c("_now") > 0) & (c("_net") > min_net_up)), limit, gain.desc(), "code")
     return best.select(
-        "code", "name", F.round("_last", 2).alias("today_pct"), F.round("_now", 2).alias("avg_recent"),
-        F.round("_before", 2).alias("avg_prev"), F.round(gain, 2).alias("acceleration"), F.round("_net", 0).alias("net_up"),
+        "code", "name", round_to("_last", 2).alias("today_pct"), round_to("_now", 2).alias("avg_recent"),
+        round_to("_before", 2).alias("avg_prev"), round_to(gain, 2).alias("acceleration"), round_to("_net", 0).alias("net_up"),
     )
 
 
@@ -214,7 +215,7 @@ def strong_leaders(sectors: DataFrame, limit: int = 20, min_leading: float = 3.0
     share = ratio(c("up_num") * 100.0, (c("up_num") + c("down_num")).cast("double"))
     return _top(rows, limit, c("leading_pct").desc(), c("pct_change").desc(), "code").select(
         "code", "name", "pct_change", "leading_code", "leading_pct", "up_num", "down_num",
-        F.round(share, 1).alias("pct_up"), "turnover_rate",
+        round_to(share, 1).alias("pct_up"), "turnover_rate",
     )
 
 
@@ -223,7 +224,8 @@ def most_rising(sectors: DataFrame, limit: int = 20) -> DataFrame:
     share = ratio(c("up_num") * 100.0, (c("up_num") + c("down_num")).cast("double"))
     rows = latest_slice(sectors).where((c("pct_change") > 0) & (c("up_num") > c("down_num")))
     return _top(rows, limit, c("up_num").desc(), c("pct_change").desc(), "code").select(
-        "code", "name", F.round("pct_change", 2).alias("pct_change"), "up_num", "down_num", F.round(share, 1).alias("pct_up")
+        "code", "name", round_to("pct_change", 2).alias("pct_change"), "up_num", "down_num", "limit_up_num",
+        round_to(share, 1).alias("pct_up"), "turnover_rate", "vol_ratio",
     )
 
 
@@ -235,8 +237,8 @@ def volume_breakout(sectors: DataFrame, as_of: Column, limit: int = 20, factor:
     )
     times = ratio(c("turnover_rate"), c("_mean"))
     return _top(rows, limit, times.desc(), c("pct_change").desc(), "code").select(
-        "code", "name", F.round("pct_change", 2).alias("pct_change"), F.round("turnover_rate", 2).alias("today_turnover"),
-        F.round("_mean", 2).alias("avg_turnover_20d"), F.round(times, 2).alias("turnover_vs_avg"),
+        "code", "name", round_to("pct_change", 2).alias("pct_change"), round_to("turnover_rate", 2).alias("today_turnover"),
+        round_to("_mean", 2).alias("avg_turnover_20d"), round_to(times, 2).alias("turnover_vs_avg"),
     )
 
 
@@ -250,8 +252,8 @@ def consistent_winners(sectors: DataFrame, as_of: Column, limit: int = 20, min_d
     rate = c("positive_days") / c("trading_days")
     best = _top(agg.where((c("trading_days") >= min_days) & (rate >= share)), limit, rate.desc(), c("_sum").desc(), "code")
     return best.select(
-        "code", "name", "trading_days", "positive_days", F.round(rate * 100, 1).alias("win_rate_pct"),
-        F.round("_avg", 2).alias("avg_daily_change"), F.round("_sum", 2).alias("cumulative_return"),
+        "code", "name", "trading_days", "positive_days", round_to(rate * 100, 1).alias("win_rate_pct"),
+        round_to("_avg", 2).alias("avg_daily_change"), round_to("_sum", 2).alias("cumulative_return"),
     )
 
 
@@ -276,9 +278,9 @@ def sector_composite(sectors: DataFrame, as_of: Column, weights: dict = WEIGHTS_
         score = score + F.coalesce(c(f"_{k}").cast("double"), F.lit(float(missing))) * w
     best = _top(agg.where((c("_sum") > 0) & (c("_net") > 0)).withColumn("_score", score), limit, c("_score").desc(), "code")
     return best.select(
-        "code", "name", F.round("_last", 2).alias("today_pct"), F.round("_sum", 2).alias("return_5d"),
-        F.round("_turn", 2).alias("avg_turnover"), F.round("_net", 0).alias("avg_net_up"),
-        *[F.round(f"_{k}", 2).alias(k) for k in extra], F.round("_score", 2).alias("composite_score"),
+        "code", "name", round_to("_last", 2).alias("today_pct"), round_to("_sum", 2).alias("return_5d"),
+        round_to("_turn", 2).alias("avg_turnover"), round_to("_net", 0).alias("avg_net_up"),
+        *[round_to(f"_{k}", 2).alias(k) for k in extra], round_to("_score", 2).alias("composite_score"),
     )
 
 
@@ -291,8 +293,8 @@ def rising_constituents(
     mine = members.join(best, "code", "left_semi")
     last = top_n(bars.join(mine.select("entity"), "entity", "left_semi"), "entity", [c("date").desc()], 1)
     return mine.join(last, "entity").where(c("pct_chg") > 0).select(
-        "code", "entity", "name", F.round("pct_chg", 2).alias("pct_change"), F.round("close", 2).alias("close_price"),
-        F.round(c("volume") / vol_unit, 6).alias("vol_millions"),
+        "code", "entity", "name", round_to("pct_chg", 2).alias("pct_change"), round_to("close", 2).alias("close_price"),
+        round_to(c("volume") / vol_unit, 6).alias("vol_millions"),
     )
 
 
@@ -303,11 +305,11 @@ def market_sentiment(feats: DataFrame, date: Column) -> DataFrame:
     """Means over all entities on one date."""
     return feats.where(c("date") == date).agg(
         F.count(F.lit(1)).alias("stocks"),
-        F.round(F.avg("close_pct"), 4).alias("avg_close"),
-        F.round(F.avg("price_momentum_5"), 4).alias("avg_momentum"),
-        F.round(F.avg("rsi_14"), 2).alias("avg_rsi"),
-        F.round(F.avg("volume_ratio"), 4).alias("avg_vol_ratio"),
-        F.round(F.avg("index_csi300_pct_chg"), 4).alias("csi300_chg"),
+        round_to(F.avg("close_pct"), 4).alias("avg_close"),
+        round_to(F.avg("price_momentum_5"), 4).alias("avg_momentum"),
+        round_to(F.avg("rsi_14"), 2).alias("avg_rsi"),
+        round_to(F.avg("volume_ratio"), 4).alias("avg_vol_ratio"),
+        round_to(F.avg("index_csi300_pct_chg"), 4).alias("csi300_chg"),
     )
 
 
@@ -315,8 +317,8 @@ def momentum_leaders(feats: DataFrame, date: Column, bullish: bool = True, limit
     order = c("price_momentum_5").desc() if bullish else c("price_momentum_5").asc()
     rows = feats.where((c("date") == date) & c("price_momentum_5").isNotNull())
     return _top(rows, limit, order, "entity").select(
-        "entity", F.round("close_pct", 2).alias("close_pct"), F.round("price_momentum_5", 4).alias("momentum_5d"),
-        F.round("volume_ratio", 2).alias("vol_ratio"), F.round("ema_5", 2).alias("ema_5"), F.round("rsi_14", 1).alias("rsi"),
+        "entity", round_to("close_pct", 2).alias("close_pct"), round_to("price_momentum_5", 4).alias("momentum_5d"),
+        round_to("volume_ratio", 2).alias("vol_ratio"), round_to("ema_5", 2).alias("ema_5"), round_to("rsi_14", 1).alias("rsi"),
     )
 
 

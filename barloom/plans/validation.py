@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import round_to
 from barloom.operators.aggregates import best_and_worst
 from barloom.operators.windows import ordered, ratio
 
@@ -116,7 +117,7 @@ def directional_accuracy(df: DataFrame, pred: str, actual: str) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(agree).alias("correct"),
-        F.round(ratio(F.count_if(agree) * 100.0, F.count(F.lit(1))), 2).alias("accuracy_pct"),
+        round_to(ratio(F.count_if(agree) * 100.0, F.count(F.lit(1))), 2).alias("accuracy_pct"),
     )
 
 
