@@ -1 +1,303 @@
-"""Registered queries."""
+"""Selection, splits, samples, sequences and vectors."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from barloom.catalog.base import BY, add_view, over, query
+from barloom.catalog.features import LABELS
+from barloom.functions import vectors as vec
+from barloom.operators import sequences as seq
+from barloom.operators import universe as un
+from barloom.operators.price import add_labels, add_lag_returns, add_momentum, add_returns
+from barloom.operators.quality import split_audit
+from barloom.plans.scoring import latest_vectors
+from barloom.sources.tables import day_number
+
+c = F.col
+W = over()
+KEYS = ["entity", "date"]
+
+# ------------------------------------------------------------------------------------------ selection
+
+add_view(
+    "able", "bars dim",
+    """SELECT d.entity, d.code FROM dim d JOIN (SELECT entity, last(close ORDER BY date) AS last_close FROM bars GROUP BY entity) l ON l.entity = d.entity
+ WHERE last_close >= 2 AND NOT (upper(trim(name)) LIKE 'ST%' OR upper(trim(name)) LIKE '*ST%')""",
+)
+_LIQUID = """SELECT entity FROM (SELECT entity, ntile(100) OVER (ORDER BY a DESC, entity) AS q FROM (
+ SELECT entity, avg(amount) AS a FROM bars WHERE date >= DATE '2001-01-01' AND entity IN (SELECT entity FROM able) GROUP BY entity)) WHERE q <= 30"""
+_HALF = """SELECT entity FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5(CAST(entity AS VARCHAR) || ':42'), entity) AS rn, count(*) OVER (PARTITION BY s) AS n FROM (
+ SELECT entity, CASE WHEN code LIKE '60%' THEN '60' WHEN code LIKE '00%' THEN '00' END AS s FROM able) WHERE s IS NOT NULL) WHERE rn <= ceil(n / 2)"""
+_WHOLE = "SELECT entity FROM able WHERE code LIKE '30%' OR code LIKE '68%' OR code LIKE '9%'"
+
+
+def _selected(t, **kw):
+    return un.select_liquid(t.bars(), t.dim(), F.lit("2001-01-01").cast("date"), **kw)
+
+
+@query("liquid_universe", "entity:i", "SEL-01 SMP-03 SET-01", "able", f"{_LIQUID} UNION {_HALF} UNION {_WHOLE}")
+def _(t):
+    return _selected(t)
+
+
+@query("liquid_universe_floor", "entity:i", "SEL-01", "able",
+       f"""SELECT entity FROM ({_LIQUID}) WHERE entity IN (SELECT entity FROM bars WHERE date >= DATE '2001-10-01' GROUP BY entity HAVING sum(amount) >= 150000)
+ UNION {_HALF} UNION {_WHOLE}""")
+def _(t):
+    return _selected(t, floor=150000.0, floor_since=F.lit("2001-10-01").cast("date"))
+
+
+@query("exclusion_counts", "candidates:i by_price:i by_name:i by_both:i short_history:i", "SEL-02", "bars dim",
+       """SELECT count_if(listed AND present) AS candidates, count_if(listed AND present AND priced) AS by_price, count_if(old AND present AND named) AS by_name,
+ count_if(old AND present AND named AND priced) AS by_both, count_if(listed AND first_date > DATE '2000-02-01' - INTERVAL 5 YEAR) AS short_history FROM (
+ SELECT *, list_date <= DATE '2000-02-01' AS listed, list_date <= DATE '2000-02-01' - INTERVAL 5 YEAR AS old, last_close < 1500 AS priced,
+  upper(trim(name)) LIKE 'ST%' OR upper(trim(name)) LIKE '*ST%' AS named FROM dim JOIN (
+  SELECT entity, last(close ORDER BY date) AS last_close, min(date) AS first_date, count_if(date >= DATE '2000-02-01') > 0 AS present FROM bars GROUP BY entity) USING (entity))""")
+def _(t):
+    return un.exclusion_counts(t.bars(), t.dim(), F.lit("2000-02-01").cast("date"), min_close=1500.0)
+
+
+@query("rows_after_cutoff", "all_rows:i selected_rows:i", "SEL-02 SNK-02", "able",
+       f"""SELECT count(*) AS all_rows, count_if(entity IN ({_LIQUID} UNION {_HALF} UNION {_WHOLE})) AS selected_rows FROM bars WHERE date > DATE '2001-01-01'""")
+def _(t):
+    from barloom.operators.joins import with_scalars
+    from barloom.sources.panel import held_out
+
+    cut = F.lit("2001-01-01").cast("date")
+    every = held_out(t.bars(), cut).agg(F.count(F.lit(1)).alias("all_rows"))
+    return with_scalars(every, held_out(t.bars(), cut, _selected(t)).agg(F.count(F.lit(1)).alias("selected_rows")))
+
+
+@query("prefix_coverage", "prefix:s entities:i", "SEL-03", "dim",
+       """SELECT coalesce(CASE WHEN code LIKE '60%' THEN '60' WHEN code LIKE '00%' THEN '00' WHEN code LIKE '30%' THEN '30' WHEN code LIKE '68%' THEN '68' WHEN code LIKE '9%' THEN '9' END, 'other') AS prefix,
+ count(*) AS entities FROM dim GROUP BY 1""")
+def _(t):
+    return un.prefix_coverage(t.dim()).withColumn("prefix", F.coalesce("prefix", F.lit("other")))
+
+
+# --------------------------------------------------------------------------------------------- splits
+
+
+@query("split_cutoff", "entity:i date:d split:s", "SPL-01", "bars", "SELECT entity, date, CASE WHEN date <= DATE '2000-06-30' THEN 'train' ELSE 'test' END AS split FROM bars")
+def _(t):
+    return un.split_by_cutoff(t.bars(), F.lit("2000-06-30").cast("date"))
+
+
+_RANGES = {"train": ("1995-01-01", "1998-12-31"), "val": ("1999-01-01", "1999-12-31"), "test": ("2000-02-01", "2000-12-31")}
+
+
+@query("split_ranges", "entity:i date:d split:s", "SPL-02", "bars",
+       """SELECT * FROM (SELECT entity, date, CASE WHEN date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' THEN 'train' WHEN date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' THEN 'val'
+ WHEN date BETWEEN DATE '2000-02-01' AND DATE '2000-12-31' THEN 'test' END AS split FROM bars) WHERE split IS NOT NULL""")
+def _(t):
+    return un.split_by_ranges(t.bars(), _RANGES)
+
+
+_WINDOWS = [("1998-02-01", "1998-09-30"), ("1999-01-01", "1999-08-31")]
+SPLIT_SQL = """SELECT *, CASE WHEN date <= DATE '1997-12-31' THEN 'train' WHEN date BETWEEN DATE '1998-02-01' AND DATE '1998-09-30' THEN 'val_1'
+ WHEN date BETWEEN DATE '1999-01-01' AND DATE '1999-08-31' THEN 'val_2' WHEN date > DATE '1999-08-31' THEN 'test' ELSE 'gap' END AS split FROM bars"""
+
+
+def split_rows(t):
+    return un.split_by_windows(t.bars(), "1997-12-31", _WINDOWS)
+
+
+SPLITS = ["train", "val_1", "val_2", "test"]
+
+
+@query("split_windows", "entity:i date:d split:s", "SPL-03", "bars", SPLIT_SQL)
+def _(t):
+    return split_rows(t)
+
+
+@query("split_audit", "entity:i train:i val_1:i val_2:i test:i total:i full_coverage:b", "SPL-03 DQ-06", "bars",
+       f"""SELECT entity, count_if(split = 'train') AS train, count_if(split = 'val_1') AS val_1, count_if(split = 'val_2') AS val_2, count_if(split = 'test') AS test, count(*) AS total,
+ count(DISTINCT CASE WHEN split <> 'gap' THEN split END) = 4 AS full_coverage FROM ({SPLIT_SQL}) GROUP BY entity""")
+def _(t):
+    return split_audit(split_rows(t), SPLITS)
+
+
+@query("split_proportional", "entity:i date:d split:s", "SPL-04", "ubars",
+       f"""SELECT entity, date, CASE WHEN n < 3 OR rn <= n - v - x THEN 'train' WHEN rn <= n - x THEN 'val' ELSE 'test' END AS split FROM (
+ SELECT *, round(n * 0.2) AS v, round(n * 0.1) AS x FROM (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY entity) AS n FROM ubars))""")
+def _(t):
+    return un.split_proportional(t.user_bars())
+
+
+@query("split_schedule", "step:i split:s n_rows:i", "SPL-05", "bars",
+       """WITH s AS (SELECT i AS step, DATE '2001-04-30' - 7 * 26 + 7 * i AS e FROM range(26) r(i)),
+ w AS (SELECT step, CAST(e - INTERVAL 36 MONTH AS DATE) AS a, CAST(e - INTERVAL 6 MONTH AS DATE) AS v, e FROM s)
+ SELECT step, split, count(*) AS n_rows FROM (SELECT step, CASE WHEN date >= a AND date < v THEN 'train' WHEN date >= v AND date <= e THEN 'val'
+  WHEN date > DATE '2001-04-30' AND date <= DATE '2001-10-31' THEN 'holdout' END AS split FROM bars CROSS JOIN w) WHERE split IS NOT NULL GROUP BY step, split""")
+def _(t):
+    plan = un.split_schedule(date(2001, 10, 31))
+    return un.assign_schedule(t.bars(), plan).withColumnRenamed("rows", "n_rows")
+
+
+# -------------------------------------------------------------------------------------------- samples
+
+
+@query("seeded_sample", "entity:i date:d close:f4", "SMP-01", "bars", "SELECT * FROM bars ORDER BY md5(CAST(entity AS VARCHAR) || ':' || CAST(date AS VARCHAR) || ':42'), entity, date LIMIT 500")
+def _(t):
+    return un.sample_n(t.bars(), 500)
+
+
+@query("longest_entities", "entity:i date:d close:f4", "SMP-02", "bars",
+       "SELECT * FROM bars WHERE entity IN (SELECT entity FROM bars GROUP BY entity HAVING count(*) >= 61 ORDER BY count(*) DESC, entity LIMIT 20)")
+def _(t):
+    return un.top_entities(t.bars(), 20, 61)
+
+
+@query("stratified_half", "entity:i industry:s", "SMP-03", "dim",
+       """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY md5(CAST(entity AS VARCHAR) || ':42'), entity) AS rn, count(*) OVER (PARTITION BY industry) AS n FROM dim) WHERE rn <= ceil(n / 2)""")
+def _(t):
+    return un.stratified_half(t.dim(), ["industry"])
+
+
+@query("permuted_labels", "entity:i date:d next_day_return", "SMP-04", "bars",
+       f"""WITH l AS (SELECT entity, date, next_day_return FROM ({LABELS})),
+ a AS (SELECT entity, date, row_number() OVER (ORDER BY entity, date) AS i FROM l),
+ b AS (SELECT next_day_return, row_number() OVER (ORDER BY md5(CAST(entity AS VARCHAR) || ':' || CAST(date AS VARCHAR) || ':42'), entity, date) AS i FROM l)
+ SELECT entity, date, next_day_return FROM a JOIN b ON a.i = b.i""")
+def _(t):
+    return un.permute_column(add_labels(t.bars()).select(*KEYS, "next_day_return"), "next_day_return")
+
+
+# ------------------------------------------------------------------------------------------ sequences
+
+_SEQ = f"list(coalesce(r, 0)) OVER ({BY} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"
+_LAG1 = f"SELECT *, close / lag(close) {W} - 1 AS r FROM bars"
+
+
+def _returns(t):
+    return add_lag_returns(t.bars(), (1,))
+
+
+def _digest(df, col: str = "seq"):
+    """Length, ends and a position-weighted sum of the first column of a sequence."""
+    first = F.transform(c(col), lambda row: row[0])
+    weighted = F.aggregate(
+        F.zip_with(first, F.sequence(F.lit(1), F.size(first)), lambda v, i: v * i), F.lit(0.0), lambda a, b: a + b
+    )
+    return df.withColumns({"n": F.size(col), "head": c(col)[0][0], "tail": F.element_at(first, -1), "weighted": weighted})
+
+
+_DIGEST = "len(s) AS n, s[1] AS head, s[-1] AS tail, list_sum(list_transform(s, lambda v, i: v * i)) AS weighted"
+
+
+@query("sequences", "entity:i date:d n:i head tail weighted", "SEQ-01", "bars", f"SELECT entity, date, {_DIGEST} FROM (SELECT *, {_SEQ} AS s FROM ({_LAG1})) WHERE len(s) = 30")
+def _(t):
+    return _digest(seq.make_sequences(_returns(t), ["return_lag_1", "close"], 30))
+
+
+@query("sequences_drop_last", "entity:i date:d n:i head tail", "SEQ-01", "bars",
+       f"SELECT entity, date, {_DIGEST} FROM (SELECT *, {_SEQ} AS s, max(date) OVER (PARTITION BY entity) AS top FROM ({_LAG1})) WHERE len(s) = 30 AND date < top")
+def _(t):
+    return _digest(seq.make_sequences(_returns(t), ["return_lag_1"], 30, drop_last=True))
+
+
+@query("sequences_next_target", "entity:i date:d n:i head tail return_lag_1", "SEQ-02", "bars",
+       f"SELECT entity, date, r AS return_lag_1, {_DIGEST} FROM (SELECT *, list(coalesce(r, 0)) OVER ({BY} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS s FROM ({_LAG1})) WHERE len(s) = 30")
+def _(t):
+    return _digest(seq.make_sequences(_returns(t), ["return_lag_1"], 30, target="return_lag_1", shift=1))
+
+
+@query("sequences_shifted", "entity:i date:d n:i in_head in_tail out_head out_tail", "SEQ-03", "bars",
+       f"SELECT entity, date, len(s) - 1 AS n, s[1] AS in_head, s[-2] AS in_tail, s[2] AS out_head, s[-1] AS out_tail FROM (SELECT *, {_SEQ} AS s FROM ({_LAG1})) WHERE len(s) = 30")
+def _(t):
+    df = seq.shift_inputs(seq.make_sequences(_returns(t), ["return_lag_1"], 30))
+    ends = lambda a: (c(a)[0][0], F.element_at(a, -1)[0])
+    (ih, it), (oh, ot) = ends("inputs"), ends("targets")
+    return df.withColumns({"n": F.size("inputs"), "in_head": ih, "in_tail": it, "out_head": oh, "out_tail": ot})
+
+
+@query("sequence_counts", "entity:i samples:i", "SEQ-01", "bars", "SELECT entity, greatest(count(*) - 60, 0) AS samples FROM bars GROUP BY entity")
+def _(t):
+    return seq.complete_windows(t.bars(), 60)
+
+
+@query("decay_weights", "entity:i date:d weight", "VEC-06", "bars",
+       """SELECT entity, date, w / avg(w) OVER () AS weight FROM (SELECT *, exp(-0.001 * (max(date) OVER () - date)) AS w FROM bars)""")
+def _(t):
+    return seq.time_decay_weight(t.bars(), 0.001)
+
+
+@query("decay_weights_sum", "entity:i date:d weight:f9", "VEC-06", "bars",
+       """SELECT entity, date, w / sum(w) OVER () AS weight FROM (SELECT *, exp(-0.001 * (max(date) OVER () - date)) AS w FROM bars)""")
+def _(t):
+    return seq.time_decay_weight(t.bars(), 0.001, norm="sum")
+
+
+# -------------------------------------------------------------------------------------------- vectors
+
+_DEFAULTS = {n: d for n, d in vec.LAYOUT if n}
+
+
+def _small_vector(t):
+    df = add_momentum(add_returns(t.bars()), (5,))
+    return vec.pack_vector(df.select(*KEYS, "volume", "amount", "close_pct", "price_momentum_5"))
+
+
+_RET = f"(close - coalesce(lag(close) {W}, open)) / coalesce(lag(close) {W}, open) * 100"
+_MOM = f"close / lag(close, 5) {W} - 1"
+add_view("packed", "bars", f"SELECT entity, date, volume, amount, {_RET} AS close_pct, {_MOM} AS m5 FROM bars")
+
+
+@query("packed_vectors", "entity:i date:d size:i s3 s4:f4 s12 s33 s48 s56 s60", "VEC-01", "packed",
+       "SELECT entity, date, 105 AS size, volume AS s3, amount AS s4, close_pct AS s12, 50 AS s33, coalesce(m5, 0) AS s48, 25 AS s56, -50 AS s60 FROM packed")
+def _(t):
+    df = _small_vector(t)
+    return df.withColumns({"size": F.size("features"), **{f"s{i}": c("features")[i] for i in (3, 4, 12, 33, 48, 56, 60)}})
+
+
+@query("normalized_vectors", "entity:i date:d size:i s3 s4 s5 s12 s17 s33 s45 s48 s60 s100", "VEC-02", "packed",
+       """SELECT entity, date, 105 AS size, ln(greatest(volume, 1)) / 20 AS s3, ln(greatest(amount, 1)) / 20 AS s4, 1 / 12.0 AS s5, tanh(close_pct / 3) AS s12, 0.5 AS s17, 0.5 AS s33,
+ 0.14 AS s45, greatest(-0.2, least(0.2, coalesce(m5, 0))) / 0.2 AS s48, 0.5 AS s60, 0 AS s100 FROM packed""")
+def _(t):
+    df = _small_vector(t).withColumn("features", vec.normalize(c("features")))
+    return df.withColumns({"size": F.size("features"), **{f"s{i}": c("features")[i] for i in (3, 4, 5, 12, 17, 33, 45, 48, 60, 100)}})
+
+
+@query("signed_log_slots", "entity:i date:d s46 s87 s89", "VEC-02", "flows",
+       """SELECT entity, date, CASE WHEN abs(net_mf_vol) < 1 THEN 0 ELSE greatest(-1, least(1, ln(abs(net_mf_vol)) / 20 * sign(net_mf_vol))) END AS s46,
+ CASE WHEN net_mf_amount < 0 THEN -1 ELSE 1 END * ln(greatest(abs(net_mf_amount), 1)) / 20 AS s87, greatest(-1, least(1, net_mf_vol / 30)) AS s89 FROM flows""")
+def _(t):
+    x = t.flows()
+    slots = F.array(*[F.lit(0.0)] * 46, c("net_mf_vol"), *[F.lit(0.0)] * 40, c("net_mf_amount"), F.lit(0.0), c("net_mf_vol") / 30, *[F.lit(0.0)] * 15)
+    v = vec.normalize(c("v"))
+    return x.withColumn("v", slots).withColumn("v", v).withColumns({f"s{i}": c("v")[i] for i in (46, 87, 89)})
+
+
+@query("denormalized", "entity:i date:d restored", "VEC-03", "packed",
+       "SELECT entity, date, greatest(-15, least(15, atanh(greatest(-0.999, least(0.999, tanh(close_pct / 3)))) * 3)) AS restored FROM packed")
+def _(t):
+    return _small_vector(t).withColumn("restored", vec.denormalize_pct(vec.normalize_pct(c("features")[12])))
+
+
+@query("standard_scaler", "entity:i date:d volume_z price_momentum_5_z", "VEC-04", "packed",
+       """SELECT entity, date, (volume - avg(volume) OVER ()) / stddev_pop(volume) OVER () AS volume_z,
+ (coalesce(m5, 0) - avg(coalesce(m5, 0)) OVER ()) / stddev_pop(coalesce(m5, 0)) OVER () AS price_momentum_5_z FROM packed""")
+def _(t):
+    df = add_momentum(t.bars(), (5,))
+    cols = ["volume", "price_momentum_5"]
+    return vec.apply_scaler(df, vec.fit_scaler(df, cols), cols)
+
+
+@query("latest_vectors", "entity:i date:d s12 s48", "VEC-05", "packed",
+       "SELECT entity, date, close_pct AS s12, coalesce(m5, 0) AS s48 FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM packed WHERE date <= DATE '2000-06-30') WHERE rn = 1")
+def _(t):
+    df = latest_vectors(_small_vector(t), F.lit("2000-06-30").cast("date"))
+    return df.withColumns({"s12": c("features")[12], "s48": c("features")[48]})
+
+
+@query("auto_normalized", "entity:i date:d s4 s12", "VEC-07", "packed",
+       "SELECT entity, date, ln(greatest(amount, 1)) / 20 AS s4, tanh(close_pct / 3) AS s12 FROM packed")
+def _(t):
+    """Rows on even days arrive normalised, the others raw; both leave normalised."""
+    df = _small_vector(t)
+    mixed = F.when(day_number(c("date")) % 2 == 0, vec.normalize(c("features"))).otherwise(c("features"))
+    out = vec.auto_normalize(df.withColumn("features", mixed))
+    return out.withColumns({"s4": c("features")[4], "s12": c("features")[12]})
