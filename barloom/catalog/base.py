@@ -23,6 +23,7 @@ class Query:
     ids: str
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    body: str | None = None
 
 
 REGISTRY: dict[str, Query] = {}
@@ -205,7 +206,7 @@ def query(name: str, out: str, ids: str, uses: str = "bars", sql: str | None = N
 
         run.__name__ = name
         text = with_views(uses, present_sql(out, sql)) if sql else None
-        REGISTRY[name] = Query(name, ids, run, text)
+        REGISTRY[name] = Query(name, ids, run, text, sql)
         return fn
 
     return wrap

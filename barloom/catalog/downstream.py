@@ -311,10 +311,10 @@ def _(t):
 
 # ------------------------------------------------------------------------------------------- backtest
 
-_BT = bt.BacktestParams(max_positions=5, return_unit=1.0, position_size=0.01)
+_BT = bt.BacktestParams(max_positions=5, return_unit=1.0, position_size=0.001)
 add_view(
     "sigret", "direct bars",
-    f"""SELECT d.*, greatest(-0.5, least(0.5, next_day_return)) AS actual_return_1day, greatest(-0.5, least(0.5, next_3day_return)) AS actual_return_3day FROM direct d
+    f"""SELECT d.*, CASE WHEN next_day_return IS NOT NULL THEN greatest(-0.5, least(0.5, next_day_return)) END AS actual_return_1day, CASE WHEN next_3day_return IS NOT NULL THEN greatest(-0.5, least(0.5, next_3day_return)) END AS actual_return_3day FROM direct d
  LEFT JOIN ({LABELS}) l ON l.entity = d.entity AND l.date = d.date""",
 )
 add_view(
@@ -326,19 +326,22 @@ add_view(
     "equity", "slots",
     """SELECT *, coalesce(lag(capital) OVER (ORDER BY date), 1000000) AS start_capital, greatest(max(capital) OVER (ORDER BY date), 1000000) AS peak FROM (
  SELECT date, positions, day_return, product(1 + day_return) OVER (ORDER BY date) * 1000000 AS capital FROM (
-  SELECT date, count(*) AS positions, coalesce(sum(CASE WHEN NOT skip THEN gain END), 0) * 0.01 AS day_return FROM slots GROUP BY date))""",
+  SELECT date, count(*) AS positions, coalesce(sum(CASE WHEN NOT skip THEN gain END), 0) * 0.001 AS day_return FROM slots GROUP BY date))""",
 )
 add_view(
     "trades", "slots equity",
-    "SELECT s.*, coalesce(actual_return_1day, 0) AS actual_return, start_capital * 0.01 * gain AS pnl FROM slots s JOIN equity e ON e.date = s.date WHERE NOT skip",
+    "SELECT s.*, coalesce(actual_return_1day, 0) AS actual_return, start_capital * 0.001 * gain AS pnl FROM slots s JOIN equity e ON e.date = s.date WHERE NOT skip",
 )
 
 
 def _signals_with_returns(t):
     from barloom.functions.scalars import clamp
 
-    both = {f"actual_return_{h}day": clamp(c(n), -0.5, 0.5) for h, n in ((1, "next_day_return"), (3, "next_3day_return"))}
-    labels = add_labels(t.bars()).select(*KEYS, *[F.when(c(n).isNotNull(), both[k]).alias(k) for k, n in (("actual_return_1day", "next_day_return"), ("actual_return_3day", "next_3day_return"))])
+    labels = add_labels(t.bars()).select(
+        *KEYS,
+        clamp(c("next_day_return"), -0.5, 0.5).alias("actual_return_1day"),
+        clamp(c("next_3day_return"), -0.5, 0.5).alias("actual_return_3day"),
+    )
     return sg.signals_from_predictions(t.preds()).join(labels, KEYS, "left")
 
 

@@ -128,7 +128,7 @@ def _(t):
 
 
 @query("split_schedule", "step:i split:s n_rows:i", "SPL-05", "bars",
-       """WITH s AS (SELECT i AS step, DATE '2001-04-30' - 7 * 26 + 7 * i AS e FROM range(26) r(i)),
+       """WITH s AS (SELECT i AS step, DATE '2001-04-30' - 7 * 26 + 7 * CAST(i AS INTEGER) AS e FROM range(26) r(i)),
  w AS (SELECT step, CAST(e - INTERVAL 36 MONTH AS DATE) AS a, CAST(e - INTERVAL 6 MONTH AS DATE) AS v, e FROM s)
  SELECT step, split, count(*) AS n_rows FROM (SELECT step, CASE WHEN date >= a AND date < v THEN 'train' WHEN date >= v AND date <= e THEN 'val'
   WHEN date > DATE '2001-04-30' AND date <= DATE '2001-10-31' THEN 'holdout' END AS split FROM bars CROSS JOIN w) WHERE split IS NOT NULL GROUP BY step, split""")

@@ -18,7 +18,8 @@ def finite_or_zero(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    """Bound a number; null stays null (least and greatest alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def parse_date(text: Column) -> Column:

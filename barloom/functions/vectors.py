@@ -118,22 +118,27 @@ def _signed_log(x: Column, scale: float) -> Column:
     return F.ln(F.greatest(F.abs(x), F.lit(1.0))) / scale * sign
 
 
+def bound(x: Column, low: float, high: float) -> Column:
+    """Clamp of a value known not to be null."""
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+
+
 def scale_slot(x: Column, kind: str, p: Sequence[float]) -> Column:
     if kind == "span":
         low, high, shift, width = p
-        return (clamp(x, low, high) + float(shift)) / float(width)
+        return (bound(x, low, high) + float(shift)) / float(width)
     if kind == "divide":
         return x / float(p[0])
     if kind == "pct":
         return normalize_pct(x)
     if kind == "log":
-        return clamp(F.ln(F.greatest(x, F.lit(1.0))), -10, 30) / float(p[0])
+        return bound(F.ln(F.greatest(x, F.lit(1.0))), -10, 30) / float(p[0])
     if kind == "signed_log":
         return _signed_log(x, float(p[0]))
     if kind == "obv":
-        return F.when(F.abs(x) < 1, F.lit(0.0)).otherwise(clamp(_signed_log(x, 20.0), -1, 1))
+        return F.when(F.abs(x) < 1, F.lit(0.0)).otherwise(bound(_signed_log(x, 20.0), -1, 1))
     if kind == "asi":
-        return clamp(x, -2000, 12000) / 14000.0 + 0.14
+        return bound(x, -2000, 12000) / 14000.0 + 0.14
     return x
 
 
@@ -147,12 +152,27 @@ def pack_vector(df: DataFrame, layout=LAYOUT, out: str = "features") -> DataFram
 
 
 def normalize(col: Column) -> Column:
-    """Every slot scaled by its rule; non-finite input counts as 0, slots from 96 on become 0."""
-    slots: list[Column] = []
+    """Every slot scaled by its rule; non-finite input counts as 0, slots from 96 on become 0.
+
+    Runs of three or more slots with one rule are mapped as a slice, which keeps the generated code of the
+    105 slots under the JVM's method limit.
+    """
+    v = F.transform(col, finite_or_zero)
+    parts: list[Column] = []
     for first, last, kind, p in SCALES:
-        slots += [scale_slot(finite_or_zero(col[i]), kind, p) for i in range(first, last + 1)]
-    slots += [F.lit(0.0)] * (SIZE - len(slots))
-    return F.array(*slots)
+        n = last - first + 1
+        if n >= 3:
+            rule = lambda x, kind=kind, p=p: scale_slot(x, kind, p)
+            parts.append(F.transform(F.slice(v, first + 1, n), rule_of_one(rule)))
+        else:
+            parts.append(F.array(*[scale_slot(F.get(v, F.lit(i)), kind, p) for i in range(first, last + 1)]))
+    used = SCALES[-1][1] + 1
+    return F.concat(*parts, F.array_repeat(F.lit(0.0), SIZE - used))
+
+
+def rule_of_one(rule):
+    """A one-argument function for ``transform``, which looks at the number of parameters."""
+    return lambda x: rule(x)
 
 
 def auto_normalize(df: DataFrame, col: str = "features") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import in_band, is_special_name, contains_any, marked_name, segment
@@ -164,7 +164,7 @@ def split_by_ranges(df: DataFrame, ranges: dict[str, tuple[str, str]], ts: str =
 def split_proportional(df: DataFrame, val: float = 0.2, test: float = 0.1, key: str = "entity", ts: str = "date") -> DataFrame:
     """Per entity in time order: the last 10 % test, the 20 % before validation; under 3 rows all train."""
     w = ordered(key, ts)
-    n = F.count(F.lit(1)).over(w.rowsBetween(-(2**62), 2**62))
+    n = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return (
         df.withColumns({"_n": n, "_r": F.row_number().over(w)})
         .withColumns({"_t": F.round(c("_n") * test), "_v": F.round(c("_n") * val)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.scores import risk_rating, side
@@ -26,9 +26,13 @@ class BacktestParams:
     sharpe_basis: str = "daily"  # or 'cumulative'
 
 
-# One row per date: these windows cover the calendar, never the panel.
-_dates = Window.orderBy("date")
-_so_far = _dates.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _dates() -> WindowSpec:
+    """One row per date goes in: this window covers the calendar, never the panel."""
+    return Window.orderBy("date")
+
+
+def _so_far() -> WindowSpec:
+    return _dates().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _slots(signals: DataFrame, p: BacktestParams) -> DataFrame:
@@ -48,11 +52,11 @@ def equity_curve(signals: DataFrame, p: BacktestParams = BacktestParams()) -> Da
         F.count(F.lit(1)).alias("positions"),
         (F.coalesce(F.sum(F.when(~c("_skip"), c("_gain"))), F.lit(0.0)) * p.position_size).alias("day_return"),
     )
-    capital = F.product(c("day_return") + 1).over(_so_far) * p.initial_capital
+    capital = F.product(c("day_return") + 1).over(_so_far()) * p.initial_capital
     return (
         daily.withColumn("capital", capital)
-        .withColumn("start_capital", F.coalesce(F.lag("capital", 1).over(_dates), F.lit(p.initial_capital)))
-        .withColumn("peak", F.greatest(F.max("capital").over(_so_far), F.lit(p.initial_capital)))
+        .withColumn("start_capital", F.coalesce(F.lag("capital", 1).over(_dates()), F.lit(p.initial_capital)))
+        .withColumn("peak", F.greatest(F.max("capital").over(_so_far()), F.lit(p.initial_capital)))
         .withColumns(
             {
                 "drawdown": ratio(c("peak") - c("capital"), c("peak")),
