@@ -376,7 +376,7 @@ def _(t):
 
 @query("share_below", "entity:i date:d share", "WIN-10", "bars", f"SELECT entity, date, len(list_filter(list(close) {over(20)}, lambda v: v < close)) / len(list(close) {over(20)}) AS share FROM bars")
 def _(t):
-    return t.bars().withColumn("share", windows.share_below("close", 20))
+    return windows.apply_steps(t.bars(), windows.share_below_steps("close", "share", 20))
 
 
 @query("random_row_numbers", "rn:i entity:i", "WIN-13", "dim", "SELECT row_number() OVER (ORDER BY md5(CAST(entity AS VARCHAR) || ':7'), entity) AS rn, entity FROM dim")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.trend import true_range
 from barloom.operators.windows import (
-    Key, Steps, apply_steps, extreme_steps, lagged, ratio, row_no, share_below, trailing, warm,
+    Key, Steps, apply_steps, extreme_steps, lagged, ratio, row_no, share_below_steps, trailing, warm,
 )
 
 c = F.col
@@ -112,8 +112,9 @@ def add_range_position(df: DataFrame, n: int = 252, partial: bool = False, key:
 def vol_regime_steps(n: int = 60, threshold: float = 0.8, key: Key = "entity", ts: Key = "date") -> Steps:
     sd = F.coalesce(warm(n, F.stddev_pop("close").over(trailing(n, key, ts)), key, ts), F.lit(0.0))
     return [
-        {"_sd": sd},
-        {"vol_percentile": warm(n, share_below("_sd", n, key, ts), key, ts)},
+        {"_sd": sd, "_vr_row": row_no(key, ts)},
+        *share_below_steps("_sd", "_share", n, key, ts),
+        {"vol_percentile": F.when(c("_vr_row") >= n, c("_share"))},
         {"high_vol_regime": F.when(c("vol_percentile").isNotNull(), (c("vol_percentile") > threshold).cast("int"))},
     ]
 

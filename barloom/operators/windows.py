@@ -12,6 +12,7 @@ not by the number of raw rows.  Panels whose entities are longer than one task s
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -98,24 +99,18 @@ def apply_steps(df: DataFrame, steps: Steps) -> DataFrame:
 # ------------------------------------------------------------------------------- long trailing windows
 
 
-def factors(n: int, limit: int = 16) -> list[int] | None:
-    """Split n into factors of at most ``limit``, as even as possible; None when n has a larger prime."""
-    primes, rest, d = [], n, 2
-    while rest > 1:
-        while rest % d == 0:
-            primes.append(d)
-            rest //= d
-        d += 1
-    if any(p > limit for p in primes):
-        return None
-    best = [1]
-    for p in sorted(primes, reverse=True):
-        i = min(range(len(best)), key=lambda k: best[k])
-        if best[i] * p <= limit:
-            best[i] *= p
-        else:
-            best.append(p)
-    return sorted(best)
+@cache
+def factors(n: int, limit: int = 16) -> tuple[int, ...] | None:
+    """The factorisation of n with the smallest sum (fewest lags); None when a prime exceeds ``limit``."""
+    if n <= 5:
+        return (n,)
+    best: tuple[int, ...] | None = (n,) if n <= limit else None
+    for d in range(2, min(limit, n // 2) + 1):
+        if n % d == 0:
+            rest = factors(n // d, limit)
+            if rest and (best is None or d + sum(rest) < sum(best)):
+                best = tuple(sorted((d, *rest)))
+    return best
 
 
 def geometric_sum_steps(
@@ -128,7 +123,7 @@ def geometric_sum_steps(
     row, stays inside one sort order, and needs no Python.
     """
     w = ordered(key, ts)
-    plan = {name: (q, factors(n) or [n]) for name, (q, n) in kernels.items()}
+    plan = {name: (q, factors(n) or (n,)) for name, (q, n) in kernels.items()}
     steps: Steps = []
     for level in range(max((len(f) for _, f in plan.values()), default=0)):
         stage: dict[str, Column] = {}
@@ -157,7 +152,7 @@ def extreme_steps(
     """
     w = ordered(key, ts)
     steps: Steps = []
-    plan = {name: (c, how, factors(n) or [n], n) for name, (c, how, n) in wanted.items()}
+    plan = {name: (c, how, factors(n) or (n,), n) for name, (c, how, n) in wanted.items()}
     for level in range(max(len(p[2]) for p in plan.values())):
         stage = {}
         for name, (c, how, fs, _) in plan.items():
@@ -196,7 +191,8 @@ def run_length_steps(sign: str, out: str, key: Key = "entity", ts: Key = "date")
     ]
 
 
-def share_below(value: str, n: int, key: Key = "entity", ts: Key = "date") -> Column:
-    """Share of the last n values that lie strictly below the current one."""
-    frame = F.collect_list(value).over(trailing(n, key, ts))
-    return F.size(F.filter(frame, lambda x: x < F.col(value))) / F.size(frame)
+def share_below_steps(value: str, out: str, n: int, key: Key = "entity", ts: Key = "date") -> Steps:
+    """Share of the last n values that lie strictly below the current one (the frame is gathered once)."""
+    frame = f"_frame_{out}"
+    below = F.size(F.filter(frame, lambda x: x < F.col(value)))
+    return [{frame: F.collect_list(value).over(trailing(n, key, ts))}, {out: below / F.size(frame)}]
