@@ -629,3 +629,41 @@ def _(t):
 def _(t):
     df = price.add_labels(t.bars()).withColumn("p", F.lag("next_day_return", 1).over(trend.ordered()))
     return price.residual_label(df, "p")
+
+
+# --------------------------------------------------------------------------------------------- blocks
+
+
+def _joined(*names: str) -> str:
+    from barloom.catalog.base import REGISTRY
+
+    first, *rest = names
+    joins = " ".join(f"JOIN ({REGISTRY[n].body}) {n} ON {n}.entity = z.entity AND {n}.date = z.date" for n in rest)
+    return f"SELECT * FROM ({REGISTRY[first].body}) z {joins}".replace("SELECT *", "SELECT z.entity, z.date, * EXCLUDE (entity, date)", 1)
+
+
+@query("features_in_blocks", "entity:i date:d ema_60:f4 bb_percent_b rsi_14 price_momentum_20 next_3day_return", "F-05 F-09 F-11 F-16 L-02 (long entities)", "bars",
+       _joined("ema", "bollinger", "rsi", "momentum", "labels"))
+def _(t):
+    """The same features from windows of at most 164 rows: blocks of 100 with 61 rows of overlap."""
+    from barloom.operators.blocks import in_blocks
+    from barloom.operators.windows import apply_steps, merge
+
+    def build(df, key):
+        return apply_steps(
+            df,
+            merge(
+                trend.ema_steps((60,), key=key), volatility.bollinger_steps(key=key), momentum.rsi_steps(key=key),
+                price.momentum_steps((20,), key=key), price.label_steps({3: 0.005}, key=key),
+            ),
+        )
+
+    return in_blocks(t.bars(), build, size=100, overlap=61, ahead=3)
+
+
+@query("volume_in_blocks", "entity:i date:d cum_volume", "F-14 WIN-08 (long entities)", "bars",
+       f"SELECT entity, date, sum(volume) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_volume FROM bars")
+def _(t):
+    from barloom.operators.blocks import running_sum_in_blocks
+
+    return running_sum_in_blocks(t.bars(), "volume", "cum_volume", size=100)

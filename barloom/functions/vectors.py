@@ -154,25 +154,19 @@ def pack_vector(df: DataFrame, layout=LAYOUT, out: str = "features") -> DataFram
 def normalize(col: Column) -> Column:
     """Every slot scaled by its rule; non-finite input counts as 0, slots from 96 on become 0.
 
-    Runs of three or more slots with one rule are mapped as a slice, which keeps the generated code of the
-    105 slots under the JVM's method limit.
+    One ``transform`` over the array: the slot number walks a balanced tree of conditions to its rule, so the
+    array is read once and the generated code stays small.
     """
-    v = F.transform(col, finite_or_zero)
-    parts: list[Column] = []
-    for first, last, kind, p in SCALES:
-        n = last - first + 1
-        if n >= 3:
-            rule = lambda x, kind=kind, p=p: scale_slot(x, kind, p)
-            parts.append(F.transform(F.slice(v, first + 1, n), rule_of_one(rule)))
-        else:
-            parts.append(F.array(*[scale_slot(F.get(v, F.lit(i)), kind, p) for i in range(first, last + 1)]))
-    used = SCALES[-1][1] + 1
-    return F.concat(*parts, F.array_repeat(F.lit(0.0), SIZE - used))
-
-
-def rule_of_one(rule):
-    """A one-argument function for ``transform``, which looks at the number of parameters."""
-    return lambda x: rule(x)
+    return F.transform(col, lambda x, i: _by_slot(finite_or_zero(x), i, SCALES))
+
+
+def _by_slot(x: Column, i: Column, rules: list) -> Column:
+    if len(rules) == 1:
+        first, last, kind, p = rules[0]
+        scaled = scale_slot(x, kind, p)
+        return F.when(i <= last, scaled).otherwise(F.lit(0.0)) if last == SCALES[-1][1] else scaled
+    half = len(rules) // 2
+    return F.when(i < rules[half][0], _by_slot(x, i, rules[:half])).otherwise(_by_slot(x, i, rules[half:]))
 
 
 def auto_normalize(df: DataFrame, col: str = "features") -> DataFrame:

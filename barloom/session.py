@@ -6,12 +6,16 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The feature table has more than 100 columns; above `maxFields` Spark would leave whole-stage codegen.
+# The feature table has more than 100 columns.  Above `maxFields` Spark would leave whole-stage codegen; a
+# generated method over 8000 bytes is never compiled by the JIT, so such stages fall back to split methods.
+# Call-site capture costs several gateway calls per column expression while a wide plan is built.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.codegen.maxFields": "400",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
