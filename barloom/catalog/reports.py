@@ -99,6 +99,9 @@ FEATURE_VIEWS = "bars prevs rets dim idx flows val"
 
 
 def feature_rows(t):
+    """The table from stored bars: they are aggregated once, laid out by entity and date, and then serve the
+    windows (no further shuffle or sort) and every context series."""
+    t = t.with_stored_bars()
     return ft.build_features(t.bars(), t.dim(), t.index_bars(), t.valuation(), t.flows())
 
 

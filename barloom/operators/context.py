@@ -101,7 +101,8 @@ def group_series(bars: DataFrame, dim: DataFrame, group: str = "industry", key:
 
 
 def add_group_context(
-    df: DataFrame, series: DataFrame, group: str = "industry", ts: str = "date", ref_date: str | None = None
+    df: DataFrame, series: DataFrame, group: str = "industry", ts: str = "date", ref_date: str | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """industry_avg_return and industry_momentum_5d of the last date strictly before the row's date."""
     renamed = series.select(
@@ -110,7 +111,8 @@ def add_group_context(
         F.coalesce("avg_5d", F.lit(0.0)).alias("industry_momentum_5d"),
     )
     return asof_join(
-        df, renamed, group, ("industry_avg_return", "industry_momentum_5d"), ts=ts, strict=True, ref_date=ref_date
+        df, renamed, group, ("industry_avg_return", "industry_momentum_5d"), ts=ts, strict=True,
+        ref_date=ref_date, asked=asked,
     )
 
 

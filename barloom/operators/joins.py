@@ -23,21 +23,24 @@ def asof_join(
     strict: bool = False,
     left_ts: str | None = None,
     ref_date: str | None = "ref_date",
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Attach to each left row the newest right row of its group at (or, strict, before) its date.
 
     The lookup is solved once per distinct (group, date) rather than per left row: the few dates asked for
     are merged with the reference dates, values are carried forward in one bounded window per group, and the
     left rows join the result by equality.  A group with a third of all left rows never meets in one task.
-    ``ref_date`` keeps the date the values come from, for look-ahead checks.
+    ``ref_date`` keeps the date the values come from, for look-ahead checks.  ``asked`` may give the (group,
+    date) pairs to solve, or more than those, where that is cheaper than deriving them from ``left``.
     """
     keys = names(by)
     lts = left_ts or ts
-    asked = left.select(*keys, F.col(lts).alias("_at")).where(F.col("_at").isNotNull()).distinct()
+    pairs = (left if asked is None else asked).select(*keys, F.col(lts).alias("_at"))
+    wanted = pairs.where(F.col("_at").isNotNull()).distinct()
     stamp = F.struct(F.col(ts).alias("_ref"), *[F.col(c) for c in cols])
     known = right.select(*keys, F.col(ts).alias("_at"), stamp.alias("_v"))
     line = (
-        asked.withColumn("_v", F.lit(None).cast(known.schema["_v"].dataType))
+        wanted.withColumn("_v", F.lit(None).cast(known.schema["_v"].dataType))
         .unionByName(known)
         .groupBy(*keys, "_at")
         .agg(F.max("_v").alias("_v"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import context, momentum, pattern, price, trend, volatility, volume
-from barloom.operators.joins import lookup
+from barloom.operators.joins import asof_join, lookup
 from barloom.operators.windows import Key, Steps, apply_steps, lagged, merge, row_no
 
 c = F.col
@@ -103,11 +103,14 @@ def build_features(
     if dim is not None:
         listed = dim.select(key, "industry", *[n for n in ("act_ent_type",) if n in dim.columns])
         series = context.group_series(context_returns(bars, key, ts), dim, key=key, ts=ts)
-        out = context.add_vs_group(context.add_group_context(lookup(out, listed, [key]), series, ts=ts))
+        # Every (industry, date) of the bars: a superset of what is asked that needs no window.
+        asked = bars.select(key, ts).join(dim.select(key, "industry"), key).select("industry", ts)
+        out = context.add_group_context(lookup(out, listed, [key]), series, ts=ts, asked=asked)
+        out = context.add_vs_group(out)
         if "act_ent_type" in out.columns:
             out = out.withColumn("act_ent_type", F.coalesce("act_ent_type", F.lit("UNKNOWN")))
     if index_bars is not None:
-        out = add_index_columns(out, index_bars, index_codes, ts)
+        out = add_index_columns(out, index_bars, index_codes, bars.select(ts), ts)
         if momentum_index:
             out = out.withColumn("industry_momentum", c(f"index_{momentum_index}_pct_chg"))
     return out
@@ -120,13 +123,11 @@ def context_returns(bars: DataFrame, key: str = "entity", ts: str = "date") -> D
     return price.add_returns(bars, key, ts).select(key, ts, c("close_pct").alias("pct_chg"))
 
 
-def add_index_columns(df: DataFrame, index_bars: DataFrame, codes: Sequence[str], ts: str = "date") -> DataFrame:
-    """Index context looked up at the ``prev_date`` computed with the other windows."""
-    from barloom.operators.joins import asof_join
-
+def add_index_columns(df: DataFrame, index_bars: DataFrame, codes: Sequence[str], dates: DataFrame, ts: str = "date") -> DataFrame:
+    """Index context looked up at the ``prev_date`` computed with the other windows; ``dates`` covers those."""
     cols = ("pct_chg", "vs_ma5_pct", "vs_ma20_pct")
     series = context.index_series(index_bars)
-    asked = df.select(c("prev_date").alias("_at")).where(c("_at").isNotNull()).distinct()
+    asked = dates.select(c(ts).alias("_at")).distinct()
     lines = asked.withColumn("code", F.explode(F.array(*[F.lit(k) for k in codes])))
     solved = asof_join(lines, series, "code", cols, ts=ts, left_ts="_at", ref_date=None)
     wide = context.pivot_series(solved, codes, cols, ts="_at")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import clamp
 from barloom.operators.price import add_momentum
 from barloom.operators.windows import lagged, ratio
+from barloom.session import settle
 
 c = F.col
 
@@ -32,6 +33,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._bars: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -52,7 +54,18 @@ class Tables:
             F.sum("l_extendedprice").alias("amount"),
         )
 
+    def with_stored_bars(self) -> Tables:
+        """The same views over bars written once to the shared checkpoint folder, by entity and date.
+
+        One row per (entity, date): a partition of entities is bounded by the calendar.
+        """
+        out = Tables(self.spark, self.path)
+        out._bars = settle(self.bars().repartition("entity").sortWithinPartitions("entity", "date"))
+        return out
+
     def bars(self) -> DataFrame:
+        if self._bars is not None:
+            return self._bars
         return self._ohlc(self.lines(), c("l_suppkey").alias("entity"), "date")
 
     def places(self) -> DataFrame:
