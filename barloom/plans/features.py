@@ -76,12 +76,25 @@ def build_features(
 ) -> DataFrame:
     """All features and labels per (entity, date), from the 60th row of an entity on.
 
-    Same-day flow and valuation joins come first, while the bars still have the (entity, date) partitioning
-    of their own aggregate; then one shuffle by entity serves every window; the small calendar-sized context
-    joins come last.  Each context is optional.
+    Flow, valuation, industry and index columns are joined to the narrow bars first; the one shuffle by
+    entity that serves every window comes last, so the wide rows are never shuffled.  Each context is
+    optional.
     """
     df = bars
     steps = [bar_steps(key, ts, origin), [{"_row": row_no(key, ts)}]]
+    if index_bars is not None:
+        df = df.withColumn("prev_date", lagged(ts, 1, key, ts))
+        df = add_index_columns(df, index_bars, index_codes, bars.select(ts), ts)
+        if momentum_index:
+            df = df.withColumn("industry_momentum", c(f"index_{momentum_index}_pct_chg"))
+    if dim is not None:
+        listed = dim.select(key, "industry", *[n for n in ("act_ent_type",) if n in dim.columns])
+        series = context.group_series(context_returns(bars, key, ts), dim, key=key, ts=ts)
+        # Every (industry, date) of the bars, without the joins made so far.
+        asked = bars.select(key, ts).join(dim.select(key, "industry"), key).select("industry", ts)
+        df = context.add_group_context(lookup(df, listed, [key]), series, ts=ts, asked=asked)
+        if "act_ent_type" in df.columns:
+            df = df.withColumn("act_ent_type", F.coalesce("act_ent_type", F.lit("UNKNOWN")))
     if flows is not None:
         df = lookup(df, flows, [key, ts], ["net_mf_vol", "net_mf_amount"])
         steps.append(context.flow_steps(key, ts))
@@ -92,28 +105,13 @@ def build_features(
             df = df.withColumn("dv_ttm", F.coalesce("dv_ttm", F.lit(0.0)))
         if "pe_ttm" in cols:
             steps.append(context.position_positive_steps(key=key, ts=ts))
-    if index_bars is not None:
-        steps.append([{"prev_date": lagged(ts, 1, key, ts)}])
     staged = merge(*steps)
     staged.append({"ready": c("_row") >= min_rows})
     out = apply_steps(df, staged).where("ready").drop("ready")
     if min_date is not None:
         out = out.where(c(ts) >= min_date)
     out = out.withColumns({**row_columns(ts), "trend_strength": c("adx_14")})
-    if dim is not None:
-        listed = dim.select(key, "industry", *[n for n in ("act_ent_type",) if n in dim.columns])
-        series = context.group_series(context_returns(bars, key, ts), dim, key=key, ts=ts)
-        # Every (industry, date) of the bars: a superset of what is asked that needs no window.
-        asked = bars.select(key, ts).join(dim.select(key, "industry"), key).select("industry", ts)
-        out = context.add_group_context(lookup(out, listed, [key]), series, ts=ts, asked=asked)
-        out = context.add_vs_group(out)
-        if "act_ent_type" in out.columns:
-            out = out.withColumn("act_ent_type", F.coalesce("act_ent_type", F.lit("UNKNOWN")))
-    if index_bars is not None:
-        out = add_index_columns(out, index_bars, index_codes, bars.select(ts), ts)
-        if momentum_index:
-            out = out.withColumn("industry_momentum", c(f"index_{momentum_index}_pct_chg"))
-    return out
+    return context.add_vs_group(out) if dim is not None else out
 
 
 def context_returns(bars: DataFrame, key: str = "entity", ts: str = "date") -> DataFrame:
