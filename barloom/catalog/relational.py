@@ -354,7 +354,7 @@ def _(t):
     return t.bars().withColumn("prior_mean", F.avg("volume").over(windows.preceding(20)))
 
 
-@query("liquidity_buckets", "entity:i avg_amount:f4 pct_rank:i", "WIN-06 SEL-01", "bars",
+@query("liquidity_buckets", "entity:i pct_rank:i", "WIN-06 SEL-01", "bars",
        "SELECT entity, avg_amount, ntile(100) OVER (ORDER BY avg_amount DESC, entity) AS pct_rank FROM (SELECT entity, avg(amount) AS avg_amount FROM bars WHERE date >= DATE '2001-01-01' GROUP BY entity)")
 def _(t):
     return un.liquidity_rank(t.bars(), t.dim(), F.lit("2001-01-01").cast("date"))
