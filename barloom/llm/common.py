@@ -99,13 +99,13 @@ class SegmentTable(dict):
         for n, i in enumerate(kept.tolist()):
             self[words[i]] = n
 
-    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+    def numbers(self, texts: list[str], cut: Callable[[str], Iterator[list[str]]] = segments) -> list[np.ndarray]:
         """The numbers of the segments of each text; ``values_of`` has a value for each until the next call."""
         if len(self) > self.limit:
             self.forget()
         found = []
         for t in texts:
-            parts = [np.fromiter(map(self.__getitem__, s), np.int32, len(s)) for s in segments(t)]
+            parts = [np.fromiter(map(self.__getitem__, s), np.int32, len(s)) for s in cut(t)]
             found.append(parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts]))
         for i in range(0, len(self.new), 20_000):
             self.values_of += self.learn(self.new[i : i + 20_000])

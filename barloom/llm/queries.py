@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, exact_dedup, simhash, token_count, token_output
+from barloom.llm import bpe, exact_dedup, simhash, token_count, token_output, toxicity
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op9_bpe(spark: SparkSession, path: str) -> DataFrame:
     return bpe.encode(table(spark, path, "documents")).drop("ids")
 
 
+def op10_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    documents = table(spark, path, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, path, "labels")))
+
+
 SQL = {
     "op6_exact_dedup": r"""
         WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
