@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, exact_dedup, simhash, token_count, token_output, toxicity
+from barloom.llm import bpe, decontaminate, exact_dedup, simhash, token_count, token_output, toxicity
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_token_files(spark: SparkSession, path: str) -> DataFrame:
     return token_output.token_files(table(spark, path, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, path: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
 def op6_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, path, "documents"))
 
