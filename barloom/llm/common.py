@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.session import ensure_checkpoint_dir
 
@@ -147,3 +148,14 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def attach(df: DataFrame, lists: DataFrame, keys: list[str], how: str, rows: int = 300_000, elements: int = 3_000_000, size: str | None = None) -> DataFrame:
+    """``df`` joined with ``lists`` (a stored table, one row per key).
+
+    The lists are broadcast where they have at most ``rows`` rows and, with ``size`` naming an array column,
+    ``elements`` array elements; beyond that both sides are shuffled.
+    """
+    total = F.sum(F.size(size)) if size else F.lit(0).cast("long")
+    n, m = lists.agg(F.count(F.lit(1)), F.coalesce(total, F.lit(0))).first()
+    return df.join(F.broadcast(lists) if n <= rows and m <= elements else lists, keys, how)

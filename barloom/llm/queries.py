@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, exact_dedup, simhash, token_count, token_output, toxicity
+from barloom.llm import bpe, decontaminate, exact_dedup, line_dedup, simhash, token_count, token_output, toxicity
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Per document: lines before and after, and the digest of what is left of its text."""
+    documents = table(spark, path, "documents")
+    count = lambda text: F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1))
+    marked = documents.select("doc_id", "text", count(F.col("text")).alias("n_lines"))
+    left = line_dedup.drop_repeated_chunks(marked)
+    return left.select("doc_id", "n_lines", count(F.col("text")).alias("lines_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, path: str) -> DataFrame:
     return token_count.token_counts(table(spark, path, "documents"))
 
