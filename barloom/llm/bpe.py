@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SegmentTable, by_size, id_lists, tokenizer_path
+from barloom.llm.common import SegmentTable, by_size, id_lists, pre_tokens, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -78,8 +77,6 @@ class Bpe:
             if len(token) == 2:
                 self.first[token[0], token[1]] = rank
         self.segments = SegmentTable(self.learn)
-        # Letters of one block without exceptions: a segment of them is one pre-token and needs no pattern.
-        self.plain = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -90,7 +87,7 @@ class Bpe:
         """Ids of each pre-token, as little-endian unsigned 32-bit integers."""
         raw = np.frombuffer(b"".join(words), np.uint8)
         n = len(raw)
-        ends = np.cumsum([len(w) for w in words])
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
         cut = ends[(ends > 0) & (ends < n)]
         after, before = np.arange(1, n + 1), np.arange(-1, n)
         after[cut - 1] = n  # no pair reaches over the end of a pre-token
@@ -148,17 +145,15 @@ class Bpe:
 
     def learn(self, segments: list[str]) -> list[bytes]:
         """Ids of each segment."""
-        counts: list[int] = []
-        words: list[bytes] = []
-        for s in segments:
-            parts = [s] if self.plain(s) else self.split.findall(s)
-            counts.append(len(parts))
-            words += [p.encode("utf-8", "replace") for p in parts]
-        ids, at, out = self.merge(words), 0, []
-        for n in counts:
-            out.append(ids[at] if n == 1 else b"".join(ids[at : at + n]))
-            at += n
-        return out
+        known, new = self.segments.value, {}
+        cut = [pre_tokens(s, self.split) for s in segments]
+        for parts in cut:
+            for p in parts:
+                if p not in new:
+                    new[p] = known(p)
+        words = [p for p, found in new.items() if found is None]
+        new.update(zip(words, self.merge([p.encode("utf-8", "replace") for p in words]), strict=True))
+        return [b"".join(map(new.__getitem__, parts)) for parts in cut]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -20,6 +20,17 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 # tokens do not depend on what stands around it.
 SEGMENT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
+# Letters of blocks without exceptions, then ASCII punctuation other than the apostrophe: one pre-token each.
+_SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+def pre_tokens(segment: str, pattern) -> list[str]:
+    """The pre-tokens of a segment by ``pattern`` (compiled), found without it where the segment is simple."""
+    m = _SIMPLE(segment)
+    if m is None:
+        return pattern.findall(segment)
+    return [m[1], m[2]] if m[2] else [m[1]]
+
 
 def work_folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``."""
@@ -73,22 +84,58 @@ def segments(text: str, window: int = 4 << 20) -> Iterator[list[str]]:
         yield found
 
 
+# Keys of segments.  The usual segment, a space and what follows it, goes by what follows it; marks stand for the
+# others: _BARE before a segment without that space, _LINE for a line end.
+_BARE, _LINE = "\0", "\1"
+_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def segment_keys(text: str, window: int = 4 << 20) -> Iterator[list[str]]:
+    """Keys of the segments of a text.
+
+    Where single spaces and single line ends are the only white space, splitting at them gives the segments.
+    """
+    rare = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", _BARE, _LINE)
+    if len(text) > window or any(x in text for x in rare) or not (text.isascii() or _ODD.search(text) is None):
+        for part in segments(text, window):
+            yield [key_of(s) for s in part]
+    elif text:
+        yield (_BARE + text.replace("\n", f" {_LINE} {_BARE}")).split(" ")
+
+
+def key_of(segment: str) -> str:
+    if segment[0] == " " and len(segment) > 1 and segment[1] not in (_BARE, _LINE) and SEGMENT.match(segment).end() == len(segment):
+        return segment[1:]
+    return _LINE if segment == "\n" else _BARE + segment
+
+
+def segment_of(key: str) -> str:
+    return key[1:] if key[:1] == _BARE else "\n" if key == _LINE else " " + key
+
+
 class SegmentTable(dict):
     """Numbers the segments it meets and keeps one value for each: what ``learn`` makes of the new ones.
 
-    It holds about ``limit`` segments.  When it has more, those met only once are forgotten.
+    It holds about ``limit`` segments.  When it has more, those met only once are forgotten.  ``cut`` gives the
+    keys of a text and ``named`` the segment of a key.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list], limit: int = 400_000):
+    def __init__(self, learn: Callable[[list[str]], list], limit: int = 400_000, cut=segment_keys, named=segment_of):
         super().__init__()
-        self.learn, self.limit, self.new, self.values_of = learn, limit, [], []
+        self.learn, self.limit, self.cut, self.named = learn, limit, cut, named
+        self.new, self.values_of = [], []
         self.met = np.zeros(0, np.int64)
 
-    def __missing__(self, segment: str) -> int:
-        n = self[segment] = len(self)
-        self.new.append(segment)
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
         return n
 
+    def value(self, segment: str):
+        """The value of a segment that has one by now, else None."""
+        n = self.get(key_of(segment))
+        return self.values_of[n] if n is not None and n < len(self.values_of) else None
+
     def forget(self) -> None:
         words = list(self)
         kept = np.flatnonzero(self.met > 1)
@@ -100,16 +147,16 @@ class SegmentTable(dict):
         for n, i in enumerate(kept.tolist()):
             self[words[i]] = n
 
-    def numbers(self, texts: list[str], cut: Callable[[str], Iterator[list[str]]] = segments) -> list[np.ndarray]:
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of the segments of each text; ``values_of`` has a value for each until the next call."""
         if len(self) > self.limit:
             self.forget()
         found = []
         for t in texts:
-            parts = [np.fromiter(map(self.__getitem__, s), np.int32, len(s)) for s in cut(t)]
+            parts = [np.array(list(map(self.__getitem__, s)), np.int32) for s in self.cut(t)]
             found.append(parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts]))
         for i in range(0, len(self.new), 20_000):
-            self.values_of += self.learn(self.new[i : i + 20_000])
+            self.values_of += self.learn(list(map(self.named, self.new[i : i + 20_000])))
         self.new.clear()
         self.met = np.concatenate([self.met, np.zeros(len(self) - len(self.met), np.int64)])
         if found:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SegmentTable, by_size, tokenizer_path
+from barloom.llm.common import SegmentTable, by_size, pre_tokens, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK = 1024  # bytes of a long pre-token whose state map is kept
@@ -211,17 +211,11 @@ class Counter:
         special = [t["content"] for t in spec.get("added_tokens", ())]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split = regex.compile(BYTE_LEVEL)
-        self.plain = re.compile(" ?[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]+").fullmatch
         self.segments = SegmentTable(self.learn)
 
     def learn(self, segments: list[str]) -> list[int]:
-        count, out = self.transducer.count, []
-        for s in segments:
-            if self.plain(s):
-                out.append(count(s.encode()))
-            else:
-                out.append(sum(count(p.encode("utf-8", "replace")) for p in self.split.findall(s)))
-        return out
+        count = self.transducer.count
+        return [sum(count(p.encode("utf-8", "replace")) for p in pre_tokens(s, self.split)) for s in segments]
 
     def count_batch(self, texts: list[str]) -> list[int]:
         """Special strings inside a text are one token each, as the tokenizer's file has them."""

@@ -13,6 +13,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SegmentTable, by_size, id_lists, tokenizer_path, work_folder
+from barloom.llm.common import SegmentTable, by_size, id_lists, pre_tokens, tokenizer_path, work_folder
 from barloom.llm.token_count import BYTE_LEVEL, byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,21 +65,21 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, sorted(self.ids, key=len, reverse=True)))) if added else None
         self.letters = {b: c for c, b in byte_letters().items()}
         self.split = regex.compile(BYTE_LEVEL)
-        self.plain = re.compile(" ?[A-Za-z]+").fullmatch
-        self.segments = SegmentTable(self.learn, limit=300_000)
+        self.segments = SegmentTable(self.learn, limit=600_000)
 
     def learn(self, segments: list[str]) -> list[bytes]:
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        out = []
-        for s in segments:
-            if self.plain(s):
-                ids = [t.id for t in tokenize(s.replace(" ", letters[32]))]
-            else:
-                ids = []
-                for p in self.split.findall(s):
-                    ids += [t.id for t in tokenize("".join(map(letters.__getitem__, p.encode("utf-8", "replace"))))]
-            out.append(np.array(ids, "<u4").tobytes())
-        return out
+        tokenize, known, fresh = self.tokenizer.model.tokenize, self.segments.value, {}
+
+        def ids(p: str) -> bytes:
+            found = fresh.get(p)
+            if found is None:
+                found = known(p)
+            if found is None:
+                letters = p.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+                found = fresh[p] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+            return found
+
+        return [b"".join(map(ids, pre_tokens(s, self.split))) for s in segments]
 
     def encode_batch(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of each text with ``end`` after them, as little-endian unsigned 32-bit integers."""

@@ -173,7 +173,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.automaton, self.weights = Automaton(model.words, model.stems), model.weights
-        self.table = SegmentTable(lambda words: [self.automaton.match(w) for w in words], limit=250_000)
+        self.table = SegmentTable(lambda words: [self.automaton.match(w) for w in words], limit=250_000, cut=words_of, named=str)
 
     def context(self, text: str, hits: dict[str, float]) -> tuple[float, float]:
         """Weights of the hits that are quoted, and of those that address someone."""
@@ -191,7 +191,7 @@ class Reader:
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: log of weighted hits, weighted hits per 100 words, misspelled part, quoted, abuse, log of words."""
-        found = self.table.numbers(texts, words_of)
+        found = self.table.numbers(texts)
         terms = np.array(self.table.values_of, np.int64).reshape(-1, 2)
         values = np.where(terms[:, 0] >= 0, np.array([*self.weights, 0.0])[terms[:, 0]] / (1 + terms[:, 1]), 0)
         bent = np.where(terms[:, 1] > 0, values, 0)
