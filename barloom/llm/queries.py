@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, exact_dedup, line_dedup, simhash, token_count, token_output, toxicity
+from barloom.llm import bpe, decontaminate, exact_dedup, line_dedup, simhash, suffix_dedup, token_count, token_output, toxicity
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_token_files(spark: SparkSession, path: str) -> DataFrame:
     return token_output.token_files(table(spark, path, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, path, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, path: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, path, "documents"), table(spark, path, "benchmark"))
 
