@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, exact_dedup, line_dedup, simhash, suffix_dedup, token_count, token_output, toxicity
+from barloom.llm import bpe, decontaminate, exact_dedup, line_dedup, secrets, simhash, suffix_dedup, token_count, token_output, toxicity
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, path, "documents"))
 
 
+def op7_secrets(spark: SparkSession, path: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, path, "documents")))
+
+
 def op8_simhash(spark: SparkSession, path: str) -> DataFrame:
     return simhash.near_dedup(table(spark, path, "documents"))
 
@@ -62,6 +66,7 @@ SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
          doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM norm""",
 }
+SQL["op7_secrets"] = secrets.digest_sql()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
