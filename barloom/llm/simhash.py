@@ -31,9 +31,15 @@ def _signed(x: int) -> int:
 
 
 def masks(radius: int = RADIUS) -> list[int]:
-    """The bit masks of all tables: one for each nonzero vector of radius+1 bits."""
+    """The bit masks of all tables: one for each nonzero vector of radius+1 bits; radius 0 to 6.
+
+    The vectors of the bits are dealt evenly, or for radius 6 are those of a first-order Reed-Muller code, so that
+    every mask holds about half of the bits.
+    """
+    if not 0 <= radius <= 6:
+        raise ValueError("64 bits carry masks of enough bits up to radius 6")
     size = 1 << (radius + 1)
-    vectors = [i % (size - 1) + 1 for i in range(64)]
+    vectors = [64 + i if radius == 6 else i % (size - 1) + 1 for i in range(64)]
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, size)]
 
 
@@ -137,7 +143,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
             cut.append((i, s, _signed(m | sum(1 << x for x in rest[s :: radius + 1]))))
     finer = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), F.lit(m).alias("m")) for i, s, m in cut))
     over = rows.filter(f"n > {bucket}").select("_fp", "t", F.explode(F.filter(finer, lambda x: x["i"] == F.col("t"))).alias("x"))
-    over = _sized(over.select("_fp", (F.col("t") * 16 + F.col("x.s") + 100).alias("t"), fp.bitwiseAND(F.col("x.m")).alias("k")))
+    over = _sized(over.select("_fp", ((F.col("t") + 1) * 1000 + F.col("x.s")).alias("t"), fp.bitwiseAND(F.col("x.m")).alias("k")))
     blocks = F.ceil(F.col("n") / bucket)
     own = F.pmod(F.xxhash64("_fp"), blocks)
     over = over.select("_fp", "t", "k", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
@@ -169,34 +175,34 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per input row: identifier, fingerprint (16 hex digits), component_id (smallest identifier reachable).
 
     Null and blank texts have fingerprint zero and are linked like any other.  Null identifiers are ignored for
     component_id unless a component has no other; repeated identifiers are rows of their own.
     """
-    return _components_of(stored(fingerprints(df, id_col, text_col))).select(
+    return _components_of(stored(fingerprints(df, id_col, text_col)), radius).select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_component").alias("component_id")
     )
 
 
-def _components_of(rows: DataFrame) -> DataFrame:
+def _components_of(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``rows`` (_id, _fp, ...) with ``_component``."""
     fps = stored(rows.groupBy("_fp").agg(F.min("_id").alias("_least")))
-    roots = components(links(fps.select("_fp"))).withColumnRenamed("vertex", "_fp")
+    roots = components(links(fps.select("_fp"), radius)).withColumnRenamed("vertex", "_fp")
     named = stored(fps.join(roots, "_fp", "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root")))
     least = named.groupBy("_root").agg(F.min("_least").alias("_component"))
     return rows.join(named.join(least, "_root").select("_fp", "_component"), "_fp")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each component stays, with all its columns: the one with the smallest identifier.
 
     Of several rows with that identifier, the one with the smallest digest of its text stays; rows that repeat
     both stay together.  Where a component has no identifier at all, its rows all stay.
     """
     slim = stored(fingerprints(df, id_col, text_col))
-    placed = _components_of(slim)
+    placed = _components_of(slim, radius)
     best = placed.filter("_id = _component").groupBy("_component").agg(F.min("_digest").alias("_best"))
     gone = placed.join(best, "_component").filter("_id is null or _id != _component or _digest != _best")
     gone = gone.select(F.col("_id").alias("__id"), F.col("_digest").alias("__digest")).distinct()
