@@ -226,9 +226,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(docs.mapInArrow(_retained(least, core), f"_id {kind}, _doc long, pos int, core long"))
     first = F.struct(F.col("_id").isNull().alias("z"), "_id", "_doc")
     shared = found.groupBy("core").agg(F.min("_doc").alias("a"), F.max("_doc").alias("b"), F.min(first)["_doc"].alias("_first"))
-    places = stored(found.join(shared.filter("a != b").select("core", "_first"), "core"))
+    shared = stored(shared.filter("a != b").select("core", "_first"))  # apart from the join, so that Spark can split hot cores there
+    places = stored(found.join(shared, "core"))
     lists = stored(places.groupBy("_doc").agg(F.collect_set(F.struct("pos", "core")).alias("_places")))
-    texts = attach(docs.select("_doc", "_text"), lists, ["_doc"], "inner", size="_places").select("_doc", "_text", "_places")
+    texts = attach(docs.select("_doc", "_text"), lists, ["_doc"], "inner", elements=200_000, size="_places").select("_doc", "_text", "_places")
     suffixes = stored(texts.mapInArrow(_contexts(least, core), "_doc long, pos int, core long, right binary, left binary"))
     # the suffix holds its core, so its own text sorts it
     right = _extensions(suffixes.select("_doc", "pos", F.lit(0).cast("long").alias("core"), F.col("right").alias("text")))
