@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import attach, stored
 
+EACH = 3  # trigrams asked for of each mandatory string; more cost an index entry each and shut out hardly any more
 BLOCK = 256  # matches whose positions are summed in one fold
 
 
@@ -58,12 +59,18 @@ def _all(parts: list[Query], word: str) -> Query:
     return None if not parts else parts[0] if len(parts) == 1 else (word, tuple(parts))
 
 
+def _spread(found: list[str]) -> list[str]:
+    """At most ``EACH`` of the trigrams of one string, from its beginning to its end."""
+    n = len(found)
+    return found if n <= EACH else [found[i * (n - 1) // (EACH - 1)] for i in range(EACH)]
+
+
 def _of_strings(strings: set[str]) -> Query:
     """The texts that hold one of ``strings``."""
     each = {s: {s[i : i + 3] for i in range(len(s) - 2)} for s in sorted(strings)}
     # what asks for more than another does adds nothing
     needed = [s for s, t in each.items() if not any(u < t or (u == t and r < s) for r, u in each.items())]
-    return _all([_all([s[i : i + 3] for i in range(len(s) - 2)], "and") for s in needed], "or")
+    return _all([_all(_spread([s[i : i + 3] for i in range(len(s) - 2)]), "and") for s in needed], "or")
 
 
 def _walk(items, most: int = 64) -> tuple[set[str] | None, Query]:
@@ -125,9 +132,9 @@ def _holds(query: Query, present: Column) -> Column:
 
 def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """Inverted index (trigram, _doc) of ``docs`` (_doc, _text) for the trigrams asked for."""
-    low = F.lower("_text")
-    held = F.array(*(F.struct(F.lit(t).alias("t"), F.contains(low, F.lit(t)).alias("in")) for t in wanted))
-    return docs.select("_doc", F.explode(F.filter(held, lambda x: x["in"])["t"]).alias("trigram"))
+    low = docs.select("_doc", F.lower("_text").alias("_low"))  # a step of its own: lowered once for all trigrams
+    held = low.select("_doc", F.array(*(F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in wanted)).alias("_held"))
+    return held.select("_doc", F.explode("_held").alias("trigram")).filter("trigram is not null")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
@@ -144,31 +151,28 @@ def _running(lengths: Column) -> Column:
         zero = F.array(F.lit(0).cast("long"))
         return F.aggregate(block, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
+    # Each array stands in the expression once: inside a lambda it would be worked out again for every element.
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(lengths, i + 1, BLOCK))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + x))
-    starts = before(sums)
-    return F.flatten(F.transform(blocks, lambda b, i: F.transform(F.slice(before(b), 1, F.size(b)), lambda x: x + F.get(starts, i))))
+    summed = F.transform(blocks, lambda b: F.struct(before(b).alias("inside"), F.size(b).alias("n")))
+    starts = before(F.transform(summed, lambda x: F.element_at(x["inside"], -1)))
+    both = F.arrays_zip(summed.alias("a"), starts.alias("s"))
+    both = F.filter(both, lambda x: x["a"].isNotNull())
+    return F.flatten(F.transform(both, lambda x: F.transform(F.slice(x["a"]["inside"], 1, x["a"]["n"]), lambda y: y + x["s"])))
 
 
 def _spans(rule: Rule, order: int, text: Column) -> Column:
     """Matches from left to right as array of (start, order, end); code points, end exclusive."""
     pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.char_length(x).cast("long"))
+    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.char_length)
     between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.char_length(x).cast("long"))
-    lengths = F.transform(found, lambda x: F.char_length(x).cast("long"))
-    gaps = F.slice(between, 1, F.size(found))
-    ahead = _running(F.zip_with(gaps, lengths, lambda a, b: a + b))
-    if rule.group:
-        sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.char_length)
-    else:
-        sizes = F.transform(found, F.char_length)
-
-    def span(i):
-        start = F.get(ahead, i) + F.get(gaps, i)
-        return F.struct(start.alias("start"), F.lit(order).alias("order"), (start + F.get(lengths, i)).alias("end"), F.get(sizes, i).alias("size"))
-
-    kept = F.filter(F.transform(F.sequence(F.lit(0), F.size(found) - 1), span), lambda x: x["size"] >= rule.least)
-    return F.transform(kept, lambda x: F.struct(x["start"], x["order"], x["end"]))
+    # what stands before each match, its length, and the length of its group; the last gap has no match behind it
+    rows = F.filter(F.arrays_zip(between.alias("gap"), lengths.alias("length"), sizes.alias("size")), lambda x: x["length"].isNotNull())
+    ends = F.transform(rows, lambda x: x["gap"] + x["length"])
+    rows = F.arrays_zip(rows.alias("m"), _running(ends).alias("ahead"))
+    found = F.transform(rows, lambda x: F.struct((x["ahead"] + x["m"]["gap"]).alias("start"), x["m"].alias("m")))
+    kept = F.filter(found, lambda x: x["m"]["size"] >= rule.least)
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), (x["start"] + x["m"]["length"]).alias("end")))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
