@@ -205,8 +205,9 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = _components_of(slim, radius)
     best = placed.filter("_id = _component").groupBy("_component").agg(F.min("_digest").alias("_best"))
     gone = placed.join(best, "_component").filter("_id is null or _id != _component or _digest != _best")
-    gone = gone.select(F.col("_id").alias("__id"), F.col("_digest").alias("__digest")).distinct()
     name = free_name(df.columns, "_digest")
+    other_id, other = free_name([*df.columns, name], "_gone_id"), free_name([*df.columns, name], "_gone_digest")
+    gone = gone.select(F.col("_id").alias(other_id), F.col("_digest").alias(other)).distinct()
     kept = df.withColumn(name, F.xxhash64(F.col(text_col).cast("string")))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(name) == F.col("__digest"))
+    same = F.col(id_col).eqNullSafe(F.col(other_id)) & (F.col(name) == F.col(other))
     return kept.join(gone, same, "left_anti").drop(name)
