@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SegmentTable, by_size, id_lists, pre_tokens, tokenizer_path
+from barloom.llm.common import SegmentTable, by_size, id_lists, pre_tokens, resident, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -163,16 +163,9 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))
 
 
-_LOADED: dict[tuple[str, str], Bpe] = {}
-
-
 def loaded(path: str, pattern: str) -> Bpe:
     """The vocabulary of ``path``, read once by each worker."""
-    key = (path, pattern)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe.load(path, pattern)
-    return _LOADED[key]
+    return resident(("bpe", path, pattern), lambda: Bpe.load(path, pattern))
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -31,6 +31,16 @@ def pre_tokens(segment: str, pattern) -> list[str]:
         return pattern.findall(segment)
     return [m[1], m[2]] if m[2] else [m[1]]
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """What a worker process keeps between tasks: one thing at a time, so operators run one after another add nothing up."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
 
 def work_folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``."""

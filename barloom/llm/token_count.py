@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SegmentTable, by_size, pre_tokens, tokenizer_path
+from barloom.llm.common import SegmentTable, by_size, pre_tokens, resident, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK = 1024  # bytes of a long pre-token whose state map is kept
@@ -233,15 +233,9 @@ class Counter:
         return (extra + np.bincount(owner, totals, len(texts)).astype(np.int64)).tolist()
 
 
-_LOADED: dict[str, Counter] = {}
-
-
 def loaded(path: str) -> Counter:
     """The compiled tokenizer of ``path``, one for each worker."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = Counter(path)
-    return _LOADED[path]
+    return resident(("counter", path), lambda: Counter(path))
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SegmentTable, by_size, id_lists, pre_tokens, tokenizer_path, work_folder
+from barloom.llm.common import SegmentTable, by_size, id_lists, pre_tokens, resident, tokenizer_path, work_folder
 from barloom.llm.token_count import BYTE_LEVEL, byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -65,7 +65,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, sorted(self.ids, key=len, reverse=True)))) if added else None
         self.letters = {b: c for c, b in byte_letters().items()}
         self.split = regex.compile(BYTE_LEVEL)
-        self.segments = SegmentTable(self.learn, limit=600_000)
+        self.segments = SegmentTable(self.learn, limit=400_000)
 
     def learn(self, segments: list[str]) -> list[bytes]:
         tokenize, known, fresh = self.tokenizer.model.tokenize, self.segments.value, {}
@@ -98,14 +98,8 @@ class Encoder:
         return out
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def loaded(path: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import SegmentTable, by_size, free_name
+from barloom.llm.common import SegmentTable, by_size, free_name, resident
 
 TRAIN = 4000  # labelled documents that the model is fitted on
 TERMS = 400  # learned terms
-RATIO, SUPPORT = 8.0, 0.02  # a learned term is so much more frequent in toxic documents, and in this share of them
+RATIO, SUPPORT = 8.0, 0.01  # a learned term is so much more frequent in toxic documents, and in this share of them
 WINDOW, REACH = 8, 120  # words and letters on either side of a hit that are read with it
 
 # Words of abuse that need no evidence, reporting verbs, second-person words, quotation marks.
@@ -173,7 +173,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.automaton, self.weights = Automaton(model.words, model.stems), model.weights
-        self.table = SegmentTable(lambda words: [self.automaton.match(w) for w in words], limit=250_000, cut=words_of, named=str)
+        self.table = SegmentTable(lambda words: [self.automaton.match(w) for w in words], limit=200_000, cut=words_of, named=str)
 
     def context(self, text: str, hits: dict[str, float]) -> tuple[float, float]:
         """Weights of the hits that are quoted, and of those that address someone."""
@@ -208,15 +208,8 @@ class Reader:
         return out
 
 
-_READERS: dict[str, Reader] = {}
-
-
 def _reader(model: Model) -> Reader:
-    key = repr((model.words, model.stems, model.weights))
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(model)
-    return _READERS[key]
+    return resident(("reader", repr((model.words, model.stems, model.weights))), lambda: Reader(model))
 
 
 def remainder(ident: Column) -> Column:
@@ -246,7 +239,7 @@ def _prefix_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 v = found.setdefault((t, whole, toxic), [0, 0])
                 v[0] += 1
                 v[1] += min(n, 3)
-            if len(found) > 300_000:
+            if len(found) > 100_000:
                 yield out()
                 found.clear()
     if found:
@@ -263,7 +256,7 @@ def _lexicon(sample: DataFrame) -> Model:
     sizes = {r["_toxic"]: (r["d"], r["w"]) for r in sample.groupBy("_toxic").agg(F.count(F.lit(1)).alias("d"), F.sum(words).alias("w")).collect()}
     (n_bad, w_bad), (_, w_good) = sizes[1], sizes[0]
     rate = F.col("a") / F.lit(float(max(w_bad, 1))) / ((F.col("b") + 0.5) / F.lit(float(max(w_good, 1))))
-    counts = counts.filter(F.col("docs") >= max(6.0, SUPPORT * n_bad)).withColumn("rate", rate).filter(F.col("rate") >= RATIO)
+    counts = counts.filter(F.col("docs") >= max(4.0, SUPPORT * n_bad)).withColumn("rate", rate).filter(F.col("rate") >= RATIO)
     # bounded by TERMS
     best = counts.orderBy((F.col("a") * F.log("rate")).desc(), F.length("term").desc(), F.col("whole").desc(), "term").limit(4 * TERMS).collect()
     words, stems, weights = list(SEED_TERMS), [], dict.fromkeys(SEED_TERMS, 4.0)

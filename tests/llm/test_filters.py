@@ -197,7 +197,9 @@ def test_pipeline_stages(spark):
             assert not any(has(t) for t in left.values()) and all(has(held[i]) for i in gone)
         elif name == "toxicity":
             toxic = Counter(bool(r["toxic"]) for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect() if r["doc_id"] in left)
-            assert toxic[True] < 0.02 * toxic[False] and len(gone) < 0.2 * len(held)
+            assert toxic[True] < 0.05 * toxic[False]
+            clean = {r["doc_id"] for r in spark.read.parquet(f"{LARGER}/labels.parquet").filter("toxic = 0").collect()}
+            assert len(gone & clean) < 0.01 * len(clean)
         docs, held = spark.createDataFrame(out.collect(), out.schema), left
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, LARGER).select("doc_id", "decoded_sha256").collect()
     import hashlib
