@@ -111,8 +111,8 @@ VIEWS: dict[str, tuple[str, str]] = {
         f"""SELECT *, (close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1) * 100 AS pct_chg FROM (
  SELECT code, date, avg(close) AS close FROM (
   SELECT 'csi300' AS code, date, close FROM bars JOIN places USING (entity) UNION ALL
-  SELECT CASE r_regionkey WHEN 0 THEN 'chinext' WHEN 1 THEN 'xin9' WHEN 2 THEN 'hsi' ELSE 'usdcnh' END, date, close
-  FROM bars JOIN places USING (entity) WHERE r_regionkey < 4) GROUP BY code, date) WHERE {DAYNO} % 7 <> 0""",
+  SELECT CASE r_regionkey WHEN 0 THEN 'chinext' WHEN 1 THEN 'xin9' WHEN 2 THEN 'hsi' WHEN 3 THEN 'usdcnh' ELSE 'gold' END, date, close
+  FROM bars JOIN places USING (entity)) GROUP BY code, date)""",
     ),
     "flows": (
         "lines",
@@ -121,8 +121,11 @@ VIEWS: dict[str, tuple[str, str]] = {
  sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END) AS net_mf_amount,
  sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice ELSE 0 END) AS buy_amount,
  sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS sell_amount
- FROM lines WHERE {DAYNO} % 17 <> 0 GROUP BY l_suppkey, date""",
+ FROM lines GROUP BY l_suppkey, date""",
     ),
+    "flows17": ("flows", f"SELECT * FROM flows WHERE {DAYNO} % 17 <> 0"),
+    "idx7": ("idx", f"SELECT * FROM idx WHERE {DAYNO} % 7 <> 0"),
+    "val13": ("val", f"SELECT * FROM val WHERE {DAYNO} % 13 <> 0"),
     "val": (
         "lines",
         f"""SELECT entity, date, vol / 10 AS turnover_rate, vol / 8 AS turnover_rate_f, pe_ttm * 1.1 AS pe, pe_ttm,
@@ -131,7 +134,7 @@ VIEWS: dict[str, tuple[str, str]] = {
  vol * 40 AS free_share, close * vol AS total_mv, close * vol * 0.6 AS circ_mv FROM (
   SELECT d.*, close / (disc + 1) * CASE WHEN s_acctbal < 0 THEN -1.0 ELSE 1.0 END / 1000 AS pe_ttm FROM (
    SELECT l_suppkey AS entity, date, last(price ORDER BY {_LINE_ORDER}) AS close, sum(l_quantity) AS vol,
-    avg(l_discount) AS disc, avg(l_tax) AS tax FROM lines WHERE {DAYNO} % 13 <> 0 GROUP BY l_suppkey, date) d
+    avg(l_discount) AS disc, avg(l_tax) AS tax FROM lines GROUP BY l_suppkey, date) d
   JOIN supplier ON s_suppkey = entity)""",
     ),
     "preds": (

@@ -80,20 +80,18 @@ def _(t):
 
     feats = ["return_lag_1", "return_lag_2", "return_lag_3", "volume"]
     df = add_labels(add_lag_returns(t.bars())).select(*KEYS, *feats, "next_day_return").where(c("next_day_return").isNotNull())
-    model = so.fit_base(df.where(c("date") < "1998-01-01"), feats, "next_day_return", rounds=5, depth=3)
+    model = so.fit_base(df, feats, "next_day_return", rounds=5, depth=3, fit_until="1998-01-01")
     return residual_label(so.predict_base(model, df, feats), "base_pred")
 
 
-_FUSE = f"""SELECT predicted_return AS a, CASE WHEN {DAYNO.replace('date', 'l.date')} % 2 = 0 THEN volume ELSE predicted_return / 3 END AS b, greatest(-1, least(1, next_day_return)) AS y
+_FUSE = f"""SELECT predicted_return AS a, CASE WHEN {DAYNO.replace('date', 'l.date')} % 2 = 0 THEN volume ELSE predicted_return / 3 END AS b, next_day_return AS y
  FROM preds p JOIN ({LABELS}) l ON l.entity = p.entity AND l.date = p.date WHERE next_day_return IS NOT NULL"""
 
 
 def _fusion_rows(t):
-    from barloom.functions.scalars import clamp
-
     df = t.preds().join(add_labels(t.bars()).select(*KEYS, "volume", "next_day_return"), KEYS).where(c("next_day_return").isNotNull())
     other = F.when(day_number(c("date")) % 2 == 0, c("volume")).otherwise(c("predicted_return") / 3)
-    return df.select(*KEYS, c("predicted_return").alias("a"), other.alias("b"), clamp(c("next_day_return"), -1, 1).alias("y"))
+    return df.select(*KEYS, c("predicted_return").alias("a"), other.alias("b"), c("next_day_return").alias("y"))
 
 
 _WEIGHTS = f"""SELECT n, wa AS weight_a, wb AS weight_b, my - wa * ma - wb * mb AS intercept, vyy - wa * vay - wb * vby AS mse FROM (
@@ -275,11 +273,12 @@ def _(t):
     return va.label_distribution(add_labels(t.bars()))
 
 
-@query("movers", "side:s entity:i close_pct:f4", "VAL-08 SRT-06", "rets",
-       """WITH d AS (SELECT entity, pct_chg AS close_pct FROM rets WHERE date = DATE '2000-06-15')
- SELECT * FROM (SELECT 'best' AS side, * FROM d ORDER BY close_pct DESC, entity LIMIT 5) UNION ALL SELECT * FROM (SELECT 'worst' AS side, * FROM d ORDER BY close_pct, entity LIMIT 5)""")
+@query("movers", "date:d side:s entity:i close_pct:f4", "VAL-08 SRT-06", "rets",
+       """WITH d AS (SELECT entity, date, pct_chg AS close_pct FROM rets)
+ SELECT * FROM (SELECT 'best' AS side, *, row_number() OVER (PARTITION BY date ORDER BY close_pct DESC, entity) AS n FROM d) WHERE n <= 5
+ UNION ALL SELECT * FROM (SELECT 'worst' AS side, *, row_number() OVER (PARTITION BY date ORDER BY close_pct, entity) AS n FROM d) WHERE n <= 5""")
 def _(t):
-    return va.movers(t.returns().where(c("date") == "2000-06-15").withColumnRenamed("pct_chg", "close_pct"))
+    return va.movers(t.returns().withColumnRenamed("pct_chg", "close_pct"))
 
 
 @query("directional_accuracy", "total:i correct:i accuracy_pct:f2", "VAL-09 AG-12", "validated",
@@ -299,7 +298,7 @@ def _(t):
     return va.price_errors(df, "close", "predicted_return", "actual_return", "confidence")
 
 
-@query("prediction_roster", "entity:i date:d confidence predicted_return", "VAL-11", "preds", "SELECT * FROM preds WHERE date = (SELECT max(date) FROM preds) ORDER BY confidence DESC, entity LIMIT 100")
+@query("prediction_roster", "entity:i date:d confidence predicted_return", "VAL-11", "preds", "SELECT * FROM preds WHERE date = (SELECT max(date) FROM preds) ")
 def _(t):
     return va.roster(t.preds())
 
@@ -314,7 +313,7 @@ def _(t):
 _BT = bt.BacktestParams(max_positions=5, return_unit=1.0, position_size=0.001)
 add_view(
     "sigret", "direct bars",
-    f"""SELECT d.*, CASE WHEN next_day_return IS NOT NULL THEN greatest(-0.5, least(0.5, next_day_return)) END AS actual_return_1day, CASE WHEN next_3day_return IS NOT NULL THEN greatest(-0.5, least(0.5, next_3day_return)) END AS actual_return_3day FROM direct d
+    f"""SELECT d.*, next_day_return AS actual_return_1day, next_3day_return AS actual_return_3day FROM direct d
  LEFT JOIN ({LABELS}) l ON l.entity = d.entity AND l.date = d.date""",
 )
 add_view(
@@ -335,13 +334,7 @@ add_view(
 
 
 def _signals_with_returns(t):
-    from barloom.functions.scalars import clamp
-
-    labels = add_labels(t.bars()).select(
-        *KEYS,
-        clamp(c("next_day_return"), -0.5, 0.5).alias("actual_return_1day"),
-        clamp(c("next_3day_return"), -0.5, 0.5).alias("actual_return_3day"),
-    )
+    labels = add_labels(t.bars()).select(*KEYS, c("next_day_return").alias("actual_return_1day"), c("next_3day_return").alias("actual_return_3day"))
     return sg.signals_from_predictions(t.preds()).join(labels, KEYS, "left")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.base import BY, DAYNO, full, over, query
 from barloom.operators import adjust, context, momentum, pattern, price, trend, volatility, volume
-from barloom.sources.tables import day_number
+from barloom.sources.tables import day_number, with_gaps
 
 c = F.col
 W = over()
@@ -496,21 +496,21 @@ _IDX = """SELECT *, CASE WHEN abs(m5) > 1e-6 THEN (close - m5) / m5 * 100 END AS
  avg(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m20 FROM idx)"""
 
 
-def index_context_sql(at: str, codes=_CODES) -> str:
+def index_context_sql(at: str, codes=_CODES, view: str = "idx") -> str:
     picks, joins = [], []
     for k in codes:
         picks.append(f"{k}.pct_chg AS {k}_pct_chg, {k}.vs5 AS {k}_vs_ma5_pct, {k}.vs20 AS {k}_vs_ma20_pct, {k}.date AS {k}_ref_date")
         joins.append(f"ASOF LEFT JOIN (SELECT * FROM ix WHERE code = '{k}') {k} ON b.at >= {k}.date")
-    return f"""WITH ix AS ({_IDX}), b AS (SELECT entity, date, {at} AS at FROM bars)
+    return f"""WITH ix AS ({_IDX.replace('FROM idx', f'FROM {view}')}), b AS (SELECT entity, date, {at} AS at FROM bars)
  SELECT b.entity, b.date, {', '.join(picks)} FROM b {' '.join(joins)}"""
 
 
 _INDEX_OUT = " ".join(f"{k}_pct_chg {k}_vs_ma5_pct {k}_vs_ma20_pct {k}_ref_date:d" for k in _CODES)
 
 
-@query("index_context", f"entity:i date:d {_INDEX_OUT}", "F-33 JN-07 JN-14 WIN-04", "bars idx", index_context_sql(f"lag(date) {W}"))
+@query("index_context", f"entity:i date:d {_INDEX_OUT}", "F-33 JN-07 JN-14 WIN-04", "bars idx7", index_context_sql(f"lag(date) {W}", view="idx7"))
 def _(t):
-    return context.add_index_context(t.bars(), t.index_bars(), _CODES)
+    return context.add_index_context(t.bars(), with_gaps(t.index_bars(), 7), _CODES)
 
 
 @query("index_context_same_day", "entity:i date:d csi300_pct_chg csi300_vs_ma5_pct csi300_vs_ma20_pct csi300_ref_date:d", "F-33 F-34", "bars idx",

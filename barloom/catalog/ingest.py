@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -23,10 +22,7 @@ KEYS = ["entity", "date"]
 
 def scratch(spark, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("/"):
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    return os.path.join(base, f"{name}-{spark.sparkContext.applicationId}-{id(object())}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # -------------------------------------------------------------------------------------------- sources

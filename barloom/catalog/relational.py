@@ -13,7 +13,7 @@ from barloom.operators import ranking, windows
 from barloom.operators import universe as un
 from barloom.operators.price import add_labels, add_momentum, add_returns
 from barloom.operators.quality import compare_versions, split_overlap, version_summary
-from barloom.sources.tables import day_number
+from barloom.sources.tables import day_number, with_gaps
 
 c = F.col
 W = over()
@@ -128,14 +128,14 @@ def _(t):
     return jn.lookup(t.preds().join(t.dim(), "entity", "left"), t.valuation(), KEYS, ["pe_ttm"])
 
 
-@query("semi_join", "entity:i date:d close:f4", "JN-03", "bars flows", "SELECT * FROM bars b WHERE EXISTS (SELECT 1 FROM flows f WHERE f.entity = b.entity AND f.date = b.date)")
+@query("semi_join", "entity:i date:d close:f4", "JN-03", "bars flows17", "SELECT * FROM bars b WHERE EXISTS (SELECT 1 FROM flows17 f WHERE f.entity = b.entity AND f.date = b.date)")
 def _(t):
-    return jn.has_match(t.bars(), t.flows(), KEYS)
+    return jn.has_match(t.bars(), with_gaps(t.flows(), 17), KEYS)
 
 
-@query("anti_join", "entity:i date:d close:f4", "JN-04", "bars flows", "SELECT * FROM bars b WHERE NOT EXISTS (SELECT 1 FROM flows f WHERE f.entity = b.entity AND f.date = b.date)")
+@query("anti_join", "entity:i date:d close:f4", "JN-04", "bars flows17", "SELECT * FROM bars b WHERE NOT EXISTS (SELECT 1 FROM flows17 f WHERE f.entity = b.entity AND f.date = b.date)")
 def _(t):
-    return jn.has_no_match(t.bars(), t.flows(), KEYS)
+    return jn.has_no_match(t.bars(), with_gaps(t.flows(), 17), KEYS)
 
 
 @query("scalar_cross_join", "entity:i date:d close:f4 max_date:d mean_close:f4", "JN-05", "bars",
@@ -223,11 +223,11 @@ def _(t):
     return wide.withColumn("level", jn.first_available(c("usdcnh_close"), c("hsi_close"), c("csi300_close")))
 
 
-@query("unmatched_counts", "left_unmatched:i right_unmatched:i", "JN-15", "bars flows",
-       """SELECT (SELECT count(*) FROM bars b WHERE volume > 5 AND NOT EXISTS (SELECT 1 FROM flows f WHERE f.entity = b.entity AND f.date = b.date)) AS left_unmatched,
- (SELECT count(*) FROM flows f WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE f.entity = b.entity AND f.date = b.date AND b.volume > 5)) AS right_unmatched""")
+@query("unmatched_counts", "left_unmatched:i right_unmatched:i", "JN-15", "bars flows17",
+       """SELECT (SELECT count(*) FROM bars b WHERE volume > 5 AND NOT EXISTS (SELECT 1 FROM flows17 f WHERE f.entity = b.entity AND f.date = b.date)) AS left_unmatched,
+ (SELECT count(*) FROM flows17 f WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE f.entity = b.entity AND f.date = b.date AND b.volume > 5)) AS right_unmatched""")
 def _(t):
-    return jn.join_counting(t.bars().where(c("volume") > 5), t.flows(), KEYS)[1]
+    return jn.join_counting(t.bars().where(c("volume") > 5), with_gaps(t.flows(), 17), KEYS)[1]
 
 
 @query("three_way_predictions", "entity:i date:d next_day_return base model", "JN-16", "bars preds",

@@ -84,7 +84,7 @@ FEATURE_OUT = "entity:i date:d volume amount:f4 " + " ".join(n + _kind(n) for n
 def _feature_sql() -> str:
     picks, joins = [], []
     for i, (name, cols) in enumerate(_COLUMNS.items()):
-        body = REGISTRY[name].body.replace("rbars", "bars")
+        body = REGISTRY[name].body.replace("rbars", "bars").replace("idx7", "idx")
         joins.append(f"JOIN ({body}) p{i} ON p{i}.entity = b.entity AND p{i}.date = b.date")
         picks += [f"p{i}.{n} AS {_index_name(n)}" for n in cols]
     for view, name in (("streak", "consecutive_days"), ("streak_capped", "consecutive_up_days")):
@@ -280,11 +280,16 @@ def _(t):
 
 # ---------------------------------------------------------------------------------------------- market
 
-_DAY = "DATE '2000-06-15'"
+_DAY = "(SELECT max(date) FROM bars)"
+
+
+def _newest_day(t):
+    """The newest date, from the raw date column alone."""
+    return t.lines().agg(F.max("date")).scalar()
 
 
 def _on_day(t):
-    return feature_rows(t), F.lit("2000-06-15").cast("date")
+    return feature_rows(t), _newest_day(t)
 
 
 @query("report_market_sentiment", "stocks:i avg_close:f4 avg_momentum:f4 avg_rsi:f2 avg_vol_ratio:f4 csi300_chg:f4", "RP-16", FEATURE_VIEWS,
@@ -314,9 +319,9 @@ def _(t):
 
 @query("report_trading", "entity:i name:s industry:s predicted_return confidence signal:s date:d model_version:s", "RP-18 SRT-02 SNK-03", "preds dim",
        f"""SELECT p.*, d.name, d.industry, CASE WHEN predicted_direction THEN 'BUY' ELSE 'SELL' END AS signal FROM preds p LEFT JOIN dim d ON d.entity = p.entity
- WHERE date = {_DAY} AND confidence >= 0.3 ORDER BY abs(predicted_return) DESC, confidence DESC, p.entity LIMIT 50""")
+ WHERE date = (SELECT max(date) FROM preds) AND confidence >= 0.3 ORDER BY abs(predicted_return) DESC, confidence DESC, p.entity LIMIT 50""")
 def _(t):
-    return rp.trading_report(t.preds(), t.dim(), F.lit("2000-06-15").cast("date"), 0.3)
+    return rp.trading_report(t.preds(), t.dim(), t.preds().agg(F.max("date")).scalar(), 0.3)
 
 
 @query("report_prediction_overview", "latest_date:d predictions:i entities:i avg_confidence", "RP-19 AG-02", "preds",

@@ -52,13 +52,18 @@ def score_sequences(df: DataFrame, model: Model, outputs: Sequence[str] = ("pred
     return df.mapInPandas(run, schema)
 
 
-def fit_base(df: DataFrame, features: Sequence[str], target: str, rounds: int = 20, depth: int = 4, seed: int = 42):
-    """Gradient-boosted regression trees over named columns (null counts as 0); returns the fitted pipeline."""
+def fit_base(df: DataFrame, features: Sequence[str], target: str, rounds: int = 20, depth: int = 4, seed: int = 42, fit_until=None, ts: str = "date"):
+    """Gradient-boosted regression trees over named columns (null counts as 0); returns the fitted pipeline.
+
+    ``fit_until``: rows with ``ts`` before it are fitted on, so that later rows stay unseen; by default all are.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     data = df.where(c(target).isNotNull()).fillna(0.0, subset=list(features))
+    if fit_until is not None:
+        data = data.where(c(ts) < F.lit(fit_until).cast("date"))
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"),
         GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="base_pred", maxIter=rounds, maxDepth=depth, seed=seed),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import round_to
-from barloom.operators.aggregates import best_and_worst
+from barloom.operators.aggregates import top_n
 from barloom.operators.windows import ordered, ratio
 
 c = F.col
@@ -107,8 +107,10 @@ def label_distribution(df: DataFrame, label: str = "next_day_return", ts: str =
     )
 
 
-def movers(df: DataFrame, col: str = "close_pct", n: int = 5) -> DataFrame:
-    return best_and_worst(df, col, ["entity"], n)
+def movers(df: DataFrame, col: str = "close_pct", n: int = 5, ts: str = "date") -> DataFrame:
+    """The n largest gains and losses of every date."""
+    best = top_n(df, ts, [c(col).desc_nulls_last(), c("entity")], n).withColumn("side", F.lit("best"))
+    return best.unionByName(top_n(df, ts, [c(col).asc_nulls_last(), c("entity")], n).withColumn("side", F.lit("worst")))
 
 
 def directional_accuracy(df: DataFrame, pred: str, actual: str) -> DataFrame:
@@ -138,10 +140,11 @@ def price_errors(df: DataFrame, base: str, pred_pct: str, actual_pct: str, confi
     )
 
 
-def roster(preds: DataFrame, ts: str = "date", n: int = 100) -> DataFrame:
-    """Newest predictions, most confident first."""
+def roster(preds: DataFrame, ts: str = "date", n: int | None = None) -> DataFrame:
+    """All predictions of the newest date, most confident first; ``n`` keeps the first n."""
     latest = preds.where(c(ts) == preds.agg(F.max(ts)).scalar())
-    return latest.orderBy(c("confidence").desc_nulls_last(), "entity").limit(n)
+    ranked = latest.orderBy(c("confidence").desc_nulls_last(), "entity")
+    return ranked if n is None else ranked.limit(n)
 
 
 def history(preds: DataFrame, entity, n: int = 100, ts: str = "date") -> DataFrame:

@@ -68,7 +68,3 @@ def infer_payload_schema(df: DataFrame, col: str = "payload", keys=("ts_code", "
     return T.StructType(
         [T.StructField(r["field"], T.DoubleType() if r["type"] == "double" else T.StringType()) for r in found]
     )
-
-
-def numeric_name(name: str) -> bool:
-    return re.search(NUMERIC_NAME, name.lower()) is not None

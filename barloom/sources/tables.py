@@ -17,12 +17,17 @@ from barloom.session import settle
 
 c = F.col
 
-# Index codes: the whole market, then regions 0..3.
-INDEX_OF_REGION = {0: "chinext", 1: "xin9", 2: "hsi", 3: "usdcnh"}
+# Index codes: the whole market, then each region.
+INDEX_OF_REGION = {0: "chinext", 1: "xin9", 2: "hsi", 3: "usdcnh", 4: "gold"}
 MARKET = "csi300"
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 
 
+def with_gaps(df: DataFrame, days: int) -> DataFrame:
+    """``df`` without every ``days``-th day number, for queries whose point is a missing match."""
+    return df.where(day_number(c("date")) % days != 0)
+
+
 def day_number(date: Column) -> Column:
     """Days since 1970-01-01."""
     return F.datediff(date, F.lit("1970-01-01").cast("date"))
@@ -140,7 +145,7 @@ class Tables:
         )
 
     def index_bars(self) -> DataFrame:
-        """Daily mean close of the market and of four regions, without every 7th day number."""
+        """Daily mean close of the market and of each region."""
         by_region = F.lit(None).cast("string")
         for k, v in INDEX_OF_REGION.items():
             by_region = F.when(c("r_regionkey") == k, v).otherwise(by_region)
@@ -151,17 +156,15 @@ class Tables:
             .select(F.explode("codes").alias("code"), "date", "close")
             .groupBy("code", "date")
             .agg(F.avg("close").alias("close"))
-            .where(day_number(c("date")) % 7 != 0)
         )
         return daily.withColumn("pct_chg", (ratio(c("close"), lagged("close", 1, "code")) - 1) * 100)
 
     def flows(self) -> DataFrame:
-        """Net flow per (entity, date): lines not returned against returned ones; none on every 17th day."""
+        """Net flow per (entity, date): lines not returned against returned ones."""
         back = c("l_returnflag") == "R"
         signed = lambda n: F.sum(F.when(back, -c(n)).otherwise(c(n)))
         return (
             self.lines()
-            .where(day_number(c("date")) % 17 != 0)
             .groupBy(c("l_suppkey").alias("entity"), "date")
             .agg(
                 signed("l_quantity").alias("net_mf_vol"),
@@ -172,11 +175,10 @@ class Tables:
         )
 
     def valuation(self) -> DataFrame:
-        """Valuation per (entity, date), negative earnings for indebted suppliers, none on every 13th day."""
+        """Valuation per (entity, date), negative earnings for indebted suppliers."""
         at = F.struct(*_ORDER)
         daily = (
             self.lines()
-            .where(day_number(c("date")) % 13 != 0)
             .groupBy(c("l_suppkey").alias("entity"), "date")
             .agg(
                 F.max_by("price", at).alias("close"),
