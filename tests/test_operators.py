@@ -178,3 +178,22 @@ def test_checkpoint_dir_follows_the_session(spark):
     from barloom.session import ensure_checkpoint_dir
 
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+def test_roster_has_no_cap(spark):
+    """All predictions of the newest date, however many there are; a cap only where one is asked for."""
+    from barloom.plans.validation import roster
+
+    preds = spark.range(250).selectExpr("id as entity", "date '2001-01-02' as date", "cast(id % 7 as double) as confidence")
+    old = spark.range(5).selectExpr("id as entity", "date '2001-01-01' as date", "9d as confidence")
+    rows = roster(preds.unionByName(old)).collect()
+    assert len(rows) == 250 and rows[0]["confidence"] == 6
+    assert roster(preds, n=10).count() == 10
+
+
+def test_movers_of_every_date(spark):
+    from barloom.plans.validation import movers
+
+    df = spark.range(60).selectExpr("id as entity", "date_add(date '2001-01-01', cast(id % 3 as int)) as date", "cast(id as double) as close_pct")
+    rows = movers(df, n=2).collect()
+    assert len(rows) == 12 and {r["entity"] for r in rows if r["side"] == "best"} == set(range(54, 60))
