@@ -113,7 +113,7 @@ def _(t):
 # --------------------------------------------------------------------------------------- flow reports
 
 U = 10_000.0
-_ASOF = "(SELECT max(date) FROM sflows)"
+_ASOF = "(SELECT max(date) FROM lines)"
 
 
 @query("report_top_inflow", "code:s name:s net_5d:f2 pct_sum_5d:f2 pct_avg_5d:f2", "RP-01", "sflows",
@@ -123,7 +123,7 @@ _ASOF = "(SELECT max(date) FROM sflows)"
  WHERE k >= 2 ORDER BY n5 DESC, code LIMIT 20""")
 def _(t):
     f = t.sector_flows()
-    return rp.top_inflow(f, rp.newest(f), unit=U, min_days=2)
+    return rp.top_inflow(f, t.newest_day(), unit=U, min_days=2)
 
 
 @query("report_accelerating_inflow", "code:s name:s net_last:f2 net_prev:f2 acceleration:f2", "RP-02", "sflows",
@@ -132,7 +132,7 @@ def _(t):
  FROM sflows WHERE date >= {_ASOF} - 12 GROUP BY code, name) WHERE a > 0 AND a > coalesce(b, 0) ORDER BY a - coalesce(b, 0) DESC, code LIMIT 20""")
 def _(t):
     f = t.sector_flows()
-    return rp.accelerating_inflow(f, rp.newest(f), unit=U)
+    return rp.accelerating_inflow(f, t.newest_day(), unit=U)
 
 
 @query("report_strong_day", "code:s name:s lead_stock:i close_price:f3 pct_change:f2 net_amount:f2", "RP-03", "sflows",
@@ -147,7 +147,7 @@ def _(t):
  FROM sflows WHERE date >= {_ASOF} - 7 GROUP BY code, name) WHERE days >= 3 AND pos_days >= 3 ORDER BY s DESC, code LIMIT 20""")
 def _(t):
     f = t.sector_flows()
-    return rp.consistent_inflow(f, rp.newest(f), unit=U)
+    return rp.consistent_inflow(f, t.newest_day(), unit=U)
 
 
 @query("report_industry_inflow", "code:s name:s net_amount:f2 net_buy_amount:f2 net_sell_amount:f2", "RP-05 RP-06", "sflows",
@@ -194,7 +194,7 @@ def _(t):
 
 # --------------------------------------------------------------------------------------------- sectors
 
-_SEC = "(SELECT max(date) FROM sectors)"
+_SEC = "(SELECT max(date) FROM lines)"
 
 
 def _recent(days: int) -> str:
@@ -206,7 +206,7 @@ def _recent(days: int) -> str:
  FROM {_recent(10)} WHERE rn <= 5 GROUP BY code, name HAVING count(*) = 5 ORDER BY sum(pct_change) DESC, code LIMIT 20""")
 def _(t):
     s = t.sectors()
-    return rp.sector_momentum(s, rp.newest(s), unit=U)
+    return rp.sector_momentum(s, t.newest_day(), unit=U)
 
 
 @query("report_sector_acceleration", "code:s name:s today_pct:f2 avg_recent:f2 avg_prev:f2 acceleration:f2 net_up:f0", "RP-10", "sectors",
@@ -215,7 +215,7 @@ def _(t):
   max(CASE WHEN rn = 1 THEN pct_change END) AS t FROM {_recent(10)} WHERE rn <= 6 GROUP BY code, name) WHERE a > b AND a > 0 AND n > 0 ORDER BY a - b DESC, code LIMIT 20""")
 def _(t):
     s = t.sectors()
-    return rp.sector_acceleration(s, rp.newest(s), min_net_up=0)
+    return rp.sector_acceleration(s, t.newest_day(), min_net_up=0)
 
 
 @query("report_strong_leaders", "code:s name:s pct_change:f4 leading_code:i leading_pct:f4 up_num:i down_num:i pct_up:f1 turnover_rate", "RP-11 JN-05", "sectors",
@@ -238,7 +238,7 @@ def _(t):
  FROM sectors WHERE date >= {_SEC} - 30) WHERE rn = 1 AND pct_change > 0 AND turnover_rate > m * 1.5 ORDER BY turnover_rate / m DESC, pct_change DESC, code LIMIT 20""")
 def _(t):
     s = t.sectors()
-    return rp.volume_breakout(s, rp.newest(s))
+    return rp.volume_breakout(s, t.newest_day())
 
 
 @query("report_consistent_winners", "code:s name:s trading_days:i positive_days:i win_rate_pct:f1 avg_daily_change:f2 cumulative_return:f2", "RP-13 AG-04", "sectors",
@@ -246,7 +246,7 @@ def _(t):
  FROM {_recent(15)} WHERE rn <= 10 GROUP BY code, name HAVING count(*) >= 8 AND count_if(pct_change > 0) / count(*) >= 0.5 ORDER BY count_if(pct_change > 0) / count(*) DESC, sum(pct_change) DESC, code LIMIT 20""")
 def _(t):
     s = t.sectors()
-    return rp.consistent_winners(s, rp.newest(s), share=0.5)
+    return rp.consistent_winners(s, t.newest_day(), share=0.5)
 
 
 _STATS = f"""SELECT code, name, sum(pct_change) AS s, avg(turnover_rate) AS tr, avg(up_num - down_num) AS n, max(CASE WHEN rn = 1 THEN pct_change END) AS l, max(CASE WHEN rn = 1 THEN leading_pct END) AS lp,
@@ -258,7 +258,7 @@ _STATS = f"""SELECT code, name, sum(pct_change) AS s, avg(turnover_rate) AS tr,
  SELECT *, s * 2 + l * 3 + n * 0.1 + coalesce(lp, 0) + (tr - 1) * 5 AS x FROM ({_STATS})) WHERE s > 0 AND n > 0 ORDER BY x DESC, code LIMIT 30""")
 def _(t):
     s = t.sectors()
-    return rp.sector_composite(s, rp.newest(s))
+    return rp.sector_composite(s, t.newest_day())
 
 
 @query("report_sector_composite_limit_up", "code:s name:s today_pct:f2 return_5d:f2 avg_turnover:f2 avg_net_up:f0 limit_up_num:f0 vol_ratio:f2 composite_score:f2", "RP-14", "sectors",
@@ -266,7 +266,7 @@ def _(t):
  SELECT *, s * 2 + l * 3 + n * 0.1 + coalesce(lu, 0) * 2 + (tr - 1) * 5 + coalesce(vr, 1) * 2 AS x FROM ({_STATS})) WHERE s > 0 AND n > 0 ORDER BY x DESC, code LIMIT 30""")
 def _(t):
     s = t.sectors()
-    return rp.sector_composite(s, rp.newest(s), rp.WEIGHTS_LIMIT_UP)
+    return rp.sector_composite(s, t.newest_day(), rp.WEIGHTS_LIMIT_UP)
 
 
 @query("report_rising_constituents", "code:s entity:i name:s pct_change:f2 close_price:f3 vol_millions:f6", "RP-15 JN-13", "sectors rets dim",
@@ -283,13 +283,8 @@ def _(t):
 _DAY = "(SELECT max(date) FROM bars)"
 
 
-def _newest_day(t):
-    """The newest date, from the raw date column alone."""
-    return t.lines().agg(F.max("date")).scalar()
-
-
 def _on_day(t):
-    return feature_rows(t), _newest_day(t)
+    return feature_rows(t), t.newest_day()
 
 
 @query("report_market_sentiment", "stocks:i avg_close:f4 avg_momentum:f4 avg_rsi:f2 avg_vol_ratio:f4 csi300_chg:f4", "RP-16", FEATURE_VIEWS,

@@ -48,6 +48,10 @@ class Tables:
             {"date": c("l_shipdate").cast("date"), "price": ratio(c("l_extendedprice"), c("l_quantity"))}
         )
 
+    def newest_day(self) -> Column:
+        """The newest date as a scalar subquery over the raw date column alone."""
+        return self.table("lineitem").agg(F.max(c("l_shipdate").cast("date"))).scalar()
+
     def _ohlc(self, df: DataFrame, *keys) -> DataFrame:
         at = F.struct(*_ORDER)
         return df.groupBy(*keys).agg(
