@@ -597,13 +597,16 @@ def _(t):
     return context.add_position_positive(context.add_valuation(t.bars(), t.valuation(), ("pe_ttm",)))
 
 
-@query("rolling_corr", "entity:i date:d rolling_corr relative_return", "F-47", "bars idx",
-       f"""SELECT entity, date, CASE WHEN rn < 20 OR sa = 0 OR sb = 0 THEN 0 ELSE r END AS rolling_corr, ra - rb AS relative_return FROM (
- SELECT entity, date, row_number() {W} AS rn, stddev_pop(close) {over(20)} AS sa, stddev_pop(x) {over(20)} AS sb, corr(close, x) {over(20)} AS r,
-  (close - lag(close) {W}) / lag(close) {W} * 100 AS ra, (x - lag(x) {W}) / lag(x) {W} * 100 AS rb FROM (
-  SELECT b.entity, b.date, b.close, i.close AS x FROM bars b JOIN idx i ON i.date = b.date AND i.code = 'csi300'))""")
+_JOINT = "PARTITION BY entity, x IS NULL ORDER BY date"
+
+
+@query("rolling_corr", "entity:i date:d rolling_corr relative_return", "F-47", "bars idx7",
+       f"""SELECT entity, date, CASE WHEN x IS NULL THEN NULL WHEN rn < 20 OR sa = 0 OR sb = 0 THEN 0 ELSE r END AS rolling_corr, CASE WHEN x IS NOT NULL THEN ra - rb END AS relative_return FROM (
+ SELECT entity, date, x, row_number() {over(by=_JOINT)} AS rn, stddev_pop(close) {over(20, _JOINT)} AS sa, stddev_pop(x) {over(20, _JOINT)} AS sb, corr(close, x) {over(20, _JOINT)} AS r,
+  (close - lag(close) {over(by=_JOINT)}) / lag(close) {over(by=_JOINT)} * 100 AS ra, (x - lag(x) {over(by=_JOINT)}) / lag(x) {over(by=_JOINT)} * 100 AS rb FROM (
+  SELECT b.entity, b.date, b.close, i.close AS x FROM bars b LEFT JOIN idx7 i ON i.date = b.date AND i.code = 'csi300'))""")
 def _(t):
-    return context.add_rolling_corr(t.bars(), t.index_bars().where(c("code") == "csi300"))
+    return context.add_rolling_corr(t.bars(), with_gaps(t.index_bars(), 7).where(c("code") == "csi300"))
 
 
 # --------------------------------------------------------------------------------------------- labels

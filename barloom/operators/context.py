@@ -198,9 +198,10 @@ def add_rolling_corr(
     df: DataFrame, other: DataFrame, n: int = 20, a: str = "close", b: str = "close", key: str = "entity", ts: str = "date"
 ) -> DataFrame:
     """Correlation of the entity's and a reference series' last n joint rows (0 when either is flat), and the
-    difference of their percent returns."""
+    difference of their percent returns; null on dates that the reference lacks."""
     ref = other.select(ts, F.col(b).alias("_other"))
-    joined = df.join(ref, ts)
+    joined = df.join(ref, ts, "left").withColumn("_joint", c("_other").isNotNull())
+    key = (key, "_joint")  # rows without a partner have windows of their own
     w = trailing(n, key, ts)
     flat = (F.stddev_pop(a).over(w) == 0) | (F.stddev_pop("_other").over(w) == 0)
     own = ratio(c(a) - lagged(a, 1, key, ts), lagged(a, 1, key, ts)) * 100
@@ -216,8 +217,8 @@ def add_rolling_corr(
                 "_ref_move": ref_move,
             },
             {
-                "rolling_corr": F.when(c("_row") < n, 0.0).when(c("_flat"), 0.0).otherwise(c("_corr")),
-                "relative_return": c("_own") - c("_ref_move"),
+                "rolling_corr": F.when(~c("_joint"), None).when(c("_row") < n, 0.0).when(c("_flat"), 0.0).otherwise(c("_corr")),
+                "relative_return": F.when(c("_joint"), c("_own") - c("_ref_move")),
             },
         ],
-    ).drop("_other")
+    ).drop("_other", "_joint")

@@ -100,8 +100,12 @@ def resolve_code(df: DataFrame, dim: DataFrame, code: str = "code", name: str =
         .drop("_n")
     )
     found = F.when(F.col(code).isNotNull(), "given").when(F.col("_by_name").isNotNull(), "by_name").otherwise("unresolved")
+    # Only rows that need a code are joined by name.
+    given = F.col(code).isNotNull() | F.col(name).isNull()
+    looked_up = df.where(~given).join(unique, name, "left")
+    rest = df.where(given).withColumn("_by_name", F.lit(None).cast(dim.schema[code].dataType))
     return (
-        df.join(unique, name, "left")
+        rest.unionByName(looked_up)
         .withColumn("resolution", found)
         .withColumn(code, F.coalesce(F.col(code), F.col("_by_name")))
         .drop("_by_name")
