@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -37,11 +38,18 @@ _RESIDENT: dict = {}
 def resident(key, make: Callable):
     """What a worker process keeps between tasks: one thing at a time, so operators run one after another add nothing up."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        release()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
 
+def release() -> None:
+    """Drop what ``resident`` keeps; tasks of operators that keep nothing begin with it."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+
+
 def work_folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{spark.sparkContext.applicationId}"
@@ -69,15 +77,6 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def pieces(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``size`` bytes or one row."""
-    for batch in batches:
-        n = batch.num_rows
-        step = max(1, n * size // max(batch.nbytes, 1))
-        for i in range(0, n, step):
-            yield batch.slice(i, step)
-
-
 def segments(text: str, window: int = 4 << 20) -> Iterator[list[str]]:
     """The segments of a text, a window at a time, so that a very long text is never held as one list."""
     at, n = 0, len(text)
@@ -180,7 +179,7 @@ class SegmentTable(dict):
         return [b"".join(map(value, x.tolist())) for x in found]
 
 
-def by_size(texts: list[str], size: int = 8 << 20) -> Iterator[list[str]]:
+def by_size(texts: list[str], size: int = 4 << 20) -> Iterator[list[str]]:
     """Consecutive texts, about ``size`` characters or one text at a time."""
     lo, n = 0, 0
     for i, t in enumerate(texts):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import free_name, stored
+from barloom.llm.common import free_name, release, stored
 
 N = 5  # words of a seed
 SEEDS, RARE = 32, 100  # the rarest n-grams of an item, and all others in at most so many documents
@@ -191,6 +191,7 @@ def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
     """Documents that hold each n-gram of the block; at most one row for each of its n-grams."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: dict[int, int] = defaultdict(int)
         for b in batches:
             for _, _, _, found in items.by_text(_bytes(b.column(0))):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import free_name, stored
+from barloom.llm.common import free_name, release, stored
 
 PREFIX = 64
 
@@ -39,6 +39,7 @@ def _runs(columns: list[str], heads_only: bool):
     """Pass over sorted rows: number the runs of equal texts and report the texts at both ends of the partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         base = TaskContext.get().partitionId() << 40
         n_runs, last_text, last_key, schema, head = 0, None, None, None, None
         at_start, first_key = True, None

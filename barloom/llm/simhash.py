@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import free_name, stored
+from barloom.llm.common import free_name, release, stored
 
 SEED, WORDS, RADIUS, BUCKET = 42, 3, 3, 512
 
@@ -60,6 +60,7 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         fps = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["_id", "_digest", "_fp"])
@@ -95,6 +96,7 @@ def _links(radius: int):
     """Pass over rows sorted by bucket: the links of each bucket, held one bucket at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, key = [], None
 
         def out(parts):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import SegmentTable, by_size, free_name, resident
+from barloom.llm.common import SegmentTable, by_size, free_name, release, resident
 
 TRAIN = 4000  # labelled documents that the model is fitted on
 TERMS = 400  # learned terms
@@ -173,7 +173,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.automaton, self.weights = Automaton(model.words, model.stems), model.weights
-        self.table = SegmentTable(lambda words: [self.automaton.match(w) for w in words], limit=200_000, cut=words_of, named=str)
+        self.table = SegmentTable(lambda words: [self.automaton.match(w) for w in words], limit=120_000, cut=words_of, named=str)
 
     def context(self, text: str, hits: dict[str, float]) -> tuple[float, float]:
         """Weights of the hits that are quoted, and of those that address someone."""
@@ -219,6 +219,7 @@ def remainder(ident: Column) -> Column:
 
 def _prefix_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, whole, toxic, documents, occurrences) of words and their beginnings, at most 3 occurrences a document."""
+    release()
     found: dict[tuple[str, bool, int], list[int]] = {}
 
     def out():
