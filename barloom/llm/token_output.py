@@ -65,7 +65,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, sorted(self.ids, key=len, reverse=True)))) if added else None
         self.letters = {b: c for c, b in byte_letters().items()}
         self.split = regex.compile(BYTE_LEVEL)
-        self.segments = SegmentTable(self.learn, limit=400_000)
+        self.segments = SegmentTable(self.learn, limit=800_000)
 
     def learn(self, segments: list[str]) -> list[bytes]:
         tokenize, known, fresh = self.tokenizer.model.tokenize, self.segments.value, {}
