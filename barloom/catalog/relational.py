@@ -214,13 +214,13 @@ def _(t):
     return jn.lookup(t.sectors(), t.sector_flows(), ["code", "date"], ["net_amount"])
 
 
-@query("first_available_series", "date:d level:f4", "JN-14", "idx",
-       """SELECT date, coalesce(max(CASE WHEN code = 'usdcnh' THEN close END), max(CASE WHEN code = 'hsi' THEN close END), max(CASE WHEN code = 'csi300' THEN close END)) AS level FROM idx GROUP BY date""")
+@query("first_available_series", "date:d log_level", "JN-14", "idx",
+       """SELECT date, ln(coalesce(max(CASE WHEN code = 'usdcnh' THEN close END), max(CASE WHEN code = 'hsi' THEN close END), max(CASE WHEN code = 'csi300' THEN close END))) AS log_level FROM idx GROUP BY date""")
 def _(t):
     from barloom.operators.context import pivot_series
 
     wide = pivot_series(t.index_bars(), ("usdcnh", "hsi", "csi300"), ("close",))
-    return wide.withColumn("level", jn.first_available(c("usdcnh_close"), c("hsi_close"), c("csi300_close")))
+    return wide.withColumn("log_level", F.ln(jn.first_available(c("usdcnh_close"), c("hsi_close"), c("csi300_close"))))
 
 
 @query("unmatched_counts", "left_unmatched:i right_unmatched:i", "JN-15", "bars flows17",
