@@ -76,7 +76,7 @@ class Bpe:
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.first[token[0], token[1]] = rank
-        self.segments = SegmentTable(self.learn)
+        self.segments = SegmentTable(self.learn, limit=250_000)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:

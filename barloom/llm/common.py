@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -35,6 +36,16 @@ def pre_tokens(segment: str, pattern) -> list[str]:
 _RESIDENT: dict = {}
 
 
+def release() -> None:
+    """Drop what ``resident`` keeps and give free memory back to the system; tasks of operators that keep nothing begin with it."""
+    _RESIDENT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def resident(key, make: Callable):
     """What a worker process keeps between tasks: one thing at a time, so operators run one after another add nothing up."""
     if key not in _RESIDENT:
@@ -43,13 +54,6 @@ def resident(key, make: Callable):
     return _RESIDENT[key]
 
 
-def release() -> None:
-    """Drop what ``resident`` keeps; tasks of operators that keep nothing begin with it."""
-    if _RESIDENT:
-        _RESIDENT.clear()
-        gc.collect()
-
-
 def work_folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{spark.sparkContext.applicationId}"

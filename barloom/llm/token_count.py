@@ -211,7 +211,7 @@ class Counter:
         special = [t["content"] for t in spec.get("added_tokens", ())]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split = regex.compile(BYTE_LEVEL)
-        self.segments = SegmentTable(self.learn)
+        self.segments = SegmentTable(self.learn, limit=250_000)
 
     def learn(self, segments: list[str]) -> list[int]:
         count = self.transducer.count

@@ -173,7 +173,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.automaton, self.weights = Automaton(model.words, model.stems), model.weights
-        self.table = SegmentTable(lambda words: [self.automaton.match(w) for w in words], limit=120_000, cut=words_of, named=str)
+        self.table = SegmentTable(lambda words: [self.automaton.match(w) for w in words], limit=100_000, cut=words_of, named=str)
 
     def context(self, text: str, hits: dict[str, float]) -> tuple[float, float]:
         """Weights of the hits that are quoted, and of those that address someone."""
