@@ -1,9 +1,9 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by overlapping chunks of two lines.
 
-A chunk of lines ends where a rolling hash over the hashes of its last ``WINDOW`` lines is divisible by
-``DIVISOR``.  Boundaries depend on content alone, so lines put in or taken out shift them only nearby.  Chunks of
-two or more lines that occur more than once in the corpus are compared byte by byte; the occurrence with the
-smallest identifier (then the smallest line number) stays and the others are taken out.
+Every two consecutive lines make a chunk, so a repeated passage of two or more lines is covered by its chunks from its
+first line to its last, whatever stands around it.  Chunks that occur more than once in the corpus are compared byte by
+byte; the occurrence with the smallest identifier (then the smallest line number) stays and the lines of the others are
+taken out.  The first occurrence of a line in the corpus always stays, as each chunk that holds it is a first one too.
 
 Only hashes are shuffled for all chunks; texts are read again for chunks whose hash repeats.
 """
@@ -15,26 +15,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import attach, free_name, stored
 
-WINDOW, DIVISOR = 2, 4
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+LINES = 2
 
 
 def chunks(text: bytes) -> list[tuple[int, int]]:
     """(first line, end line) of each chunk."""
-    lines = text.split(b"\n")
-    h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-    rolled = np.zeros(len(h), np.uint64)
-    for k in range(min(WINDOW, len(h))):
-        rolled[k:] = rolled[k:] * _FACTOR + h[: len(h) - k]
-    rolled ^= rolled >> np.uint64(32)
-    ends = np.flatnonzero(rolled % np.uint64(DIVISOR) == 0) + 1
-    ends = np.unique(np.concatenate([ends, [len(h)]])).tolist()
-    return list(zip([0, *ends[:-1]], ends, strict=True))
+    return [(lo, lo + LINES) for lo in range(text.count(b"\n") + 2 - LINES)]
 
 
 def _key(id_col: str):
@@ -50,13 +41,12 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             lines = text.split(b"\n")
             for lo, hi in chunks(text):
-                if hi - lo > 1:
-                    h = xxhash.xxh3_128_intdigest(b"\n".join(lines[lo:hi]))
-                    rows.append(i)
-                    first.append(lo)
-                    end.append(hi)
-                    one.append(h >> 64)
-                    two.append(h & (1 << 64) - 1)
+                h = xxhash.xxh3_128_intdigest(b"\n".join(lines[lo:hi]))
+                rows.append(i)
+                first.append(lo)
+                end.append(hi)
+                one.append(h >> 64)
+                two.append(h & (1 << 64) - 1)
         take = pa.array(rows, pa.int64())
         signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
         yield pa.RecordBatch.from_arrays(
@@ -88,13 +78,18 @@ def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with its texts free of repeated multi-line chunks; all rows and columns stay.
+    """``df`` with its texts free of repeated passages of two or more lines; all rows and columns stay.
 
     Null texts stay null.  A text that loses all its lines becomes empty.  Rows with equal identifier and text
     are treated alike: the first of a set of repeated rows does not lose its chunks to its twins.  Null
     identifiers come last when the occurrence that stays is chosen.
     """
-    gone = repeated_chunks(df, id_col, text_col).groupBy("_digest").agg(F.collect_list(F.struct("first", "end")).alias("_gone"))
+    # Chunks that overlap or touch make one run; a window of one document, bounded by its lines.
+    w = Window.partitionBy("_digest").orderBy("first")
+    gone = repeated_chunks(df, id_col, text_col).select("_digest", "first", "end").distinct()
+    gone = gone.withColumn("new", F.when(F.lag("end").over(w) >= F.col("first"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    gone = gone.groupBy("_digest", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    gone = gone.groupBy("_digest").agg(F.collect_list(F.struct("first", "end")).alias("_gone"))
     digest, cut = free_name(df.columns, "_digest"), free_name(df.columns, "_gone")
     lists = stored(gone.withColumnsRenamed({"_digest": digest, "_gone": cut}))
     rows = df.withColumn(digest, F.xxhash64(_key(id_col), F.col(text_col).cast("string")))
