@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The corpus frequency of every n-gram of the test items is counted first.  The rarest n-grams of each item are its
-seeds; a document that holds a seed becomes a candidate for the item, and the words around its seeds are aligned
-with the item's words.  The alignment bears replaced, dropped and added words, so edited copies are scored too.
+All n-grams of a test item are its seeds, whatever their frequency; a document that holds a seed becomes a candidate
+for the item, and the words around its seeds are aligned with the item's words where enough of them stand there for
+the score.  The alignment bears replaced, dropped and added words, so edited copies are scored too.
 
 Test items go to the tasks in blocks of at most ``BLOCK`` n-grams; each block is one pass over the corpus, so what
 a task holds does not grow with the number of items.
@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import free_name, release, stored
+from barloom.llm.common import free_name, release
 
 N = 5  # words of a seed
-SEEDS, RARE = 32, 100  # the rarest n-grams of an item, and all others in at most so many documents
 SIMILARITY = 0.6  # alignment score over that of a perfect copy; 0.6 bears about a quarter of the words edited
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 1_000_000
@@ -96,25 +95,8 @@ class Items:
                     at[h].append((i, k))
         self.at = dict(at)
         self.number[b"\xff"] = int(_CUT)
-        self._index()
-
-    def _index(self) -> None:
         self.hashes = np.sort(np.array(list(self.at), np.uint64))
 
-    def rarest(self, frequency: dict[int, int]) -> None:
-        """Leave the seeds alone."""
-        by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for h, places in self.at.items():
-            for i, k in places:
-                by_item[i].append((frequency.get(h, 0), k, h))
-        kept: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, grams in by_item.items():
-            for rank, (n, k, h) in enumerate(sorted(grams)):
-                if rank < SEEDS or n <= RARE:
-                    kept[h].append((i, k))
-        self.at = dict(kept)
-        self._index()
-
     def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers of all texts end to end, where each begins, and positions and hashes of the n-grams found."""
         joined = b" \xff ".join([t.translate(_TABLE) for t in texts])  # a word that no text has
@@ -161,7 +143,7 @@ class Items:
         out = []
         for i, seeds in by_item.items():
             item, best = self.words[i], (0.0, 0, 0)
-            size, done = len(item), -1
+            size, done = len(item), -len(item)
             for diagonal in sorted({d for d, _ in seeds}):
                 if diagonal >= 0 and np.array_equal(ids[diagonal : diagonal + size], item):
                     best = (1.0, diagonal, diagonal + size)
@@ -170,6 +152,8 @@ class Items:
                     continue  # inside the window aligned last
                 lo, hi = max(0, diagonal - size // 2), max(0, diagonal) + 2 * size
                 done = diagonal + size // 2
+                if np.isin(item, ids[lo:hi]).sum() < least * size - 1e-9:
+                    continue  # each word of the item that is aligned adds MATCH at most
                 score, first, last = align(item, ids[lo:hi])
                 best = max(best, (score / (MATCH * size), lo + first, lo + last))
             if best[0] >= least:
@@ -187,22 +171,6 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
         yield Items([(r["_id"], words_of(bytes(r["_text"] or b""))) for r in part.collect()])
 
 
-def _frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
-    """Documents that hold each n-gram of the block; at most one row for each of its n-grams."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        seen: dict[int, int] = defaultdict(int)
-        for b in batches:
-            for _, _, _, found in items.by_text(_bytes(b.column(0))):
-                for h in set(found.tolist()):
-                    seen[h] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
-
-    counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return {r["h"] & (1 << 64) - 1: r["n"] for r in counts.collect()}
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.to_pylist()]
 
@@ -225,15 +193,8 @@ def contaminated(
     out = None
     for items in _blocks(benchmark, item_col, item_text):
 
-        def seeded(batches: Iterable[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.take(pa.array([i for i, _, _, _ in items.by_text(_bytes(b.column(1)))], pa.int64()))
-
-        # the documents with any n-gram of the block; frequencies and alignment need no others
-        some = stored(rows.mapInArrow(seeded, rows.schema))
-        items.rarest(_frequencies(some.select("_text"), items))
-
         def run(batches: Iterable[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            release()
             kind = pa.array(items.names).type if items.names else pa.int64()
             for b in batches:
                 found = [(i, *m) for i, *seen in items.by_text(_bytes(b.column(1))) for m in items.matches(*seen, least)]
@@ -244,7 +205,7 @@ def contaminated(
                     ["_id", "_item", "similarity", "first_word", "end_word"],
                 )
 
-        part = some.mapInArrow(run, f"_id {kinds[0]}, _item {kinds[1]}, similarity double, first_word long, end_word long")
+        part = rows.mapInArrow(run, f"_id {kinds[0]}, _item {kinds[1]}, similarity double, first_word long, end_word long")
         out = part if out is None else out.unionByName(part)
     names = {"_id": id_col, "_item": item_col if item_col != id_col else f"item_{item_col}"}
     return out.withColumnsRenamed(names)
@@ -256,9 +217,9 @@ def drop_contaminated(
     """The rows of ``df`` that hold no test item, with all their columns."""
     name, out = free_name(df.columns, "_text"), df
     for items in _blocks(benchmark, item_col, item_text):
-        items.rarest(_frequencies(df.select(_text(text_col).alias("_text")), items))
 
         def run(batches: Iterable[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            release()
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
                 for i, *seen in items.by_text(_bytes(b.column(b.num_columns - 1))):
