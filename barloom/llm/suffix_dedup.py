@@ -7,6 +7,10 @@ out before any text is moved.  The others are sorted as texts, neighbours are co
 is extended to the right; the same cores, sorted by the words before them read backwards, give the extension to
 the left.  A row of the sorted order is compared with the nearest rows of other documents on both sides, where its
 longest matches are, so the work follows the number of suffixes and not the pairs of a group of copies.
+
+The extensions to the left and to the right may come from different documents.  Inside the places found, each window
+of ``LEAST`` words is therefore looked up by its own hashes: another document must hold all of it, and the first one
+that does keeps it.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import attach, stored
@@ -105,6 +109,58 @@ def _contexts(least: int, core: int):
     return run
 
 
+def _windows(least: int, core: int):
+    """Each window of ``least`` words inside the spans of a text, with the hashes of its first and last ``core`` words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, (text, spans) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                h = core_hashes(text.split(), core).view(np.int64)
+                at = np.unique(np.concatenate([np.arange(s["a"], s["b"] - least + 1) for s in spans]))
+                for lo in range(0, len(at), 50_000):
+                    part = at[lo : lo + 50_000]
+                    take = pa.array(np.full(len(part), row))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(take), b.column(1).take(take), pa.array(part.astype(np.int32)), pa.array(h[part]), pa.array(h[part + least - core])],
+                        ["_id", "_doc", "pos", "h1", "h2"],
+                    )
+
+    return run
+
+
+def runs(held: np.ndarray, foreign: np.ndarray, least: int) -> list[tuple[int, int, bool]]:
+    """(first word, end word, kept) of the maximal runs of equal flag: words of windows, where a window in ``foreign``
+    (subset of ``held``, places of windows) is kept by another document and all of its words with it."""
+    size = int(held.max()) + least + 1 if len(held) else 0
+
+    def cover(at):
+        steps = np.zeros(size + 1, np.int64)
+        np.add.at(steps, at, 1)
+        np.add.at(steps, at + least, -1)
+        return np.cumsum(steps)[:size] > 0
+
+    flags = cover(held).astype(np.int8) + cover(foreign)
+    edges = np.flatnonzero(np.diff(flags, prepend=np.int8(0)))
+    return [(int(a), int(b), bool(flags[a] == 1)) for a, b in zip(edges[:-1], edges[1:], strict=True) if flags[a]]
+
+
+def _runs(least: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, cols = [], ([], [], [])
+            for row, places in enumerate(b.column(1).to_pylist()):
+                at = np.array([p["pos"] for p in places], np.int64)
+                foreign = at[~np.array([p["k"] for p in places], bool)]
+                for r in runs(at, foreign, least):
+                    rows.append(row)
+                    for c, x in zip(cols, r, strict=True):
+                        c.append(x)
+            kinds = (pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["_id", "first_word", "end_word", "kept"])
+
+    return run
+
+
 def shared_words(a: bytes, b: bytes) -> int:
     """Words that two texts of words have in common at their beginning."""
     if a == b:
@@ -213,10 +269,10 @@ def _extensions(rows: DataFrame) -> DataFrame:
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, core: int = CORE) -> DataFrame:
     """Passages of ``least`` or more words that another document holds too: identifier, first_word, end_word, n_words, kept.
 
-    Words are what stands between ASCII white space, compared as bytes.  A place counts when the words before and
-    behind its core, each as far as some other document shares them, make ``least`` words with the core; places
-    that overlap make one passage.  ``kept`` is true where this document is the first (by identifier, null last)
-    to hold all of it.  Null texts have no words; rows with equal identifier and text are one document; documents
+    Words are what stands between ASCII white space, compared as bytes.  A word counts when it lies in ``least`` words
+    that one other document holds as well.  ``kept`` is false for words of such a window whose first holder (by
+    identifier, null last) is another document, and true for the others; a row is a maximal run of words of equal
+    ``kept``, so the rows of a chain of passages adjoin and may be shorter than ``least``.  Null texts have no words; rows with equal identifier and text are one document; documents
     without such a passage have no row.
     """
     text = F.col(text_col).cast("string")
@@ -236,11 +292,13 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = _extensions(suffixes.select("_doc", "pos", "core", F.col("left").alias("text")))
     both = right.select("_doc", "pos", (F.col("words") - core).alias("r"), F.lit(-1).alias("l")).unionByName(left.select("_doc", "pos", F.lit(-1).alias("r"), F.col("words").alias("l")))
     both = both.groupBy("_doc", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l")).filter(f"r >= 0 and l >= 0 and l + r + {core} >= {least}")
-    spans = both.join(places.select("_doc", "pos", "_id", "_first").distinct(), ["_doc", "pos"])
-    spans = spans.select("_doc", "_id", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + core + F.col("r")).alias("b"), (F.col("_first") == F.col("_doc")).alias("k"))
-    # A window of one document: its rows are bounded by its words.
-    w = Window.partitionBy("_doc").orderBy("a", "b")
-    seen = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.when(seen >= F.col("a"), 0).otherwise(1)).withColumn("n", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("_doc", "_id", "n").agg(F.min("a").alias("first_word"), F.max("b").alias("end_word"), F.min("k").alias("kept"))
-    return merged.select(F.col("_id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "kept")
+    spans = both.select("_doc", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + core + F.col("r")).alias("b"))
+    lists = stored(spans.groupBy("_doc").agg(F.collect_set(F.struct("a", "b")).alias("_spans")))
+    texts = attach(docs, lists, ["_doc"], "inner", elements=200_000, size="_spans").select("_id", "_doc", "_text", "_spans")
+    windows = stored(texts.mapInArrow(_windows(least, core), f"_id {kind}, _doc long, pos int, h1 long, h2 long"))
+    held = windows.groupBy("h1", "h2").agg(F.min("_doc").alias("a"), F.max("_doc").alias("b"), F.min(first)["_doc"].alias("_first"))
+    held = stored(held.filter("a != b").select("h1", "h2", "_first"))
+    windows = windows.join(held, ["h1", "h2"]).select("_id", "_doc", F.struct("pos", (F.col("_first") == F.col("_doc")).alias("k")).alias("w"))
+    found = windows.groupBy("_doc").agg(F.first("_id").alias("_id"), F.collect_list("w").alias("_windows")).select("_id", "_windows")
+    found = found.mapInArrow(_runs(least), f"_id {kind}, first_word int, end_word int, kept boolean")
+    return found.select(F.col("_id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "kept")
