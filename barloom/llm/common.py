@@ -63,14 +63,25 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: one evaluation, no lineage, no lost blocks."""
     path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once everything built on them is stored itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._stored_at)
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Delete what ``stored`` wrote in this application; call it when the results built on it are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(work_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, work_folder(spark))
 
 
 def free_name(taken: Iterable[str], name: str) -> str:
@@ -219,3 +230,34 @@ def attach(df: DataFrame, lists: DataFrame, keys: list[str], how: str, rows: int
     total = F.sum(F.size(size)) if size else F.lit(0).cast("long")
     n, m = lists.agg(F.count(F.lit(1)), F.coalesce(total, F.lit(0))).first()
     return df.join(F.broadcast(lists) if n <= rows and m <= elements else lists, keys, how)
+
+
+SHARES = 1000
+
+
+def sized_join(rows: DataFrame, sizes: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``sizes`` (both stored), which has one row per key and in ``size`` its rows in ``rows``.
+
+    Keys with more than a ``SHARES``-th of the rows are fewer than ``SHARES``; those are broadcast, so their rows stay
+    where they are.  The others are shuffled.
+    """
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    hot = sizes.filter(F.col(size) > total / SHARES)
+    if hot.isEmpty():
+        return rows.join(sizes, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(sizes.filter(F.col(size) <= total / SHARES), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` stored in that order, with the place of each row (from 0) in ``name``; no task sees more than its range."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(ranged.withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(name), 33)
+    sizes = sorted((p, n) for p, n in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
+    begins, at = [], 0
+    for p, n in sizes:
+        begins.append((p, at - (p << 33)))
+        at += n
+    begins = df.sparkSession.createDataFrame(begins, "_part long, _begin long")
+    return rows.withColumn("_part", part).join(F.broadcast(begins), "_part").withColumn(name, F.col(name) + F.col("_begin")).drop("_part", "_begin")

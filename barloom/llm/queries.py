@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, exact_dedup, line_dedup, secrets, simhash, suffix_dedup, token_count, token_output, toxicity
+from barloom.llm import bpe, decontaminate, divergence, exact_dedup, line_dedup, secrets, simhash, substring_dedup, suffix_dedup, token_count, token_output, toxicity
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -60,6 +60,16 @@ def op10_toxicity(spark: SparkSession, path: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, path, "labels")))
 
 
+def op11_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Per document: words before, words taken out, and the digest of those that stay."""
+    left = substring_dedup.drop_repeats(table(spark, path, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, path: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, path, "documents"))
+
+
 SQL = {
     "op6_exact_dedup": r"""
         WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -67,6 +77,36 @@ SQL = {
          doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM norm""",
 }
 SQL["op7_secrets"] = secrets.digest_sql()
+SQL["op11_substring_dedup"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    k AS (SELECT r, p, sha256(array_to_string(ws[p:p + 34], ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS p FROM d)),
+    again AS (SELECT r, p FROM k QUALIFY count(*) OVER (PARTITION BY h) > 1),
+    gone AS (SELECT DISTINCT r, p + i AS q FROM again, range(35) t(i)),
+    w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS q FROM d),
+    left_over AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS t FROM w ANTI JOIN gone USING (r, q) GROUP BY r)
+    SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN left_over USING (r)"""
+SQL["op13_source_divergence"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    size AS (SELECT lang, source, coalesce(t, 0) AS t, coalesce(v, 0) AS v FROM groups
+      LEFT JOIN (SELECT lang, source, sum(n) AS t FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)),
+    p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (t + v)::HUGEINT AS p
+      FROM size JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+    whole AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // (any_value(t) + any_value(v))::HUGEINT AS q
+      FROM c JOIN (SELECT lang, sum(t) AS t, any_value(v) AS v FROM size GROUP BY lang) USING (lang) GROUP BY lang, term),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+    parts AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM groups g JOIN groups h ON g.lang = h.lang AND g.source != h.source
+      LEFT JOIN pairs x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
