@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, divergence, exact_dedup, line_dedup, secrets, simhash, substring_dedup, suffix_dedup, token_count, token_output, toxicity
+from barloom.llm import bpe, collocations, decontaminate, divergence, exact_dedup, line_dedup, secrets, simhash, substring_dedup, suffix_dedup, token_count, token_output, toxicity
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, path: str) -> DataFrame:
+    return collocations.collocations(table(spark, path, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, path: str) -> DataFrame:
     return divergence.source_divergence(table(spark, path, "documents"))
 
@@ -86,6 +90,19 @@ SQL["op11_substring_dedup"] = r"""
     left_over AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS t FROM w ANTI JOIN gone USING (r, q) GROUP BY r)
     SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
     FROM d LEFT JOIN left_over USING (r)"""
+SQL["op12_collocations"] = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+    n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, ws[p:p + k - 1] AS g, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM w, range(1, 5) s(k)) GROUP BY ALL HAVING count(*) >= 30),
+    cuts AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * c.f // (x.f + y.f) AS score
+      FROM (SELECT *, unnest(range(1, len(g))) AS k FROM g WHERE len(g) > 1) c JOIN g x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN g y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    longer AS (SELECT lang, s, max(f) AS most FROM (SELECT lang, f, g[i:i + m - 1] AS s FROM (SELECT *, unnest(range(1, len(g) - m + 2)) AS i FROM g, range(2, 4) t(m) WHERE m < len(g))) GROUP BY lang, s),
+    rows AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM best b LEFT JOIN longer x ON x.lang = b.lang AND x.s = b.g
+      WHERE most IS NULL OR 100 * most < 80 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM rows JOIN n USING (lang) QUALIFY rank <= 2000"""
 SQL["op13_source_divergence"] = r"""
     WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import attach, discard, free_name, release, sized_join, stored
+from barloom.llm.common import discard, free_name, release, sized_join, stored
 
 LEAST, CORE, SEGMENTS = 35, 12, 256
 PIECE = 1 << 20  # words that are hashed at a time
@@ -243,7 +243,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, core: int = CORE) -> Dat
     mixed = sized_join(mixed, sizes, ["core"], "variants").withColumn("hot", F.col("variants") > SEGMENTS)
     wanted = stored(mixed.groupBy("_doc").agg(F.collect_list(F.struct("core", "seg", "n", "pos", "words", "hot")).alias("_wanted")))
     kinds = "core long, seg long, n long, _doc long, pos int, text binary, h1 long, h2 long"
-    texts = stored(attach(docs, wanted, ["_doc"], "inner", elements=200_000, size="_wanted").mapInArrow(_texts(least), kinds))
+    texts = stored(docs.join(wanted, "_doc").select("_doc", "_text", "_wanted").mapInArrow(_texts(least), kinds))
     discard(segs, sizes, wanted)
     cold = texts.filter("text is not null").repartition("core").sortWithinPartitions("core")
     cold = cold.mapInArrow(_parsed(least), "_doc long, a int, z int")
@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, core: int = CORE) -> Dat
     return spans.unionByName(cold).unionByName(hot)
 
 
-def _kept(text_at: int, spans_at: int, added: tuple[str, str]):
+def _kept(text_at: int, spans_at: int, names: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
@@ -269,8 +269,7 @@ def _kept(text_at: int, spans_at: int, added: tuple[str, str]):
                 left = words if not gone[-1] else [words[i] for i in np.flatnonzero(keep).tolist()]
                 texts.append(None if text is None else b" ".join(left).decode())
             cols = [pa.array(texts, pa.string()) if i == text_at else c for i, c in enumerate(b.columns) if i != spans_at]
-            names = [n for i, n in enumerate(b.schema.names) if i != spans_at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names)
 
     return run
 
@@ -290,8 +289,9 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = repeated_spans(docs, least, core)
     rows = df.drop(*counts).withColumn(text_col, text)
     doc, cut = free_name(rows.columns, "_doc"), free_name(rows.columns, "_spans")
-    lists = stored(spans.groupBy(F.col("_doc").alias(doc)).agg(F.collect_set(F.struct("a", "z")).alias(cut)))
-    kept = attach(rows.withColumn(doc, key), lists, [doc], "left", size=cut).select(*(F.col(f"`{c}`") for c in rows.columns), cut)
+    lists = spans.groupBy(F.col("_doc").alias(doc)).agg(F.collect_set(F.struct("a", "z")).alias(cut))
+    kept = rows.withColumn(doc, key).join(lists, doc, "left").select(*(F.col(f"`{c}`") for c in rows.columns), cut)
     schema = T.StructType([*rows.schema.fields, T.StructField(counts[0], T.LongType()), T.StructField(counts[1], T.LongType())])
     at = [c.lower() for c in rows.columns].index(text_col.lower())
-    return kept.mapInArrow(_kept(at, len(rows.columns), counts), schema)
+    kept = kept.toDF(*(f"_{i}" for i in range(len(kept.columns))))  # a name with a dot can't be passed on
+    return kept.mapInArrow(_kept(at, len(rows.columns), schema.names), schema)
