@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +113,16 @@ def _placed(parent: np.ndarray, label: np.ndarray) -> np.ndarray:
     return places
 
 
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    """128-bit hashes as rows of two words."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), np.uint64).reshape(-1, 2)
+
+
 class Numbers:
     """Numbers of a block of words, found by their 128-bit hash."""
 
     def __init__(self, keys: list[bytes], numbers: np.ndarray):
-        both = np.array([divmod(xxhash.xxh3_128_intdigest(k), 1 << 64) for k in keys], np.uint64).reshape(-1, 2)
+        both = _hashes(keys)
         order = np.argsort(both[:, 0])
         self.high, self.low, self.numbers = both[order, 0], both[order, 1], numbers[order]
 
@@ -169,19 +175,17 @@ def _encoded(blocks: list[Broadcast]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            seen: dict[bytes, int] = {}
             by_lang: dict[str, dict[bytes, int]] = {}
             keys: list[bytes] = []
             parts: list[np.ndarray] = []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 known = by_lang.setdefault(lang, {})
                 words = words_of(text.as_py())
-                for w in set(words) - known.keys():
+                for w in filterfalse(known.__contains__, set(words)):
                     known[w] = len(keys)
                     keys.append(_key(lang, w) if w != _CUT else w)
                 parts += np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.full(1, -1)
-            del seen
-            both = np.array([divmod(xxhash.xxh3_128_intdigest(k), 1 << 64) for k in keys], np.uint64).reshape(-1, 2)
+            both = _hashes(keys)
             numbers = np.full(len(keys) + 1, -1, np.int64)  # the last one for -1
             for block in _each(blocks):
                 numbers[:-1] = np.maximum(numbers[:-1], block.of(both[:, 0], both[:, 1]))
