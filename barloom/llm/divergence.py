@@ -1,7 +1,7 @@
 """Audit of sources by how their terms diverge, over terms found by iceberg prefix refinement.
 
 A term is kept where at least ``DOCUMENTS`` documents of its language hold it.  Prefixes of terms are extended level by
-level (2, 4, 8, ... bytes): at each level the distinct documents of every prefix are counted, prefixes below the
+level (4, 8, 16, ... bytes): at each level the distinct documents of every prefix are counted, prefixes below the
 threshold are discarded with all their terms, and only terms of the others go on to the next level.  A term that ends
 within its level's prefix is complete there and is kept or dropped by its own count.  A document is counted for a prefix
 once, in the task that reads it, so the counts of tasks add up and only prefixes are shuffled.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import attach, discard, release, stored
 
 DOCUMENTS, TOP, SCALE, SMOOTH = 3, 200, 1_000_000_000, 1
-FIRST = 2  # bytes of the first level's prefixes
+FIRST = 4  # bytes of the first level's prefixes
 BLOCK, CELLS = 4096, 1 << 20  # terms of a block; cells of a matrix that is held at a time
 _TABLE = bytes(32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if c <= 90 else c for c in range(256))
 _OPEN = b"\0"  # ends the prefix of a term that goes on; no term holds it
@@ -35,9 +36,9 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def _lists(terms: list[list[bytes]], counts: list[list[int]]) -> tuple[pa.Array, pa.Array]:
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in terms])]).astype(np.int32))
-    flat = pa.array([t for x in terms for t in x], pa.binary()), pa.array([n for x in counts for n in x], pa.int64())
+def _lists(terms: list[list[bytes]], counts: list[Iterable[int]]) -> tuple[pa.Array, pa.Array]:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(list(map(len, terms)))]).astype(np.int32))
+    flat = pa.array(list(chain.from_iterable(terms)), pa.binary()), pa.array(np.fromiter(chain.from_iterable(counts), np.int64))
     return pa.ListArray.from_arrays(offsets, flat[0]), pa.ListArray.from_arrays(offsets, flat[1])
 
 
@@ -46,8 +47,9 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 500):
             part = b.slice(lo, 500)
-            found = [sorted(Counter(terms_of(t.as_py())).items()) for t in part.column(2)]
-            terms, counts = _lists([[t for t, _ in x] for x in found], [[n for _, n in x] for x in found])
+            found = [Counter(terms_of(t.as_py())) for t in part.column(2)]
+            names = list(map(sorted, found))
+            terms, counts = _lists(names, [map(c.__getitem__, x) for c, x in zip(found, names, strict=True)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), terms, counts], ["lang", "source", "terms", "counts"])
 
 
@@ -58,9 +60,9 @@ def _summed(rows: pa.Table, by: list[str], values: str) -> pa.RecordBatch | None
 
 
 def _prefixes(length: int, before: int):
-    """(lang, parent, key, n): documents by prefix.
+    """(lang, key, n): documents by prefix, of terms longer than ``before`` bytes.
 
-    ``parent``: the prefix of the level before.  ``key``: a complete term of at most ``length`` bytes, or the first
+    ``key``: a complete term of at most ``length`` bytes, or the first
     ``length`` bytes of a longer one and a zero byte.  The terms of a document are sorted, so equal keys are neighbours.
     """
 
@@ -76,13 +78,12 @@ def _prefixes(length: int, before: int):
             goes_on = pc.greater(pc.binary_length(flat), length)
             head = pc.binary_slice(flat, 0, length)
             key = pc.if_else(goes_on, pc.binary_join_element_wise(head, pa.scalar(_OPEN, pa.binary()), pa.scalar(b"", pa.binary())), head)
-            parent = pc.binary_slice(flat, 0, before) if before else pa.array([b""] * len(flat), pa.binary())
             first = np.ones(len(flat), bool)
             first[1:] = pc.or_(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)), pc.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1))).to_numpy(zero_copy_only=False)
             first = pa.array(first)
-            table = pa.table({"lang": b.column(0).take(doc).filter(first), "parent": parent.filter(first), "key": key.filter(first)})
+            table = pa.table({"lang": b.column(0).take(doc.filter(first)), "key": key.filter(first)})
             table = table.append_column("n", pa.array(np.ones(table.num_rows, np.int64)))
-            yield _summed(table, ["lang", "parent", "key"], "n")
+            yield _summed(table, ["lang", "key"], "n")
 
     return run
 
@@ -91,8 +92,9 @@ def kept_terms(documents: DataFrame, least: int = DOCUMENTS, first: int = FIRST)
     """(lang, term) of the terms that at least ``least`` documents of their language hold.  ``documents``: lang, terms."""
     out, alive, before, length = None, None, 0, first
     while True:
-        counted = documents.select("lang", "terms").mapInArrow(_prefixes(length, before), "lang string, parent binary, key binary, n long")
+        counted = documents.select("lang", "terms").mapInArrow(_prefixes(length, before), "lang string, key binary, n long")
         if alive is not None:
+            counted = counted.withColumn("parent", F.expr(f"substring(key, 1, {before})"))
             counted = attach(counted, alive, ["lang", "parent"], "left_semi")
         counted = stored(counted.groupBy("lang", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "key"))
         goes_on = F.substring("key", -1, 1) == F.lit(_OPEN)
@@ -105,13 +107,16 @@ def kept_terms(documents: DataFrame, least: int = DOCUMENTS, first: int = FIRST)
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences by language, source and term."""
+    """Occurrences by language and term, with the sources (their codes) that hold the term."""
     release()
     for b in batches:
         doc = pc.list_parent_indices(b.column(2))
-        if len(doc):
-            table = pa.table({"lang": b.column(0).take(doc), "source": b.column(1).take(doc), "term": b.column(2).flatten(), "n": b.column(3).flatten()})
-            yield _summed(table, ["lang", "source", "term"], "n")
+        if not len(doc):
+            continue
+        table = pa.table({"lang": b.column(0).take(doc), "term": b.column(2).flatten(), "source": b.column(1).take(doc), "n": b.column(3).flatten()})
+        rows = _summed(table, ["lang", "term", "source"], "n")
+        rows = pa.table(rows).group_by(["lang", "term"], use_threads=False).aggregate([("source", "list"), ("n", "list")])
+        yield rows.rename_columns(["lang", "term", "sources", "counts"]).combine_chunks().to_batches()[0]
 
 
 def weights(counts: np.ndarray, totals: np.ndarray, v: int) -> np.ndarray:
@@ -126,11 +131,12 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     for b in batches:
         for row in range(b.num_rows):
-            lang, sources, totals, v = (b.column(c)[row] for c in ("lang", "sources", "totals", "v"))
+            lang, sources, codes, totals, v = (b.column(c)[row] for c in ("lang", "sources", "codes", "totals", "v"))
             names, totals, v = sources.values, totals.values.to_numpy(), v.as_py()
-            cells = b.column("cells")[row].values
-            at = np.searchsorted(np.unique(cells.field("term").to_numpy()), cells.field("term").to_numpy())
-            col, n = pc.index_in(cells.field("source"), names).to_numpy(), cells.field("n").to_numpy()
+            held = b.column("cells")[row].values  # of each term its (source, n)
+            at, cells = pc.list_parent_indices(held).to_numpy(), held.flatten()
+            at = at - at[0]
+            col, n = pc.index_in(cells.field("source"), codes.values).to_numpy(), cells.field("n").to_numpy()
             size, step = len(names), max(1, CELLS // len(names))
             value = np.zeros((size, size), object)
             for lo in range(0, int(at.max()) + 1, step):
@@ -160,29 +166,33 @@ def source_divergence(df: DataFrame, text_col: str = "text", lang_col: str = "la
     """
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     docs = df.select(name(lang_col).alias("lang"), name(source_col).alias("source"), name(text_col).alias("text"))
+    # 64-bit codes of sources take their place until the end
     docs = stored(docs.mapInArrow(_documents, "lang string, source string, terms array<binary>, counts array<bigint>"))
     kept = stored(kept_terms(docs, least).select("lang", F.col("term").cast("string").alias("term")))
-    counts = docs.mapInArrow(_counts, "lang string, source string, term binary, n long").withColumn("term", F.col("term").cast("string"))
-    counts = stored(attach(counts, kept, ["lang", "term"], "left_semi").groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = stored(docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").fillna(0, ["total"]))
+    coded = docs.select("lang", F.xxhash64("source").alias("code"), "terms", "counts")
+    found = coded.mapInArrow(_counts, "lang string, term binary, sources array<bigint>, counts array<bigint>").withColumn("term", F.col("term").cast("string"))
+    found = attach(found, kept, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    found = found.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
+    # of each term its count by source: at most one entry for each
+    terms = stored(found.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("cells"), F.sum("n").alias("all")))
+    totals = terms.select("lang", F.explode("cells").alias("x")).groupBy("lang", F.col("x.source").alias("code")).agg(F.sum("x.n").alias("total"))
+    groups = docs.select("lang", "source", F.xxhash64("source").alias("code")).distinct()
+    groups = stored(groups.join(totals, ["lang", "code"], "left").fillna(0, ["total"]))
     size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    ordered = F.sort_array(F.collect_list(F.struct("source", "total")))
+    ordered = F.sort_array(F.collect_list(F.struct("source", "code", "total")))
     langs = groups.groupBy("lang").agg(ordered.alias("g"), F.sum("total").alias("lang_total")).join(size, "lang", "left").fillna(0, ["v"])
-    langs = stored(langs.select("lang", F.col("g.source").alias("sources"), F.col("g.total").alias("totals"), "lang_total", "v"))
+    langs = stored(langs.select("lang", F.col("g.source").alias("sources"), F.col("g.code").alias("codes"), F.col("g.total").alias("totals"), "lang_total", "v"))
     discard(docs)
     # pairs: blocks of terms, each with the sources of its language
-    code = F.xxhash64("term")
-    sized = counts.join(F.broadcast(langs.select("lang", "v")) if langs.count() <= 100_000 else langs.select("lang", "v"), "lang")
-    blocks = sized.groupBy("lang", F.pmod(code, F.ceil(F.col("v") / BLOCK)).alias("block")).agg(F.collect_list(F.struct(code.alias("term"), "source", "n")).alias("cells"))
+    sized = attach(terms, langs.select("lang", "v"), ["lang"], "inner")
+    blocks = sized.groupBy("lang", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / BLOCK)).alias("block")).agg(F.collect_list("cells").alias("cells"))
     sums = blocks.join(langs, "lang").mapInArrow(_pairs, "lang string, source string, item string, value long")
     sums = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     grid = langs.select("lang", F.explode("sources").alias("source"), "sources").select("lang", "source", F.explode("sources").alias("item")).filter("source != item")
     pairs = grid.join(sums, ["lang", "source", "item"], "left").fillna(0, ["value"])
     # terms against the whole language
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"))
-    sizes = groups.join(langs.select("lang", "lang_total", "v"), "lang")
-    rows = counts.join(whole, ["lang", "term"]).join(stored(sizes), ["lang", "source"])
+    sizes = stored(groups.join(langs.select("lang", "lang_total", "v"), "lang"))
+    rows = attach(terms.select("lang", "term", "all", F.explode("cells").alias("x")).select("lang", "term", "all", F.col("x.source").alias("code"), "x.n"), sizes, ["lang", "code"], "inner")
     p = lambda n, total: F.expr(f"1 + cast(cast({SCALE} * cast({n} + {SMOOTH} as decimal(20,0)) as decimal(38,0)) div cast({total} + {SMOOTH} * v as decimal(20,0)) as long)")
     rows = rows.select("lang", "source", F.col("term").alias("item"), p("n", "total").alias("p"), p("all", "lang_total").alias("q")).filter("p > q")
     terms = rows.select("lang", "source", "item", F.expr("(p - q) * (p - q) div q").alias("value"))
