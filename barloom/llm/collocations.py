@@ -27,7 +27,9 @@ from barloom.llm.common import attach, discard, numbered, release, stored
 
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 BLOCK = 1_000_000  # words or phrases that are broadcast at a time
-SHARD = 4_000_000  # words of a shard
+SHARD = 1 << 20  # words of a shard
+ROW = 4096  # words that are stored together, so that a batch of rows stays small
+SLICE = 2000  # texts that are encoded at a time
 DIGIT = 6  # bits of a word number that a level of a trie reads
 _WIDE = 16  # children from which a state gets cells of its own
 _CUT = b"\xff"  # between pieces; no UTF-8 text holds it
@@ -174,7 +176,7 @@ def packed(ids: np.ndarray) -> np.ndarray:
 def _encoded(blocks: list[Broadcast]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for b in batches:
+        for b in (x.slice(lo, SLICE) for x in batches for lo in range(0, x.num_rows, SLICE)):
             by_lang: dict[str, dict[bytes, int]] = {}
             keys: list[bytes] = []
             parts: list[np.ndarray] = []
@@ -184,14 +186,14 @@ def _encoded(blocks: list[Broadcast]):
                 for w in filterfalse(known.__contains__, set(words)):
                     known[w] = len(keys)
                     keys.append(_key(lang, w) if w != _CUT else w)
-                parts += np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.full(1, -1)
+                parts += np.fromiter(map(known.__getitem__, words), np.int32, len(words)), np.full(1, -1, np.int32)
             both = _hashes(keys)
-            numbers = np.full(len(keys) + 1, -1, np.int64)  # the last one for -1
+            numbers = np.full(len(keys) + 1, -1, np.int32)  # the last one for -1
             for block in _each(blocks):
                 numbers[:-1] = np.maximum(numbers[:-1], block.of(both[:, 0], both[:, 1]))
-            ids = packed(numbers[np.concatenate([np.full(1, -1), *parts])]).astype(np.int32)
+            ids = packed(numbers[np.concatenate([np.full(1, -1, np.int32), *parts])]).astype(np.int32)
             ends = np.flatnonzero(ids < 0) + 1
-            cuts = np.unique(ends[np.searchsorted(ends, np.arange(SHARD // 16, len(ids), SHARD // 16), "left").clip(max=len(ends) - 1)]) if len(ends) else []
+            cuts = np.unique(ends[np.searchsorted(ends, np.arange(ROW, len(ids), ROW), "left").clip(max=len(ends) - 1)]) if len(ends) else []
             rows = np.split(ids, cuts)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(ids))], ["ids"])
