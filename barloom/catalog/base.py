@@ -95,7 +95,8 @@ VIEWS: dict[str, tuple[str, str]] = {
         "places",
         f"""SELECT p.entity, reverse(lpad(CAST(p.entity AS VARCHAR), 12, '0')) AS code,
  CASE WHEN p.entity % 11 = 5 THEN 'ST ' || s_name WHEN p.entity % 13 = 7 THEN ' *st ' || s_name ELSE s_name END AS name,
- n_name AS industry, r_name AS market, list_date FROM places p
+ n_name AS industry, r_name AS market, list_date,
+ CASE WHEN p.entity % 4 = 1 THEN 'state' WHEN p.entity % 4 <> 0 THEN 'private' END AS act_ent_type FROM places p
  JOIN (SELECT l_suppkey, min({_DAY}) AS list_date FROM lineitem GROUP BY l_suppkey) f ON f.l_suppkey = p.entity""",
     ),
     "prevs": ("bars", "SELECT *, lag(close) OVER (PARTITION BY entity ORDER BY date) AS prev FROM bars"),
@@ -123,9 +124,6 @@ VIEWS: dict[str, tuple[str, str]] = {
  sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS sell_amount
  FROM lines GROUP BY l_suppkey, date""",
     ),
-    "flows17": ("flows", f"SELECT * FROM flows WHERE {DAYNO} % 17 <> 0"),
-    "idx7": ("idx", f"SELECT * FROM idx WHERE {DAYNO} % 7 <> 0"),
-    "val13": ("val", f"SELECT * FROM val WHERE {DAYNO} % 13 <> 0"),
     "val": (
         "lines",
         f"""SELECT entity, date, vol / 10 AS turnover_rate, vol / 8 AS turnover_rate_f, pe_ttm * 1.1 AS pe, pe_ttm,
@@ -194,7 +192,7 @@ def with_views(uses: str, body: str) -> str:
     order = _resolve(uses, [])
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order) + "\n" + body
 
 
 def query(name: str, out: str, ids: str, uses: str = "bars", sql: str | None = None):

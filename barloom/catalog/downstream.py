@@ -73,9 +73,7 @@ def _(t):
     return so.score_sequences(seqs, linear_model, ("pred_1day", "pred_3day"))
 
 
-@query("boosted_base", "entity:i date:d next_day_return base_pred residual", "SC-03 L-04")
-def _(t):
-    """Gradient-boosted trees fitted on one half of the calendar and applied to all rows (no SQL form)."""
+def boosted_rows(t):
     from barloom.operators.price import residual_label
 
     feats = ["return_lag_1", "return_lag_2", "return_lag_3", "volume"]
@@ -84,6 +82,25 @@ def _(t):
     return residual_label(so.predict_base(model, df, feats), "base_pred")
 
 
+@query("boosted_base", "entity:i date:d next_day_return base_pred residual", "SC-03 L-04")
+def _(t):
+    """Gradient-boosted trees fitted on one half of the calendar and applied to all rows (no SQL form)."""
+    return boosted_rows(t)
+
+
+@query("boosted_base_facts", "entity:i date:d next_day_return adds_up:b bounded:b", "SC-03 L-04", "bars",
+       f"SELECT entity, date, next_day_return, true AS adds_up, true AS bounded FROM ({LABELS}) WHERE next_day_return IS NOT NULL")
+def _(t):
+    """What must hold for each prediction of the trees: the residual is what is missing to the label, and no prediction lies
+    further from the mean than the sum of the boosting steps can reach (shrunken steps within twice the labels' range)."""
+    rows = boosted_rows(t)
+    y, base = c("next_day_return"), c("base_pred")
+    span = rows.agg(F.struct(F.min(y).alias("lo"), F.max(y).alias("hi"))).scalar()
+    room = c("_s.hi") - c("_s.lo")
+    rows = rows.withColumn("_s", span)
+    return rows.withColumns({"adds_up": F.abs(base + c("residual") - y) < 1e-9, "bounded": (base >= c("_s.lo") - room) & (base <= c("_s.hi") + room)})
+
+
 _FUSE = f"""SELECT predicted_return AS a, CASE WHEN {DAYNO.replace('date', 'l.date')} % 2 = 0 THEN volume ELSE predicted_return / 3 END AS b, next_day_return AS y
  FROM preds p JOIN ({LABELS}) l ON l.entity = p.entity AND l.date = p.date WHERE next_day_return IS NOT NULL"""
 
@@ -188,6 +205,12 @@ def _(t):
     return sg.signal_summary(sg.score_signals(_context(t), _P))
 
 
+@query("signal_top_picks", "entity:i date:d name:s signal_type:s predicted_return confidence signal_score", "SG-06", "ctx",
+       f"SELECT * FROM ({_signals_sql()}) WHERE signal_type LIKE '%BUY' ORDER BY signal_score DESC, entity, date LIMIT 5")
+def _(t):
+    return sg.top_picks(sg.score_signals(_context(t), _P))
+
+
 add_view(
     "direct", "preds",
     """SELECT * FROM (SELECT *, CASE WHEN predicted_return >= 1.0 AND confidence >= 0.7 THEN 'STRONG_BUY' WHEN predicted_return >= 0.5 AND confidence >= 0.6 THEN 'BUY'
@@ -354,7 +377,7 @@ def _(t):
 def _metrics_sql(basis: str) -> str:
     return f"""SELECT *, CASE WHEN sharpe >= 2 AND max_drawdown_pct < 10 THEN 'EXCELLENT' WHEN sharpe >= 1.5 AND max_drawdown_pct < 15 THEN 'GOOD' WHEN sharpe >= 1 AND max_drawdown_pct < 20 THEN 'MODERATE'
  WHEN sharpe >= 0.5 THEN 'FAIR' ELSE 'POOR' END AS rating FROM (
- SELECT n AS trades, w AS winners, n - w AS losers, w * 100.0 / n AS win_rate_pct, won / w AS avg_win, lost / (n - w) AS avg_loss, won / lost AS profit_factor,
+ SELECT n AS trades, w AS winners, n - w AS losers, w * 100.0 / n AS win_rate_pct, won / w AS avg_win, lost / (n - w) AS avg_loss, CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 'inf'::DOUBLE ELSE 0 END AS profit_factor,
   (k / 1000000 - 1) * 100 AS total_return_pct, (pow(k / 1000000, 250.0 / days) - 1) * 100 AS annual_return_pct, m * sqrt(250) / sd AS sharpe, dd * 100 AS max_drawdown_pct, days FROM
  (SELECT count(*) AS n, count_if(pnl > 0) AS w, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) AS won, sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END) AS lost FROM trades) CROSS JOIN
  (SELECT count(*) AS days, last(capital ORDER BY date) AS k, max((peak - capital) / peak) AS dd, avg({basis}) AS m, stddev_samp({basis}) AS sd FROM equity))"""

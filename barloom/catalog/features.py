@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import BY, DAYNO, full, over, query
+from barloom.catalog.base import BY, DAYNO, REGISTRY, full, over, query
 from barloom.operators import adjust, context, momentum, pattern, price, trend, volatility, volume
-from barloom.sources.tables import day_number, with_gaps
+from barloom.operators.recurrence import linear_recurrences
+from barloom.sources.tables import day_number
 
 c = F.col
 W = over()
@@ -234,6 +235,28 @@ def _(t):
     return trend.apply_indicator(t.bars().select("entity", "date", "close"), Smoother, "level double")
 
 
+@query("indicator_vectors", "entity:i date:d level:f4", "UDF surface (vector form)", "bars", REGISTRY["indicator_fold"].body)
+def _(t):
+    """The same smoothing as a fold over arrays of a whole entity."""
+
+    def fold(columns: dict) -> dict:
+        level, out = None, []
+        for x in columns["close"].tolist():
+            level = x if level is None else level + (x - level) * 0.1372
+            out.append(level)
+        return {"level": out}
+
+    return trend.apply_vector_indicator(t.bars().select("entity", "date", "close"), fold, "level double")
+
+
+@query("indicator_scan", "entity:i date:d level:f4", "UDF surface (linear recurrence)", "bars", REGISTRY["indicator_fold"].body)
+def _(t):
+    """The same smoothing as a prefix scan of affine maps: for entities of any length."""
+    first = c("_row") == 1
+    level = (F.when(first, 0.0).otherwise(1 - 0.1372), F.when(first, c("close")).otherwise(c("close") * 0.1372))
+    return linear_recurrences(t.bars().select("entity", "date", "close"), {"level": level})
+
+
 # ---------------------------------------------------------------------------------------- oscillators
 
 
@@ -508,9 +531,9 @@ def index_context_sql(at: str, codes=_CODES, view: str = "idx") -> str:
 _INDEX_OUT = " ".join(f"{k}_pct_chg {k}_vs_ma5_pct {k}_vs_ma20_pct {k}_ref_date:d" for k in _CODES)
 
 
-@query("index_context", f"entity:i date:d {_INDEX_OUT}", "F-33 JN-07 JN-14 WIN-04", "bars idx7", index_context_sql(f"lag(date) {W}", view="idx7"))
+@query("index_context", f"entity:i date:d {_INDEX_OUT}", "F-33 JN-07 JN-14 WIN-04", "bars idx", index_context_sql(f"lag(date) {W}"))
 def _(t):
-    return context.add_index_context(t.bars(), with_gaps(t.index_bars(), 7), _CODES)
+    return context.add_index_context(t.bars(), t.index_bars(), _CODES)
 
 
 @query("index_context_same_day", "entity:i date:d csi300_pct_chg csi300_vs_ma5_pct csi300_vs_ma20_pct csi300_ref_date:d", "F-33 F-34", "bars idx",
@@ -600,13 +623,13 @@ def _(t):
 _JOINT = "PARTITION BY entity, x IS NULL ORDER BY date"
 
 
-@query("rolling_corr", "entity:i date:d rolling_corr relative_return", "F-47", "bars idx7",
+@query("rolling_corr", "entity:i date:d rolling_corr relative_return", "F-47", "bars idx",
        f"""SELECT entity, date, CASE WHEN x IS NULL THEN NULL WHEN rn < 20 OR sa = 0 OR sb = 0 THEN 0 ELSE r END AS rolling_corr, CASE WHEN x IS NOT NULL THEN ra - rb END AS relative_return FROM (
  SELECT entity, date, x, row_number() {over(by=_JOINT)} AS rn, stddev_pop(close) {over(20, _JOINT)} AS sa, stddev_pop(x) {over(20, _JOINT)} AS sb, corr(close, x) {over(20, _JOINT)} AS r,
   (close - lag(close) {over(by=_JOINT)}) / lag(close) {over(by=_JOINT)} * 100 AS ra, (x - lag(x) {over(by=_JOINT)}) / lag(x) {over(by=_JOINT)} * 100 AS rb FROM (
-  SELECT b.entity, b.date, b.close, i.close AS x FROM bars b LEFT JOIN idx7 i ON i.date = b.date AND i.code = 'csi300'))""")
+  SELECT b.entity, b.date, b.close, i.close AS x FROM bars b LEFT JOIN idx i ON i.date = b.date AND i.code = 'csi300'))""")
 def _(t):
-    return context.add_rolling_corr(t.bars(), with_gaps(t.index_bars(), 7).where(c("code") == "csi300"))
+    return context.add_rolling_corr(t.bars(), t.index_bars().where(c("code") == "csi300"))
 
 
 # --------------------------------------------------------------------------------------------- labels

@@ -10,7 +10,7 @@ from barloom.catalog.base import DAYNO, add_view, query
 from barloom.operators.price import add_momentum
 from barloom.operators.windows import row_no
 from barloom.session import ensure_checkpoint_dir
-from barloom.sources import panel, payload, upsert as ups
+from barloom.sources import landing, panel, payload, upsert as ups
 from barloom.sources.schemas import ADJUSTED_BARS, conform
 from barloom.sources.tables import day_number
 from barloom.streaming import incremental as inc
@@ -115,6 +115,71 @@ def _(t):
     return conform(t.bars(), ADJUSTED_BARS)
 
 
+# -------------------------------------------------------------------------------------------- landing
+
+add_view("stock_old", "bars", "SELECT CAST(entity AS VARCHAR) AS ts_code, date AS trade_date, close, volume AS vol FROM bars WHERE date < DATE '1999-01-01'")
+add_view("stock_new", "bars", f"""SELECT CAST(entity AS VARCHAR) AS ts_code, date AS trade_date, close + CASE WHEN {DAYNO} % 5 = 0 THEN 2 ELSE 1 END AS close,
+ CASE WHEN volume <= 30 THEN volume END AS vol FROM bars WHERE date >= DATE '1998-01-01'""")
+add_view("macro_old", "idx", "SELECT date AS trade_date, close AS usd_cny_rate, CAST(NULL AS DOUBLE) AS gold_price FROM idx WHERE code = 'usdcnh' AND date < DATE '1999-01-01'")
+add_view("macro_new", "idx", f"""SELECT date AS trade_date, CASE WHEN {DAYNO} % 2 = 0 THEN close * 2 END AS usd_cny_rate, close + 1 AS gold_price
+ FROM idx WHERE code = 'usdcnh' AND date >= DATE '1998-01-01'""")
+
+
+def _message(rows, kind: str, fields: dict, day: str, seq: int = 0):
+    """Landed payloads of one kind: a month of rows in each; ``seq`` orders months, then landings."""
+    item = F.array(*[x.cast("string") for x in fields.values()])
+    body = rows.withColumn("_m", F.date_format(day, "yyyyMM")).groupBy("_m").agg(F.collect_list(item).alias("items"))
+    data = F.struct(F.array(*[F.lit(n) for n in fields]).alias("fields"), "items", F.lit(False).alias("has_more"))
+    text = F.to_json(F.struct(F.lit(0).alias("code"), F.lit("").alias("msg"), data.alias("data")))
+    return body.select(F.lit(kind).alias("kind"), (c("_m").cast("long") * 10 + seq).alias("seq"), text.alias("payload"))
+
+
+def _landed(t):
+    """Bars from 1998 on as payloads of two kinds, every fifth day landed again, and a macro series; (payloads, stored tables)."""
+    day = lambda n: F.date_format(n, "yyyyMMdd")
+    bars, macro = t.bars(), t.index_bars().where("code = 'usdcnh'")
+    new, old = bars.where("date >= '1998-01-01'"), bars.where("date < '1999-01-01'")
+    vol = F.when(c("volume") > 30, "n/a").otherwise(c("volume").cast("string"))
+    row = lambda up: {"trade_date": day("date"), "vol": vol, "close": c("close") + up, "ts_code": c("entity")}
+    out = None
+    for kind in ("stock_daily", "index_daily"):
+        for part in (_message(new, kind, row(1), "date"), _message(new.where(day_number(c("date")) % 5 == 0), kind, row(2), "date", 1)):
+            out = part if out is None else out.unionByName(part)
+    rate = F.when(day_number(c("date")) % 2 == 0, c("close") * 2)
+    out = out.unionByName(_message(macro.where("date >= '1998-01-01'"), "macro_daily", {"gold_price": c("close") + 1, "trade_date": day("date"), "usd_cny_rate": rate}, "date"))
+    out = out.unionByName(_message(new, "express", {"ts_code": c("entity"), "ann_date": day("date"), "revenue": c("close")}, "date"))
+    stock = old.select(c("entity").cast("string").alias("ts_code"), c("date").alias("trade_date"), "close", c("volume").alias("vol"))
+    held = macro.where("date < '1999-01-01'").select(c("date").alias("trade_date"), c("close").alias("usd_cny_rate"), F.lit(None).cast("double").alias("gold_price"))
+    filings = stock.select("ts_code", c("trade_date").alias("ann_date"), c("close").alias("revenue"))
+    return out, {"stock_daily": stock, "index_daily": stock, "macro_daily": held, "express": filings}
+
+
+@query("landing_keep", "ts_code:s trade_date:d close:f4 vol", "SRC-02 UPS-02 UPS-07 (loader map)", "stock_old stock_new",
+       "SELECT * FROM stock_old UNION ALL SELECT * FROM stock_new n WHERE NOT EXISTS (SELECT 1 FROM stock_old o WHERE o.ts_code = n.ts_code AND o.trade_date = n.trade_date)")
+def _(t):
+    return landing.land(*_landed(t))["stock_daily"]
+
+
+@query("landing_replace", "ts_code:s trade_date:d close:f4 vol", "SRC-02 UPS-01 UPS-07 (loader map)", "stock_old stock_new",
+       "SELECT * FROM stock_new UNION ALL SELECT * FROM stock_old o WHERE NOT EXISTS (SELECT 1 FROM stock_new n WHERE o.ts_code = n.ts_code AND o.trade_date = n.trade_date)")
+def _(t):
+    return landing.land(*_landed(t))["index_daily"]
+
+
+@query("landing_coalesce_new", "trade_date:d usd_cny_rate:f4 gold_price:f4", "SRC-02 UPS-04 (loader map)", "macro_old macro_new",
+       """SELECT trade_date, coalesce(n.usd_cny_rate, o.usd_cny_rate) AS usd_cny_rate, coalesce(n.gold_price, o.gold_price) AS gold_price
+ FROM macro_old o FULL JOIN macro_new n USING (trade_date)""")
+def _(t):
+    return landing.land(*_landed(t))["macro_daily"]
+
+
+@query("landing_append", "ts_code:s ann_date:d revenue:f4", "SRC-02 UPS-11 (loader map)", "bars",
+       """SELECT CAST(entity AS VARCHAR) AS ts_code, date AS ann_date, close AS revenue FROM bars WHERE date < DATE '1999-01-01'
+ UNION ALL SELECT CAST(entity AS VARCHAR), date, close FROM bars WHERE date >= DATE '1998-01-01'""")
+def _(t):
+    return landing.land(*_landed(t))["express"]
+
+
 # -------------------------------------------------------------------------------------------- upserts
 # The base holds dates up to 1999 with some nulls; the batch starts in 1998 with changed values.
 
@@ -232,9 +297,9 @@ def _(t):
     return inc.open_days(t.calendar(), F.lit("19960101"))
 
 
-@query("missing_dates", "date:d", "INC-04 JN-04", "cal bars", "SELECT date FROM cal WHERE is_open = '1' AND date NOT IN (SELECT date FROM bars WHERE entity % 5 = 0)")
+@query("missing_dates", "date:d", "INC-04 JN-04", "cal bars", "SELECT date FROM cal WHERE is_open = '1' AND date NOT IN (SELECT date FROM bars)")
 def _(t):
-    return inc.missing_dates(inc.open_days(t.calendar()), t.bars().where(c("entity") % 5 == 0))
+    return inc.missing_dates(inc.open_days(t.calendar()), t.bars())
 
 
 @query("fetch_plan", "date:d ord:i has_rows:b empty_run:i", "INC-04 WIN-09", "cal bars",

@@ -41,15 +41,15 @@ def _(t):
     return dq.null_profile(feature_sample(t), _NULL_COLUMNS).withColumnRenamed("column", "name")
 
 
-@query("coverage_on_date", "n_rows:i return_lag_1_filled:i next_day_return_filled:i", "DQ-02", "feats",
-       "SELECT count(*) AS n_rows, count(return_lag_1) AS return_lag_1_filled, count(next_day_return) AS next_day_return_filled FROM feats WHERE date = DATE '2000-06-15'")
+@query("coverage_on_date", "date:d n_rows:i return_lag_1_filled:i next_day_return_filled:i", "DQ-02", "feats",
+       "SELECT date, count(*) AS n_rows, count(return_lag_1) AS return_lag_1_filled, count(next_day_return) AS next_day_return_filled FROM feats GROUP BY date")
 def _(t):
-    return dq.coverage(feature_sample(t).where(c("date") == "2000-06-15"), ["return_lag_1", "next_day_return"]).withColumnRenamed("rows", "n_rows")
+    return dq.coverage(feature_sample(t), ["return_lag_1", "next_day_return"], ["date"]).withColumnRenamed("rows", "n_rows")
 
 
-@query("dataset_profile", "n_rows:i n_columns:i first_date:d last_date:d dates:i entities:i label_mean label_std", "DQ-03", "feats",
+@query("dataset_profile", "n_rows:i n_columns:i first_date:d last_date:d dates:i entities:i label_mean label_std valid_targets:i features:i", "DQ-03", "feats",
        """SELECT count(*) AS n_rows, 9 AS n_columns, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS dates, count(DISTINCT entity) AS entities,
- avg(next_day_return) AS label_mean, stddev_samp(next_day_return) AS label_std FROM feats""")
+ avg(next_day_return) AS label_mean, stddev_samp(next_day_return) AS label_std, count(next_day_return) AS valid_targets, 6 AS features FROM feats""")
 def _(t):
     return dq.profile(feature_sample(t), "next_day_return").withColumnsRenamed({"rows": "n_rows", "columns": "n_columns"})
 
@@ -59,6 +59,14 @@ def _(t):
     return dq.duplicate_keys(t.versioned(), KEYS)
 
 
+@query("most_missing", "name:s nulls:i null_pct", "DQ-03", "feats",
+       "SELECT name, count(*) - count(v) AS nulls, (count(*) - count(v)) * 100.0 / count(*) AS null_pct FROM ("
+       + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({n} AS DOUBLE) AS v FROM feats" for n in _NULL_COLUMNS)
+       + ") GROUP BY name HAVING count(*) > count(v) ORDER BY null_pct DESC, name LIMIT 10")
+def _(t):
+    return dq.most_missing(feature_sample(t), _NULL_COLUMNS).withColumnRenamed("column", "name")
+
+
 @query("duplicate_line_keys", "l_orderkey:i l_linenumber:i copies:i", "DQ-04", "", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(t):
     return dq.duplicate_keys(t.table("lineitem"), ["l_orderkey", "l_linenumber"])
@@ -146,7 +154,8 @@ _CORR = f"""SELECT feature, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) A
   rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM ({_LONG})) GROUP BY feature"""
 
 
-@query("feature_label_corr", "feature:s n:i pearson spearman near_perfect:b", "LK-05 AG-11", "feats", f"SELECT *, abs(pearson) >= 0.9999 AS near_perfect FROM ({_CORR})")
+@query("feature_label_corr", "feature:s n:i pearson spearman near_perfect:b place:i", "LK-05 AG-11", "feats",
+       f"SELECT *, abs(pearson) >= 0.9999 AS near_perfect, row_number() OVER (ORDER BY round(abs(pearson), 9) DESC, feature) AS place FROM ({_CORR})")
 def _(t):
     return dq.feature_label_corr(feature_sample(t), FEATURES, "next_day_return")
 
@@ -154,7 +163,7 @@ def _(t):
 @query("corr_summary", "min_abs median_abs max_abs", "LK-10", "feats",
        f"SELECT min(abs(pearson)) AS min_abs, quantile_cont(abs(pearson), 0.5) AS median_abs, max(abs(pearson)) AS max_abs FROM ({_CORR})")
 def _(t):
-    return dq.corr_summary(dq.feature_label_corr(feature_sample(t), FEATURES, "next_day_return"))
+    return dq.corr_summary(dq.label_pearson(feature_sample(t), FEATURES, "next_day_return"))
 
 
 def _equal_sql(n: str) -> str:

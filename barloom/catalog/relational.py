@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import BY, DAYNO, over, query
@@ -13,7 +15,7 @@ from barloom.operators import ranking, windows
 from barloom.operators import universe as un
 from barloom.operators.price import add_labels, add_momentum, add_returns
 from barloom.operators.quality import compare_versions, split_overlap, version_summary
-from barloom.sources.tables import day_number, with_gaps
+from barloom.sources.tables import day_number
 
 c = F.col
 W = over()
@@ -59,7 +61,7 @@ def _(t):
 
 @query("date_set", "entity:i date:d close:f4", "FLT-06", "bars", "SELECT * FROM bars WHERE date IN (DATE '1998-03-02', DATE '1998-03-03', DATE '1999-07-01')")
 def _(t):
-    return t.bars().where(c("date").isin("1998-03-02", "1998-03-03", "1999-07-01"))
+    return t.bars().where(c("date").isin([date(1998, 3, 2), date(1998, 3, 3), date(1999, 7, 1)]))
 
 
 @query("industry_filter", "entity:i industry:s", "FLT-07", "dim", "SELECT * FROM dim WHERE contains(industry, '_1') OR contains(industry, '_7')")
@@ -128,14 +130,14 @@ def _(t):
     return jn.lookup(t.preds().join(t.dim(), "entity", "left"), t.valuation(), KEYS, ["pe_ttm"])
 
 
-@query("semi_join", "entity:i date:d close:f4", "JN-03", "bars flows17", "SELECT * FROM bars b WHERE EXISTS (SELECT 1 FROM flows17 f WHERE f.entity = b.entity AND f.date = b.date)")
+@query("semi_join", "entity:i date:d close:f4", "JN-03", "bars preds", "SELECT * FROM bars b WHERE EXISTS (SELECT 1 FROM preds f WHERE f.entity = b.entity AND f.date = b.date)")
 def _(t):
-    return jn.has_match(t.bars(), with_gaps(t.flows(), 17), KEYS)
+    return jn.has_match(t.bars(), t.preds(), KEYS)
 
 
-@query("anti_join", "entity:i date:d close:f4", "JN-04", "bars flows17", "SELECT * FROM bars b WHERE NOT EXISTS (SELECT 1 FROM flows17 f WHERE f.entity = b.entity AND f.date = b.date)")
+@query("anti_join", "entity:i date:d close:f4", "JN-04", "bars preds", "SELECT * FROM bars b WHERE NOT EXISTS (SELECT 1 FROM preds f WHERE f.entity = b.entity AND f.date = b.date)")
 def _(t):
-    return jn.has_no_match(t.bars(), with_gaps(t.flows(), 17), KEYS)
+    return jn.has_no_match(t.bars(), t.preds(), KEYS)
 
 
 @query("scalar_cross_join", "entity:i date:d close:f4 max_date:d mean_close:f4", "JN-05", "bars",
@@ -223,11 +225,11 @@ def _(t):
     return wide.withColumn("log_level", F.ln(jn.first_available(c("usdcnh_close"), c("hsi_close"), c("csi300_close"))))
 
 
-@query("unmatched_counts", "left_unmatched:i right_unmatched:i", "JN-15", "bars flows17",
-       """SELECT (SELECT count(*) FROM bars b WHERE volume > 5 AND NOT EXISTS (SELECT 1 FROM flows17 f WHERE f.entity = b.entity AND f.date = b.date)) AS left_unmatched,
- (SELECT count(*) FROM flows17 f WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE f.entity = b.entity AND f.date = b.date AND b.volume > 5)) AS right_unmatched""")
+@query("unmatched_counts", "left_unmatched:i right_unmatched:i", "JN-15", "bars preds",
+       """SELECT (SELECT count(*) FROM bars b WHERE NOT EXISTS (SELECT 1 FROM preds f WHERE f.entity = b.entity AND f.date = b.date)) AS left_unmatched,
+ (SELECT count(*) FROM preds f WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE f.entity = b.entity AND f.date = b.date)) AS right_unmatched""")
 def _(t):
-    return jn.join_counting(t.bars().where(c("volume") > 5), with_gaps(t.flows(), 17), KEYS)[1]
+    return jn.join_counting(t.bars(), t.preds().drop("model_version"), KEYS)[1]
 
 
 @query("three_way_predictions", "entity:i date:d next_day_return base model", "JN-16", "bars preds",

@@ -43,6 +43,19 @@ def _(t):
     return _selected(t)
 
 
+add_view(
+    "able_aged", "able dim bars",
+    """SELECT a.* FROM able a JOIN dim d ON d.entity = a.entity WHERE list_date <= DATE '2000-06-01' - INTERVAL 5 YEAR
+ AND EXISTS (SELECT 1 FROM bars b WHERE b.entity = a.entity AND b.date BETWEEN DATE '2000-06-01' AND DATE '2000-06-20')""",
+)
+
+
+@query("liquid_universe_aged", "entity:i", "SEL-01", "able_aged", " UNION ".join((_LIQUID, _HALF, _WHOLE)).replace("FROM able", "FROM able_aged"))
+def _(t):
+    day = lambda d: F.lit(d).cast("date")
+    return _selected(t, start=day("2000-06-01"), end=day("2000-06-20"), years=5)
+
+
 @query("liquid_universe_floor", "entity:i", "SEL-01", "able",
        f"""SELECT entity FROM ({_LIQUID}) WHERE entity IN (SELECT entity FROM bars WHERE date >= DATE '2001-10-01' GROUP BY entity HAVING sum(amount) >= 150000)
  UNION {_HALF} UNION {_WHOLE}""")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import round_to
-from barloom.operators.ranking import average_ranks, global_row_number
+from barloom.operators.ranking import global_row_number, tie_ranks
 from barloom.operators.windows import names, ratio
 
 c = F.col
@@ -46,8 +46,8 @@ def pearson(x: Column, y: Column) -> Column:
 
 def ic(df: DataFrame, pred: str, target: str) -> DataFrame:
     """Information coefficient: Pearson and Spearman (average ranks) over the whole table, in one row."""
-    pairs = df.where(c(pred).isNotNull() & c(target).isNotNull()).select(c(pred).alias("_p"), c(target).alias("_t"))
-    ranked = pairs.join(average_ranks(pairs, [], "_p", "_rp"), "_p").join(average_ranks(pairs, [], "_t", "_rt"), "_t")
+    pairs = df.where(c(pred).isNotNull() & c(target).isNotNull()).select(c(pred).cast("double").alias("_p"), c(target).cast("double").alias("_t"))
+    ranked = tie_ranks(tie_ranks(pairs, [], "_p", "_rp"), [], "_t", "_rt")
     return ranked.agg(
         F.count(F.lit(1)).alias("n"),
         pearson(c("_p"), c("_t")).alias("pearson"),

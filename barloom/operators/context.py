@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.operators.joins import asof_join, lookup
 from barloom.operators.windows import (
@@ -62,6 +65,53 @@ def add_index_context(
     )
 
 
+def expanding_median(values: np.ndarray) -> np.ndarray:
+    """Median of the values up to each place, missing ones left out: O(n log n) for n values.
+
+    Each value is replaced by its rank in the whole series, and the bits of the wanted order statistic are found from
+    the highest down, for all prefixes at once: at each bit the ranks are dealt to two halves in their order (a wavelet
+    matrix), and running counts of the zeros tell in which half the statistic of each prefix lies.
+    """
+    known = np.flatnonzero(~np.isnan(values))
+    out = np.full(len(values), np.nan)
+    n = len(known)
+    if not n:
+        return out
+    order = np.argsort(values[known], kind="stable")
+    ranks = np.empty(n, np.int64)
+    ranks[order] = np.arange(n)
+    ends = np.arange(1, n + 1)
+    wanted = np.concatenate([(ends - 1) // 2, ends // 2])  # both middle values
+    first, end = np.zeros(2 * n, np.int64), np.concatenate([ends, ends])
+    found = np.zeros(2 * n, np.int64)
+    for bit in range(max(1, (n - 1).bit_length()) - 1, -1, -1):
+        high = (ranks >> bit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~high)])
+        low_first, low_end = zeros[first], zeros[end]
+        right = wanted >= low_end - low_first
+        wanted = np.where(right, wanted - (low_end - low_first), wanted)
+        found |= right.astype(np.int64) << bit
+        first, end = np.where(right, zeros[-1] + first - low_first, low_first), np.where(right, zeros[-1] + end - low_end, low_end)
+        ranks = np.concatenate([ranks[~high], ranks[high]])
+    middle = values[known][order][found]
+    made = np.where(middle[:n] == middle[n:], middle[:n], middle[:n] + (middle[n:] - middle[:n]) * 0.5)
+    # places between known values repeat the one before
+    at = np.searchsorted(known, np.arange(len(values)), "right") - 1
+    return np.where(at >= 0, made[np.maximum(at, 0)], np.nan)
+
+
+def add_expanding_median(df: DataFrame, value: str = "close", out: str = "close_median", key: str = "code", ts: str = "date") -> DataFrame:
+    """The median of a series' values up to and including each row; a series (one row per date) is one group."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(ts)
+        made = expanding_median(table.column(value).cast(pa.float64()).to_numpy())
+        return table.append_column(out, pa.array(made, pa.float64(), from_pandas=True))
+
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
 def index_stats(index_bars: DataFrame, code: str = "code", ts: str = "date") -> DataFrame:
     """Same-day index features with warm-up fallback plus expanding statistics of the close.
 
@@ -76,7 +126,7 @@ def index_stats(index_bars: DataFrame, code: str = "code", ts: str = "date") ->
         mean = F.when(row >= n, F.avg("close").over(trailing(n, code, ts))).otherwise(c("close"))
         return ratio(c("close") - mean, mean) * 100
 
-    return index_bars.select(
+    return add_expanding_median(index_bars.select(code, ts, c("close").cast("double")), key=code, ts=ts).select(
         code, ts, "close",
         F.coalesce(ratio(c("close") - prev, prev) * 100, F.lit(0.0)).alias("pct_chg"),
         versus(5).alias("vs_ma5_pct"),
@@ -85,7 +135,7 @@ def index_stats(index_bars: DataFrame, code: str = "code", ts: str = "date") ->
         F.stddev_samp("close").over(w).alias("close_stddev"),
         F.min("close").over(w).alias("close_min"),
         F.max("close").over(w).alias("close_max"),
-        F.percentile("close", F.lit(0.5)).over(w).alias("close_median"),
+        "close_median",
     )
 
 
@@ -125,19 +175,23 @@ def add_group_vs_market(
     df: DataFrame, col: str = "price_momentum_5", out: str = "sector_momentum_vs_market",
     group: str = "industry", ts: str = "date",
 ) -> DataFrame:
-    """Group mean minus market mean of a column on each date.
+    """Group mean minus market mean of a column on each date."""
+    return df.drop(out).join(group_edge(df, col, out, group, ts), [group, ts], "left")
+
+
+def group_edge(df: DataFrame, col: str, out: str = "sector_momentum_vs_market", group: str = "industry", ts: str = "date") -> DataFrame:
+    """(group, date, ``out``): the group's mean of a column minus the market's.
 
     Both means come from one aggregate per (group, date); the market mean is the sum of the group sums, so
     the feature table is scanned once for the statistics.
     """
     parts = df.groupBy(group, ts).agg(F.sum(col).alias("_s"), F.count(col).alias("_n"))
     market = parts.groupBy(ts).agg(ratio(F.sum("_s"), F.sum("_n")).alias("_market"))
-    edge = (
+    return (
         parts.where(c(group).isNotNull())
         .join(market, ts)
         .select(group, ts, (ratio(c("_s"), c("_n")) - c("_market")).alias(out))
     )
-    return df.drop(out).join(edge, [group, ts], "left")
 
 
 def flow_steps(key: Key = "entity", ts: Key = "date") -> Steps:

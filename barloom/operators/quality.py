@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.joins import with_scalars
-from barloom.operators.ranking import average_ranks
+from barloom.operators.ranking import tie_ranks
 from barloom.operators.windows import ratio
 
 c = F.col
 
+# Words that make a column name suspicious, and the targets that are meant to be there.
+SUSPICIOUS = ("next", "future", "pred", "predict", "target", "label", "leak")
+TARGETS = ("next_day_return", "next_day_direction", "next_3day_return", "next_3day_direction")
+
 
 def melt(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form (feature, value) with values as double."""
@@ -42,14 +46,20 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def most_missing(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10) -> DataFrame:
+    """The ``n`` columns with the largest share of nulls, of those with any."""
+    return null_profile(df, cols).where(c("nulls") > 0).orderBy(c("null_pct").desc(), "column").limit(n)
+
+
 def coverage(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows and non-null counts of the named columns, per date or other key if asked."""
     aggs = [F.count(F.lit(1)).alias("rows"), *[F.count(n).alias(f"{n}_filled") for n in cols]]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def profile(df: DataFrame, label: str, key: str = "entity", ts: str = "date") -> DataFrame:
-    """Rows, date range, distinct dates and entities, label mean and deviation, in one row."""
+def profile(df: DataFrame, label: str, key: str = "entity", ts: str = "date", targets: Sequence[str] = TARGETS) -> DataFrame:
+    """Rows, date range, distinct dates and entities, label mean and deviation, features and labelled rows, in one row."""
+    features = [n for n in df.columns if n not in (key, ts, label, *targets)]
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(ts).alias("first_date"),
@@ -58,7 +68,8 @@ def profile(df: DataFrame, label: str, key: str = "entity", ts: str = "date") ->
         F.count_distinct(key).alias("entities"),
         F.avg(label).alias("label_mean"),
         F.stddev_samp(label).alias("label_std"),
-    ).withColumn("columns", F.lit(len(df.columns)))
+        F.count(label).alias("valid_targets"),
+    ).withColumns({"columns": F.lit(len(df.columns)), "features": F.lit(len(features))})
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -129,9 +140,6 @@ def check_split_order(df: DataFrame, order: Sequence[str] = ("train", "val", "te
     return bounds.withColumn("violates", bad)
 
 
-# Words that make a column name suspicious, and the targets that are meant to be there.
-SUSPICIOUS = ("next", "future", "pred", "predict", "target", "label", "leak")
-TARGETS = ("next_day_return", "next_day_direction", "next_3day_return", "next_3day_direction")
 
 
 def check_schema(df: DataFrame, targets: Sequence[str] = TARGETS) -> dict[str, list[str]]:
@@ -166,28 +174,34 @@ def overlap_counts(df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequen
     )
 
 
+def label_pearson(df: DataFrame, cols: Sequence[str], y: str, min_pairs: int = 30) -> DataFrame:
+    """Pairs and Pearson of every feature with the label, from one aggregate over the wide rows.
+
+    Features with fewer than ``min_pairs`` pairs or without variation are left out.
+    """
+    aggs = []
+    for n in cols:
+        x, label = c(n).cast("double"), c(y).cast("double")
+        paired = F.when(x.isNotNull(), label)
+        aggs += [F.count(F.when(label.isNotNull(), x)).alias(f"{n}__n"), F.corr(x, paired).alias(f"{n}__pearson")]
+        aggs += [F.stddev_samp(F.when(label.isNotNull(), x)).alias(f"{n}__sx"), F.stddev_samp(paired).alias(f"{n}__sy")]
+    long = _one_row_to_long(df.agg(*aggs), list(cols), ["n", "sx", "sy", "pearson"])
+    return long.where((c("n") >= min_pairs) & (c("sx") > 0) & (c("sy") > 0)).select("feature", "n", "pearson")
+
+
 def feature_label_corr(df: DataFrame, cols: Sequence[str], y: str, min_pairs: int = 30) -> DataFrame:
-    """Pearson and Spearman of every feature with the label over pairwise non-null rows.
+    """Pearson and Spearman of every feature with the label over pairwise non-null rows, strongest |Pearson| first.
 
-    Ranks are taken per feature on distinct values and spread over range partitions; features with fewer
-    than ``min_pairs`` pairs or without variation are left out.
+    ``place`` numbers the features by |Pearson|, then name.  Ranks are taken per feature inside range partitions, first
+    of the feature, then of the label.  Which features are left out: see ``label_pearson``.
     """
-    long = melt(df.where(c(y).isNotNull()), cols, [y]).where(c("value").isNotNull())
-    rx = average_ranks(long, ["feature"], "value", "_rx")
-    ry = average_ranks(long, ["feature"], y, "_ry")
-    ranked = long.join(rx, ["feature", "value"]).join(ry, ["feature", y])
-    return (
-        ranked.groupBy("feature")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.stddev_samp("value").alias("_sx"),
-            F.stddev_samp(y).alias("_sy"),
-            F.corr("value", y).alias("pearson"),
-            F.corr("_rx", "_ry").alias("spearman"),
-        )
-        .where((c("n") >= min_pairs) & (c("_sx") > 0) & (c("_sy") > 0))
-        .select("feature", "n", "pearson", "spearman", (F.abs("pearson") >= 0.9999).alias("near_perfect"))
-    )
+    long = melt(df.where(c(y).isNotNull()).select(c(y).cast("double").alias("_y"), *cols), cols, ["_y"]).where(c("value").isNotNull())
+    ranked = tie_ranks(tie_ranks(long, ["feature"], "value", "_rx").drop("value"), ["feature"], "_y", "_ry")
+    spearman = ranked.groupBy("feature").agg(F.corr("_rx", "_ry").alias("spearman"))
+    out = label_pearson(df, cols, y, min_pairs).join(spearman, "feature")
+    # one row per feature
+    place = F.row_number().over(Window.orderBy(F.round(F.abs("pearson"), 9).desc(), "feature"))
+    return out.select("feature", "n", "pearson", "spearman", (F.abs("pearson") >= 0.9999).alias("near_perfect"), place.alias("place")).orderBy("place")
 
 
 def corr_summary(corr: DataFrame) -> DataFrame:

@@ -7,10 +7,15 @@ shifted by the number of rows before it.  The shift table has one row per (parti
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.session import settle
 
@@ -76,6 +81,95 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def _differs(col: pa.Array) -> np.ndarray:
+    """Whether each element differs from the one before; nulls are equal, and so are NaNs."""
+    a, b = col.slice(1), col.slice(0, len(col) - 1)
+    same = pc.fill_null(pc.equal(a, b), False)
+    same = pc.or_(same, pc.and_(pc.is_null(a), pc.is_null(b)))
+    if pa.types.is_floating(col.type):
+        nan = lambda x: pc.fill_null(pc.is_nan(x), False)
+        same = pc.or_(same, pc.and_(nan(a), nan(b)))
+    return ~same.to_numpy(zero_copy_only=False)
+
+
+def _local_ties(group: Sequence[str], value: str):
+    """Pass over sorted rows: the place of each row's ties in its group and their number, inside the partition.
+
+    ``_tie_side``: bit 0 for the first ties of the partition, bit 1 for its last; those may go on in a neighbour.  Rows
+    of the newest ties are held until they end.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: pa.RecordBatch | None = None
+        base, opening = 0, True  # rows of the group before ``held``; whether no ties have ended so far
+
+        def out(rows: pa.RecordBatch, lo, n, side):
+            cols = [*rows.columns, pa.array(np.full(rows.num_rows, part, np.int32)), pa.array(lo), pa.array(n), pa.array(side.astype(np.int8))]
+            return pa.RecordBatch.from_arrays(cols, [*rows.schema.names, "_tie_part", "_tie_lo", "_tie_cnt", "_tie_side"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = b if held is None else pa.concat_batches([held, b])
+            new_group = np.ones(rows.num_rows, bool)
+            new_group[1:] = np.any([_differs(rows.column(g)) for g in group], axis=0) if group else False
+            new = new_group.copy()
+            new[1:] |= _differs(rows.column(value))
+            starts = np.flatnonzero(new)
+            heads = np.maximum.accumulate(np.where(new_group[starts], starts, 0))
+            first = np.where(heads == 0, base + starts, starts - heads)  # place in the group of each run of ties
+            done = int(starts[-1])
+            if done:
+                sizes = np.diff(starts)
+                side = np.zeros(len(sizes), np.int64)
+                side[0] = opening
+                opening = False
+                yield out(rows.slice(0, done), np.repeat(first[:-1], sizes), np.repeat(sizes, sizes), np.repeat(side, sizes))
+            held, base = rows.slice(done), int(first[-1])
+        if held is not None:
+            n = held.num_rows
+            yield out(held, np.full(n, base), np.full(n, n), np.full(n, 2 + opening))
+
+    return run
+
+
+FIXES = 100_000
+
+
+def tie_ranks(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the average rank of ``value`` inside its group in ``out``; ties share their mean rank.
+
+    Rows are range-partitioned by group, value and their own digest, so one value or group with a third of all rows
+    lies in many partitions.  Ranks are given inside the sorted partitions; ties that cross partitions are put
+    together from one row per partition end, and no row is joined by its value.  Null values rank first.
+    """
+    order = [*[F.col(g) for g in group], F.col(value)]
+    spread = F.xxhash64(*[F.col(f"`{n}`") for n in df.columns], F.monotonically_increasing_id())
+    ranged = df.withColumn("_tie_spread", spread).repartitionByRange(*order, F.col("_tie_spread")).drop("_tie_spread").sortWithinPartitions(*order)
+    added = [("_tie_part", T.IntegerType()), ("_tie_lo", T.LongType()), ("_tie_cnt", T.LongType()), ("_tie_side", T.ByteType())]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in added)])
+    placed = settle(ranged.mapInArrow(_local_ties(group, value), schema))
+    # Rows before each (partition, group), and the ranks of the ties at partition ends.
+    across = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    sizes = placed.groupBy("_tie_part", *group).agg(F.max(F.col("_tie_lo") + F.col("_tie_cnt")).alias("_tie_n"))
+    before = F.coalesce(F.sum("_tie_n").over(across.orderBy("_tie_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_tie_part", *group, before.alias("_tie_off"))
+    ends = placed.where("_tie_side > 0").groupBy("_tie_part", *group, "_tie_side").agg(F.first(value).alias("_tie_v"), F.first("_tie_lo").alias("_tie_lo"), F.first("_tie_cnt").alias("_tie_cnt"))
+    same = [F.col("_tie_part").eqNullSafe(F.col("_tie_p")), *[F.col(g).eqNullSafe(F.col(f"_tie_g{i}")) for i, g in enumerate(group)]]
+    named = sizes.select(F.col("_tie_part").alias("_tie_p"), *[F.col(g).alias(f"_tie_g{i}") for i, g in enumerate(group)], "_tie_off")
+    ends = ends.join(named, same).withColumn("_tie_at", F.col("_tie_off") + F.col("_tie_lo"))
+    ties = Window.partitionBy(*group, "_tie_v")
+    ends = ends.withColumn("_tie_rank", F.min("_tie_at").over(ties) + (F.sum("_tie_cnt").over(ties) + 1) / 2)
+    fixes = ends.groupBy("_tie_p", *[f"_tie_g{i}" for i in range(len(group))]).agg(*[F.max(F.when(F.col("_tie_side") == k, F.col("_tie_rank"))).alias(f"_tie_r{k}") for k in (1, 2, 3)])
+    on = [F.col("_tie_p").eqNullSafe(F.col("_tie_q")), *[F.col(f"_tie_g{i}").eqNullSafe(F.col(f"_tie_h{i}")) for i in range(len(group))]]
+    fixes = fixes.withColumnsRenamed({"_tie_p": "_tie_q", **{f"_tie_g{i}": f"_tie_h{i}" for i in range(len(group))}})
+    fixes = settle(named.join(fixes, on, "left").drop("_tie_q", *[f"_tie_h{i}" for i in range(len(group))]))
+    small = fixes.count() <= FIXES  # a row for each partition, and one more where a group begins
+    rank = F.coalesce(*[F.when(F.col("_tie_side") == k, F.col(f"_tie_r{k}")) for k in (1, 2, 3)], F.col("_tie_off") + F.col("_tie_lo") + (F.col("_tie_cnt") + 1) / 2)
+    return placed.join(F.broadcast(fixes) if small else fixes, same).select(*df.columns, rank.alias(out))
+
+
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """Distinct (group, value) with the average rank of its ties."""
     r = value_ranks(df, group, value)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.recurrence import linear_recurrences, smoothing
 from barloom.operators.windows import (
     Key,
     Steps,
@@ -125,26 +128,42 @@ def add_long_macd(df: DataFrame, key: Key = "entity", ts: Key = "date") -> DataF
     return apply_steps(df, long_macd_steps(key, ts))
 
 
-def _fold_ema(x: pd.Series, period: int) -> pd.Series:
-    return x.ewm(alpha=_alpha(period), adjust=False).mean()
-
-
 def add_macd_recursive(
     df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, key: str = "entity", ts: str = "date"
 ) -> DataFrame:
     """MACD whose averages and signal carry their state through the whole series.
 
-    A fold over ordered rows that no window frame expresses; one entity (one row per date) per group.
+    The averages are linear recurrences, so they are prefix scans of affine maps and need no fold; the entity may be of
+    any length.  A null close leaves the averages as they are.
     """
-    schema = ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", macd double, macd_ema_signal double, macd_ema_hist double"
+    out = linear_recurrences(
+        df,
+        {"_fast": smoothing(c("close"), fast), "_slow": smoothing(c("close"), slow)},
+        {"macd_ema_signal": smoothing(c("_fast") - c("_slow"), signal)},
+        key=key, ts=ts,
+    )
+    line = c("_fast") - c("_slow")
+    return out.select(*df.columns, line.alias("macd"), "macd_ema_signal", (line - c("macd_ema_signal")).alias("macd_ema_hist"))
+
+
+def apply_vector_indicator(
+    df: DataFrame, fold: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out_schema: str, key: str = "entity", ts: str = "date"
+) -> DataFrame:
+    """Run a user's indicator over the columns of each entity, as arrays in time order.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        line = _fold_ema(pdf["close"], fast) - _fold_ema(pdf["close"], slow)
-        sig = _fold_ema(line, signal)
-        return pdf.assign(macd=line, macd_ema_signal=sig, macd_ema_hist=line - sig)
+    ``fold`` gets one array per column and returns one per new column of ``out_schema``.  An entity is one group; a linear
+    recurrence goes over entities of any length (``linear_recurrences``).
+    """
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + out_schema
 
-    return df.groupBy(key).applyInPandas(fold, schema)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(ts)
+        made = fold({n: table.column(n).to_numpy() for n in table.column_names})
+        for n, values in made.items():
+            table = table.append_column(n, pa.array(values))
+        return table
+
+    return df.groupBy(key).applyInArrow(run, schema)
 
 
 def apply_indicator(df: DataFrame, indicator, out_schema: str, key: str = "entity", ts: str = "date") -> DataFrame:

@@ -82,9 +82,20 @@ def liquidity_rank(bars: DataFrame, eligible: DataFrame, since: Column, key: str
 
 
 def eligible_entities(
-    bars: DataFrame, dim: DataFrame, min_close: float = 2.0, key: str = "entity", ts: str = "date"
+    bars: DataFrame, dim: DataFrame, min_close: float = 2.0, key: str = "entity", ts: str = "date",
+    start: Column | None = None, end: Column | None = None, years: int | None = None,
 ) -> DataFrame:
-    """Names without the ST mark whose latest close reaches the floor."""
+    """Names without the ST mark whose latest close reaches the floor.
+
+    With ``start`` (and ``end``) they also need a bar in that range, with ``years`` a listing that many years before
+    ``start``.
+    """
+    if start is not None:
+        inside = bars.where(c(ts) >= start)
+        inside = inside if end is None else inside.where(c(ts) <= end)
+        dim = dim.join(inside.select(key).distinct(), key, "left_semi")
+        if years is not None:
+            dim = dim.where(c("list_date") <= F.add_months(start, -12 * years))
     last = latest_per(bars.select(key, ts, "close"), key, ts).where(c("close") >= min_close)
     return dim.where(~is_special_name(c("name"))).join(last.select(key), key, "left_semi")
 
@@ -100,9 +111,13 @@ def stratified_half(df: DataFrame, strata: Sequence[str], key: str = "entity", s
 def select_liquid(
     bars: DataFrame, dim: DataFrame, since: Column, pct: int = 30, floor: float | None = None,
     floor_since: Column | None = None, code: str = "code", seed: int = 42, key: str = "entity", ts: str = "date",
+    start: Column | None = None, end: Column | None = None, years: int | None = None,
 ) -> DataFrame:
-    """Union of the most traded entities, half of two code prefixes and all of three others, with no repeats."""
-    able = eligible_entities(bars, dim, key=key, ts=ts).select(key, code)
+    """Union of the most traded entities, half of two code prefixes and all of three others, with no repeats.
+
+    ``start``, ``end``, ``years``: what else makes an entity eligible, see ``eligible_entities``.
+    """
+    able = eligible_entities(bars, dim, key=key, ts=ts, start=start, end=end, years=years).select(key, code)
     liquid = liquidity_rank(bars, able, since, key, ts).where(c("pct_rank") <= pct).select(key)
     if floor is not None:
         heavy = (

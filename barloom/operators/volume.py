@@ -17,7 +17,12 @@ def _origin(value: Column, origin, ts: str) -> Column:
     return value if origin is None else F.when(c(ts) > F.lit(origin), value).otherwise(F.lit(0.0))
 
 
-def asi_steps(origin=None, key: Key = "entity", ts: str = "date") -> Steps:
+def _based(total: Column, base: str | None) -> Column:
+    """A running total carried on from the rows before those that were read."""
+    return total if base is None else F.coalesce(c(base), F.lit(0.0)) + total
+
+
+def asi_steps(origin=None, key: Key = "entity", ts: str = "date", base: str | None = None) -> Steps:
     pc, po = c("_close_1"), c("_open_1")
     a, b, d = F.abs(c("high") - pc), F.abs(c("low") - pc), F.abs(pc - po)
     span = F.abs(c("high") - c("low"))
@@ -30,7 +35,7 @@ def asi_steps(origin=None, key: Key = "entity", ts: str = "date") -> Steps:
     swing = (c("close") - pc) + (c("close") - c("open")) * 0.5 + (pc - po) * 0.25
     # The limit move is the same for every term of a row's sum, so it factors out.
     core = F.coalesce(ratio(swing * 50, c("_asi_r")) * F.greatest(a, b), F.lit(0.0))
-    total = F.sum(_origin(c("_asi_core"), origin, ts)).over(running(key, ts))
+    total = _based(F.sum(_origin(c("_asi_core"), origin, ts)).over(running(key, ts)), base)
     return [
         {"_close_1": lagged("close", 1, key, ts), "_open_1": lagged("open", 1, key, ts), "_acc_row": row_no(key, ts)},
         {"_asi_r": r},
@@ -44,15 +49,23 @@ def add_asi(df: DataFrame, origin=None, key: Key = "entity", ts: str = "date") -
     return apply_steps(df, asi_steps(origin, key, ts))
 
 
-def obv_steps(origin=None, key: Key = "entity", ts: str = "date") -> Steps:
+def obv_steps(origin=None, key: Key = "entity", ts: str = "date", base: str | None = None) -> Steps:
     signed = F.coalesce(F.signum(c("close") - c("_close_1")) * c("volume"), F.lit(0.0))
     return [
         {"_close_1": lagged("close", 1, key, ts), "_acc_row": row_no(key, ts)},
         {"_signed": signed},
-        {"obv": F.when(c("_acc_row") >= 2, F.sum(_origin(c("_signed"), origin, ts)).over(running(key, ts)))},
+        {"obv": F.when(c("_acc_row") >= 2, _based(F.sum(_origin(c("_signed"), origin, ts)).over(running(key, ts)), base))},
     ]
 
 
+def contributions(df: DataFrame, origin=None, key: Key = "entity", ts: str = "date") -> DataFrame:
+    """``df`` with what each row adds to the running totals of OBV (``_signed``) and ASI (``_asi_core``)."""
+    kept = df.columns
+    for obv, asi in zip([*obv_steps(origin, key, ts)[:2], {}], asi_steps(origin, key, ts)[:3], strict=True):
+        df = df.withColumns({**obv, **asi})
+    return df.select(*kept, *[_origin(c(n), origin, ts).alias(n) for n in ("_signed", "_asi_core")])
+
+
 def add_obv(df: DataFrame, origin=None, key: Key = "entity", ts: str = "date") -> DataFrame:
     """Volume accumulated with the sign of the close-to-close move, from ``origin`` on."""
     return apply_steps(df, obv_steps(origin, key, ts))

@@ -107,7 +107,7 @@ def backtest_metrics(trades: DataFrame, equity: DataFrame, p: BacktestParams = B
             F.coalesce(ratio(c("winners") * 100.0, c("trades")), F.lit(0.0)).alias("win_rate_pct"),
             F.coalesce(ratio(c("_won"), c("winners").cast("double")), F.lit(0.0)).alias("avg_win"),
             F.coalesce(ratio(c("_lost"), (c("trades") - c("winners")).cast("double")), F.lit(0.0)).alias("avg_loss"),
-            ratio(c("_won"), c("_lost")).alias("profit_factor"),
+            F.when(c("_lost") > 0, c("_won") / c("_lost")).when(c("_won") > 0, float("inf")).otherwise(0.0).alias("profit_factor"),
             ((growth - 1) * 100).alias("total_return_pct"),
             ((F.pow(growth, F.lit(250.0) / c("days")) - 1) * 100).alias("annual_return_pct"),
             F.coalesce(ratio(c("_mean") * (250.0**0.5), c("_sd")), F.lit(0.0)).alias("sharpe"),

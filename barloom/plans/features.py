@@ -16,8 +16,12 @@ c = F.col
 INDEX_CODES = ("csi300", "chinext", "xin9", "hsi", "usdcnh")
 
 
-def bar_steps(key: Key = "entity", ts: str = "date", origin=None, labels: bool = True) -> Steps:
-    """Every feature that needs bars only, as one set of stages (one Exchange, one Sort)."""
+def bar_steps(key: Key = "entity", ts: str = "date", origin=None, labels: bool = True, bases: tuple[str, str] | None = None) -> Steps:
+    """Every feature that needs bars only, as one set of stages (one Exchange, one Sort).
+
+    ``bases`` names columns with the totals of OBV and ASI before the rows at hand.
+    """
+    obv_base, asi_base = bases or (None, None)
     parts = [
         price.return_steps(key, ts),
         price.gap_steps(key, ts),
@@ -37,8 +41,8 @@ def bar_steps(key: Key = "entity", ts: str = "date", origin=None, labels: bool =
         volatility.volatility_steps(key=key, ts=ts),
         volatility.range_position_steps(key=key, ts=ts),
         volatility.vol_regime_steps(key=key, ts=ts),
-        volume.asi_steps(origin, key, ts),
-        volume.obv_steps(origin, key, ts),
+        volume.asi_steps(origin, key, ts, asi_base),
+        volume.obv_steps(origin, key, ts, obv_base),
         volume.volume_steps(key, ts),
         volume.vwap_steps(key=key, ts=ts),
         volume.cmf_steps(key=key, ts=ts),
@@ -73,15 +77,19 @@ def build_features(
     origin=None,
     key: str = "entity",
     ts: str = "date",
+    bases: tuple[str, str] | None = None,
+    peers: DataFrame | None = None,
 ) -> DataFrame:
     """All features and labels per (entity, date), from the 60th row of an entity on.
 
     Flow, valuation, industry and index columns are joined to the narrow bars first; the one shuffle by
     entity that serves every window comes last, so the wide rows are never shuffled.  Each context is
-    optional.
+    optional; bars that carry flow or valuation columns themselves need no such table.  ``min_date`` cuts the result;
+    a run that reads only what those rows need is :func:`barloom.plans.increment.features_since`.
+    ``peers``: the bars that industry statistics are taken from, where ``bars`` holds only some of the entities.
     """
     df = bars
-    steps = [bar_steps(key, ts, origin), [{"_row": row_no(key, ts)}]]
+    steps = [bar_steps(key, ts, origin, bases=bases), [{"_row": row_no(key, ts)}]]
     if index_bars is not None:
         df = df.withColumn("prev_date", lagged(ts, 1, key, ts))
         df = add_index_columns(df, index_bars, index_codes, bars.select(ts), ts)
@@ -89,25 +97,30 @@ def build_features(
             df = df.withColumn("industry_momentum", c(f"index_{momentum_index}_pct_chg"))
     if dim is not None:
         listed = dim.select(key, "industry", *[n for n in ("act_ent_type",) if n in dim.columns])
-        series = context.group_series(context_returns(bars, key, ts), dim, key=key, ts=ts)
+        peers = bars if peers is None else peers
+        series = context.group_series(context_returns(peers, key, ts), dim, key=key, ts=ts)
         # Every (industry, date) of the bars, without the joins made so far.
         asked = bars.select(key, ts).join(dim.select(key, "industry"), key).select("industry", ts)
         df = context.add_group_context(lookup(df, listed, [key]), series, ts=ts, asked=asked)
+        moves = price.add_momentum(peers.select(key, ts, "close"), (5,), key, ts).join(dim.select(key, "industry"), key)
+        df = lookup(df, context.group_edge(moves, "price_momentum_5", ts=ts), ["industry", ts])
         if "act_ent_type" in df.columns:
             df = df.withColumn("act_ent_type", F.coalesce("act_ent_type", F.lit("UNKNOWN")))
     if flows is not None:
         df = lookup(df, flows, [key, ts], ["net_mf_vol", "net_mf_amount"])
+    if flows is not None or {"net_mf_vol", "net_mf_amount"} <= set(bars.columns):
         steps.append(context.flow_steps(key, ts))
-    if valuation is not None:
-        cols = [n for n in context.VALUATION_COLUMNS if n in valuation.columns]
-        df = lookup(df, valuation, [key, ts], cols)
+    cols = [n for n in context.VALUATION_COLUMNS if n in (bars if valuation is None else valuation).columns]
+    if cols:
+        if valuation is not None:
+            df = lookup(df, valuation, [key, ts], cols)
         if "dv_ttm" in cols:
             df = df.withColumn("dv_ttm", F.coalesce("dv_ttm", F.lit(0.0)))
         if "pe_ttm" in cols:
             steps.append(context.position_positive_steps(key=key, ts=ts))
     staged = merge(*steps)
     staged.append({"ready": c("_row") >= min_rows})
-    out = apply_steps(df, staged).where("ready").drop("ready")
+    out = apply_steps(df, staged).where("ready").drop("ready", *(bases or ()))
     if min_date is not None:
         out = out.where(c(ts) >= min_date)
     out = out.withColumns({**row_columns(ts), "trend_strength": c("adx_14")})

@@ -8,6 +8,8 @@ Amounts are shown in units of ``unit``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def _within(as_of: Column, first: int, last: int = 0) -> Column:
     return c("date").between(F.date_sub(as_of, first), F.date_sub(as_of, last))
 
 
+def _on(df: DataFrame, as_of: Column | None) -> DataFrame:
+    """Rows of a date, or of the table's newest one."""
+    return latest_slice(df) if as_of is None else df.where(c("date") == as_of)
+
+
 def _top(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
@@ -69,9 +76,9 @@ def accelerating_inflow(flows: DataFrame, as_of: Column, limit: int = 20, unit:
     )
 
 
-def strong_day(flows: DataFrame, limit: int = 20, unit: float = 1e8, min_pct: float = 1.5) -> DataFrame:
+def strong_day(flows: DataFrame, limit: int = 20, unit: float = 1e8, min_pct: float = 1.5, as_of: Column | None = None) -> DataFrame:
     """Codes up with a net inflow on the newest date."""
-    rows = latest_slice(flows).where((c("pct_change") > min_pct) & (c("net_amount") > 0))
+    rows = _on(flows, as_of).where((c("pct_change") > min_pct) & (c("net_amount") > 0))
     best = _top(rows, limit, c("net_amount").desc(), c("pct_change").desc(), "code")
     return best.select(
         "code", "name", "lead_stock", "close_price", round_to("pct_change", 2).alias("pct_change"),
@@ -87,15 +94,15 @@ def consistent_inflow(flows: DataFrame, as_of: Column, limit: int = 20, unit: fl
     return best.select("code", "name", "pos_days", "days", round_to(c("_net") / unit, 2).alias("net_sum"))
 
 
-def industry_inflow(flows: DataFrame, limit: int = 20, unit: float = 1e8) -> DataFrame:
-    best = _top(latest_slice(flows), limit, c("net_amount").desc_nulls_last(), "code")
+def industry_inflow(flows: DataFrame, limit: int = 20, unit: float = 1e8, as_of: Column | None = None) -> DataFrame:
+    best = _top(_on(flows, as_of), limit, c("net_amount").desc_nulls_last(), "code")
     return best.select(
         "code", "name", *[round_to(c(n) / unit, 2).alias(n) for n in ("net_amount", "net_buy_amount", "net_sell_amount")]
     )
 
 
-def entity_inflow(flows: DataFrame, limit: int = 30, unit: float = 1e8, vol_unit: float = 1e6) -> DataFrame:
-    rows = latest_slice(flows).where(c("net_mf_amount").isNotNull())
+def entity_inflow(flows: DataFrame, limit: int = 30, unit: float = 1e8, vol_unit: float = 1e6, as_of: Column | None = None) -> DataFrame:
+    rows = _on(flows, as_of).where(c("net_mf_amount").isNotNull())
     return _top(rows, limit, c("net_mf_amount").desc(), "entity").select(
         "entity", round_to(c("net_mf_amount") / unit, 2).alias("net_amount"), round_to(c("net_mf_vol") / vol_unit, 2).alias("net_vol")
     )
@@ -152,9 +159,9 @@ def reversal_score() -> Column:
     return total
 
 
-def reversal_candidates(feats: DataFrame, limit: int = 50, min_score: float = 20.0) -> DataFrame:
+def reversal_candidates(feats: DataFrame, limit: int = 50, min_score: float = 20.0, as_of: Column | None = None) -> DataFrame:
     """Highest reversal scores of the newest date among rows not already up and not overbought."""
-    rows = latest_slice(feats).where(
+    rows = _on(feats, as_of).where(
         (F.coalesce("close_pct", F.lit(0.0)) < 8) & (F.coalesce("rsi_14", F.lit(50.0)) < 55)
     )
     scored = rows.withColumn("_score", reversal_score()).where(c("_score") >= min_score)
@@ -207,9 +214,9 @@ def sector_acceleration(sectors: DataFrame, as_of: Column, limit: int = 20, min_
     )
 
 
-def strong_leaders(sectors: DataFrame, limit: int = 20, min_leading: float = 3.0) -> DataFrame:
+def strong_leaders(sectors: DataFrame, limit: int = 20, min_leading: float = 3.0, as_of: Column | None = None) -> DataFrame:
     """Rising sectors of the newest date with a strong leading member."""
-    rows = latest_slice(sectors).where(
+    rows = _on(sectors, as_of).where(
         (c("leading_pct") > min_leading) & (c("pct_change") > 0) & (c("up_num") > c("down_num"))
     )
     share = ratio(c("up_num") * 100.0, (c("up_num") + c("down_num")).cast("double"))
@@ -219,18 +226,21 @@ def strong_leaders(sectors: DataFrame, limit: int = 20, min_leading: float = 3.0
     )
 
 
-def most_rising(sectors: DataFrame, limit: int = 20) -> DataFrame:
+def most_rising(sectors: DataFrame, limit: int = 20, as_of: Column | None = None) -> DataFrame:
     """Sectors of the newest date by share of rising members (the second vendor's form)."""
     share = ratio(c("up_num") * 100.0, (c("up_num") + c("down_num")).cast("double"))
-    rows = latest_slice(sectors).where((c("pct_change") > 0) & (c("up_num") > c("down_num")))
+    rows = _on(sectors, as_of).where((c("pct_change") > 0) & (c("up_num") > c("down_num")))
     return _top(rows, limit, c("up_num").desc(), c("pct_change").desc(), "code").select(
         "code", "name", round_to("pct_change", 2).alias("pct_change"), "up_num", "down_num", "limit_up_num",
         round_to(share, 1).alias("pct_up"), "turnover_rate", "vol_ratio",
     )
 
 
-def volume_breakout(sectors: DataFrame, as_of: Column, limit: int = 20, factor: float = 1.5, within: int = 30) -> DataFrame:
-    """Newest day's turnover against the mean of the 20 sector days before it."""
+def volume_breakout(
+    sectors: DataFrame, as_of: Column, limit: int = 20, factor: float = 1.5, within: int = 30, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Newest day's turnover against the mean of the 20 sector days before it; ``extra`` shows further columns (the second
+    vendor's ``vol_ratio``)."""
     mean = F.avg("turnover_rate").over(preceding(20, "code"))
     rows = latest_rows(_since(sectors, as_of, within).withColumn("_mean", mean), 1, "code").where(
         (c("pct_change") > 0) & (c("turnover_rate") > c("_mean") * factor)
@@ -238,7 +248,7 @@ def volume_breakout(sectors: DataFrame, as_of: Column, limit: int = 20, factor:
     times = ratio(c("turnover_rate"), c("_mean"))
     return _top(rows, limit, times.desc(), c("pct_change").desc(), "code").select(
         "code", "name", round_to("pct_change", 2).alias("pct_change"), round_to("turnover_rate", 2).alias("today_turnover"),
-        round_to("_mean", 2).alias("avg_turnover_20d"), round_to(times, 2).alias("turnover_vs_avg"),
+        round_to("_mean", 2).alias("avg_turnover_20d"), round_to(times, 2).alias("turnover_vs_avg"), *[round_to(n, 2).alias(n) for n in extra],
     )
 
 
@@ -285,10 +295,11 @@ def sector_composite(sectors: DataFrame, as_of: Column, weights: dict = WEIGHTS_
 
 
 def rising_constituents(
-    sectors: DataFrame, members: DataFrame, bars: DataFrame, top: int = 10, min_pct: float = 2.0, vol_unit: float = 1e6
+    sectors: DataFrame, members: DataFrame, bars: DataFrame, top: int = 10, min_pct: float = 2.0, vol_unit: float = 1e6,
+    as_of: Column | None = None,
 ) -> DataFrame:
     """Rising members of the strongest sectors, each member with its own newest bar."""
-    strong = latest_slice(sectors).where((c("pct_change") > min_pct) & (c("up_num") > c("down_num")))
+    strong = _on(sectors, as_of).where((c("pct_change") > min_pct) & (c("up_num") > c("down_num")))
     best = _top(strong, top, c("pct_change").desc(), "code").select("code")
     mine = members.join(best, "code", "left_semi")
     last = top_n(bars.join(mine.select("entity"), "entity", "left_semi"), "entity", [c("date").desc()], 1)

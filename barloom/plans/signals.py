@@ -80,6 +80,11 @@ def signal_summary(signals: DataFrame) -> DataFrame:
     )
 
 
+def top_picks(signals: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` best buys of a run by score."""
+    return stored_signals(signals.where(side(c("signal_type")) > 0), n)
+
+
 def signals_from_predictions(preds: DataFrame, min_confidence: float = 0.6, long_only: bool = False) -> DataFrame:
     df = preds.where(c("predicted_return").isNotNull() & (c("confidence") >= min_confidence))
     if long_only:

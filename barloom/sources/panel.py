@@ -37,17 +37,22 @@ def write_panel(df: DataFrame, path: str, mode: str = "overwrite", key: str = "e
     """Store a panel by year, each file sorted by (entity, date).
 
     Rows are range-partitioned on (year, entity, date) so files are even in size even when one entity or
-    year dominates, and row-group statistics prune both entity and date lookups.
+    year dominates, and row-group statistics prune both entity and date lookups.  ``overwrite`` replaces the whole
+    panel, years without new rows included; ``replace_years`` rewrites only the years it has rows of.
     """
-    (
-        df.withColumn("year", F.year(ts))
-        .repartitionByRange("year", key, ts)
-        .sortWithinPartitions("year", key, ts)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("year")
-        .parquet(path)
-    )
+    _by_year(df, key, ts).mode(mode).option("partitionOverwriteMode", "static").parquet(path)
+
+
+def replace_years(df: DataFrame, path: str, key: str = "entity", ts: str = "date") -> None:
+    """Rewrite the years that ``df`` has rows of and leave the files of all others alone.
+
+    ``df`` must not read from those years itself: store it first.
+    """
+    _by_year(df, key, ts).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def _by_year(df: DataFrame, key: str, ts: str):
+    return df.withColumn("year", F.year(ts)).repartitionByRange("year", key, ts).sortWithinPartitions("year", key, ts).write.partitionBy("year")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,11 @@ from barloom.sources.schemas import PAYLOAD
 NUMERIC_NAME = r"(vol|amount|pct|rate|num|mv|close|open|high|low|price|ratio|share)"
 
 
-def payload_items(df: DataFrame, col: str = "payload") -> DataFrame:
-    """(fields, item) per row of every successful payload; code != 0 or no items gives nothing."""
+def payload_items(df: DataFrame, col: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
+    """(fields, item) per row of every successful payload, with the columns in ``keep``; code != 0 or no items gives nothing."""
     p = F.from_json(F.col(col), PAYLOAD).alias("p")
-    return df.select(p).where((F.col("p.code") == 0) & (F.size("p.data.items") > 0)).select(
-        F.col("p.data.fields").alias("fields"), F.explode("p.data.items").alias("item")
+    return df.select(*keep, p).where((F.col("p.code") == 0) & (F.size("p.data.items") > 0)).select(
+        *keep, F.col("p.data.fields").alias("fields"), F.explode("p.data.items").alias("item")
     )
 
 
@@ -26,7 +27,11 @@ def parse_payload(df: DataFrame, schema: T.StructType | str, col: str = "payload
     """Pick fields by name from the positional items and cast them; what does not parse is null."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    rows = payload_items(df, col)
+    return parse_items(payload_items(df, col), schema, date_format)
+
+
+def parse_items(rows: DataFrame, schema: T.StructType, date_format: str = "yyyyMMdd", keep: Sequence[str] = ()) -> DataFrame:
+    """The same from items (fields, item)."""
 
     def field(f: T.StructField):
         # get() is zero-based and null-safe; a field the payload lacks has position 0 and gives null.
@@ -39,7 +44,7 @@ def parse_payload(df: DataFrame, schema: T.StructType | str, col: str = "payload
             value = text.try_cast(f.dataType)
         return value.alias(f.name)
 
-    return rows.select(*[field(f) for f in schema.fields])
+    return rows.select(*keep, *[field(f) for f in schema.fields])
 
 
 def field_kinds(df: DataFrame, col: str = "payload") -> DataFrame:

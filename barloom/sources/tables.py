@@ -7,10 +7,15 @@ as at most one row per (map task, date).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import clamp
+from barloom.operators.context import VALUATION_COLUMNS
+from barloom.operators.joins import latest_per
 from barloom.operators.price import add_momentum
 from barloom.operators.windows import lagged, ratio
 from barloom.session import settle
@@ -20,12 +25,21 @@ c = F.col
 # Index codes: the whole market, then each region.
 INDEX_OF_REGION = {0: "chinext", 1: "xin9", 2: "hsi", 3: "usdcnh", 4: "gold"}
 MARKET = "csi300"
+BAR_COLUMNS = ("open", "high", "low", "close", "volume", "amount")
+FLOW_COLUMNS = ("net_mf_vol", "net_mf_amount", "buy_amount", "sell_amount")
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 
 
-def with_gaps(df: DataFrame, days: int) -> DataFrame:
-    """``df`` without every ``days``-th day number, for queries whose point is a missing match."""
-    return df.where(day_number(c("date")) % days != 0)
+def _flow_sums() -> list[Column]:
+    """Lines not returned against returned ones."""
+    back = c("l_returnflag") == "R"
+    signed = lambda n: F.sum(F.when(back, -c(n)).otherwise(c(n)))
+    return [
+        signed("l_quantity").alias("net_mf_vol"),
+        signed("l_extendedprice").alias("net_mf_amount"),
+        F.sum(F.when(~back, c("l_extendedprice")).otherwise(0.0)).alias("buy_amount"),
+        F.sum(F.when(back, c("l_extendedprice")).otherwise(0.0)).alias("sell_amount"),
+    ]
 
 
 def day_number(date: Column) -> Column:
@@ -38,21 +52,50 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._bars: DataFrame | None = None
+        self._daily: DataFrame | None = None
+        self.first: date | None = None  # with a value, the views are whole from this date on ...
+        self.read_from: date | None = None  # ... and lines are read from this one
+        self.as_of: date | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def raw_lines(self, since: date | None = None, before: date | None = None) -> DataFrame:
+        """Lines between two dates; the bounds are literals of the column's own type, so they reach the Parquet scan."""
+        df = self.table("lineitem")
+        kind = df.schema["l_shipdate"].dataType
+        if since is not None:
+            df = df.where(c("l_shipdate") >= F.lit(since).cast(kind))
+        if before is not None:
+            df = df.where(c("l_shipdate") < F.lit(before).cast(kind))
+        return df
+
     def lines(self) -> DataFrame:
-        return self.table("lineitem").withColumns(
+        return self._priced(self.raw_lines(self.read_from))
+
+    def _priced(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(
             {"date": c("l_shipdate").cast("date"), "price": ratio(c("l_extendedprice"), c("l_quantity"))}
         )
 
+    def recent(self, days: int, warm: int = 60) -> Tables:
+        """The same views for dates from ``days`` before the newest one on.
+
+        Lines are read from ``warm`` days before that, so nearly every bar finds the one before it there; ``returns``
+        reads the earlier lines of the entities that have none, and of no others.
+        """
+        out = Tables(self.spark, self.path)
+        out.as_of = self.table("lineitem").agg(F.max(c("l_shipdate").cast("date"))).first()[0]
+        if out.as_of is not None:
+            out.first = out.as_of - timedelta(days=days)
+            out.read_from = out.first - timedelta(days=warm)
+        return out
+
     def newest_day(self) -> Column:
         """The newest date as a scalar subquery over the raw date column alone."""
         return self.table("lineitem").agg(F.max(c("l_shipdate").cast("date"))).scalar()
 
-    def _ohlc(self, df: DataFrame, *keys) -> DataFrame:
+    def _ohlc(self, df: DataFrame, *keys, more: Sequence[Column] = ()) -> DataFrame:
         at = F.struct(*_ORDER)
         return df.groupBy(*keys).agg(
             F.min_by("price", at).alias("open"),
@@ -61,6 +104,7 @@ class Tables:
             F.max_by("price", at).alias("close"),
             F.sum("l_quantity").alias("volume"),
             F.sum("l_extendedprice").alias("amount"),
+            *more,
         )
 
     def with_stored_bars(self) -> Tables:
@@ -68,13 +112,30 @@ class Tables:
 
         One row per (entity, date): a partition of entities is bounded by the calendar.
         """
+        return self.on(settle(self.daily().repartition("entity").sortWithinPartitions("entity", "date")))
+
+    def on(self, daily: DataFrame) -> Tables:
+        """The same views over given rows of ``daily``."""
         out = Tables(self.spark, self.path)
-        out._bars = settle(self.bars().repartition("entity").sortWithinPartitions("entity", "date"))
+        out._daily = daily
         return out
 
+    def daily(self) -> DataFrame:
+        """Bars, flows and what valuation is made of, per (entity, date), from one aggregate over the lines."""
+        if self._daily is not None:
+            return self._daily
+        return self._aggregated(self.lines())
+
+    def _aggregated(self, lines: DataFrame) -> DataFrame:
+        return self._ohlc(lines, c("l_suppkey").alias("entity"), "date", more=[*_flow_sums(), F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax")])
+
+    def panel_rows(self) -> DataFrame:
+        """Bars with the flow and valuation columns of the day."""
+        return self._valued(self.daily()).drop("disc", "tax", "buy_amount", "sell_amount")
+
     def bars(self) -> DataFrame:
-        if self._bars is not None:
-            return self._bars
+        if self._daily is not None:
+            return self._daily.select("entity", "date", *BAR_COLUMNS)
         return self._ohlc(self.lines(), c("l_suppkey").alias("entity"), "date")
 
     def places(self) -> DataFrame:
@@ -102,22 +163,27 @@ class Tables:
         )
 
     def dim(self) -> DataFrame:
-        """Entity dimension: text code, name (some with an ST mark), industry, market, first bar date."""
-        first = self.table("lineitem").groupBy(c("l_suppkey").alias("entity")).agg(
-            F.min(c("l_shipdate").cast("date")).alias("list_date")
-        )
+        """Entity dimension: text code, name (some with an ST mark), industry, market, first bar date, owner (some null)."""
+        if self._daily is not None:
+            first = self._daily.groupBy("entity").agg(F.min("date").alias("list_date"))
+        else:
+            first = self.table("lineitem").groupBy(c("l_suppkey").alias("entity")).agg(F.min(c("l_shipdate").cast("date")).alias("list_date"))
+        return self.members().join(first, "entity")
+
+    def members(self) -> DataFrame:
+        """The dimension of all suppliers, without the date of their first bar."""
         name = (
             F.when(c("entity") % 11 == 5, F.concat(F.lit("ST "), c("s_name")))
             .when(c("entity") % 13 == 7, F.concat(F.lit(" *st "), c("s_name")))
             .otherwise(c("s_name"))
         )
-        return self.places().join(first, "entity").select(
+        return self.places().select(
             "entity",
             F.reverse(F.lpad(c("entity").cast("string"), 12, "0")).alias("code"),
             name.alias("name"),
             c("n_name").alias("industry"),
             c("r_name").alias("market"),
-            "list_date",
+            F.when(c("entity") % 4 == 1, "state").when(c("entity") % 4 != 0, "private").alias("act_ent_type"),
         )
 
     def raw(self) -> DataFrame:
@@ -140,14 +206,53 @@ class Tables:
 
     def returns(self) -> DataFrame:
         """Bars with the close-to-close percent change, from the second bar on."""
+        rows = self.bars().withColumn("_prev", lagged("close"))
+        if self.first is not None:
+            rows = rows.where(c("date") >= F.lit(self.first))
+            alone = rows.where(c("_prev").isNull()).select("entity").distinct()
+            if not alone.isEmpty():
+                older = self._priced(self.raw_lines(before=self.read_from)).select(c("l_suppkey").alias("entity"), "*").join(alone, "entity", "left_semi")
+                older = older.groupBy("entity").agg(F.max_by("price", F.struct("date", *_ORDER)).alias("_older"))
+                rows = rows.join(older, "entity", "left").withColumn("_prev", F.coalesce("_prev", "_older")).drop("_older")
         return (
-            self.bars()
-            .withColumn("_prev", lagged("close"))
-            .where(c("_prev").isNotNull())
+            rows.where(c("_prev").isNotNull())
             .withColumn("pct_chg", (ratio(c("close"), c("_prev")) - 1) * 100)
             .drop("_prev")
         )
 
+    def newest_returns(self, days: int = 60) -> DataFrame:
+        """The newest row of ``returns`` of each entity; only entities without one in the last ``days`` are read further."""
+        near = latest_per(self.recent(days).returns())
+        rest = self.places().select("entity").join(near, "entity", "left_anti")
+        if rest.isEmpty():
+            return near
+        return near.unionByName(latest_per(self.returns().join(rest, "entity", "left_semi")))
+
+    def newest_features(self, rows: int = 320, near: int = 150, far: int = 1826) -> tuple[DataFrame, Tables] | None:
+        """What the features of the newest date need: ``panel_rows`` of the entities that have a bar then, with ``rows`` bars
+        each as far as there are, and the views over the last ``near`` days of all entities.
+
+        The entities' older lines are read ``far`` days back, and beyond that for those with too few bars.  None if
+        an entity's bar before the newest lies so far back that the near days can't give its context.
+        """
+        t = self.recent(near, warm=0)
+        t._daily = daily = settle(t.daily())
+        alive = settle(daily.where(c("date") == F.lit(t.as_of)).select("entity"))
+        known = F.lit(t.first + timedelta(days=40))
+        if not alive.join(daily.where((c("date") >= known) & (c("date") < F.lit(t.as_of))), "entity", "left_anti").isEmpty():
+            return None
+
+        def older(since: date | None, before: date, entities: DataFrame) -> DataFrame:
+            wanted = self._priced(self.raw_lines(since, before)).join(entities.withColumnRenamed("entity", "l_suppkey"), "l_suppkey", "left_semi")
+            return self._aggregated(wanted)
+
+        begin = t.as_of - timedelta(days=far)
+        held = settle(daily.join(alive, "entity", "left_semi").unionByName(older(begin, t.read_from, alive)))
+        short = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(c("n") < rows).select("entity")
+        if not short.isEmpty():
+            held = held.unionByName(older(None, begin, short))
+        return self.on(held.repartition("entity")).panel_rows(), t
+
     def index_bars(self) -> DataFrame:
         """Daily mean close of the market and of each region."""
         by_region = F.lit(None).cast("string")
@@ -165,37 +270,33 @@ class Tables:
 
     def flows(self) -> DataFrame:
         """Net flow per (entity, date): lines not returned against returned ones."""
-        back = c("l_returnflag") == "R"
-        signed = lambda n: F.sum(F.when(back, -c(n)).otherwise(c(n)))
-        return (
-            self.lines()
-            .groupBy(c("l_suppkey").alias("entity"), "date")
-            .agg(
-                signed("l_quantity").alias("net_mf_vol"),
-                signed("l_extendedprice").alias("net_mf_amount"),
-                F.sum(F.when(~back, c("l_extendedprice")).otherwise(0.0)).alias("buy_amount"),
-                F.sum(F.when(back, c("l_extendedprice")).otherwise(0.0)).alias("sell_amount"),
-            )
-        )
+        if self._daily is not None:
+            return self._daily.select("entity", "date", *FLOW_COLUMNS)
+        return self.lines().groupBy(c("l_suppkey").alias("entity"), "date").agg(*_flow_sums())
 
     def valuation(self) -> DataFrame:
         """Valuation per (entity, date), negative earnings for indebted suppliers."""
-        at = F.struct(*_ORDER)
+        if self._daily is not None:
+            return self._valued(self._daily).select("entity", "date", *VALUATION_COLUMNS)
         daily = (
             self.lines()
             .groupBy(c("l_suppkey").alias("entity"), "date")
             .agg(
-                F.max_by("price", at).alias("close"),
-                F.sum("l_quantity").alias("vol"),
+                F.max_by("price", F.struct(*_ORDER)).alias("close"),
+                F.sum("l_quantity").alias("volume"),
                 F.avg("l_discount").alias("disc"),
                 F.avg("l_tax").alias("tax"),
             )
         )
+        return self._valued(daily).select("entity", "date", *VALUATION_COLUMNS)
+
+    def _valued(self, daily: DataFrame) -> DataFrame:
+        """``daily`` with the valuation columns of each row."""
         sign = F.when(c("s_acctbal") < 0, -1.0).otherwise(1.0)
         pe = c("close") / (c("disc") + 1) * sign / 1000
         x = daily.join(self.table("supplier").select(c("s_suppkey").alias("entity"), "s_acctbal"), "entity")
-        return x.select(
-            "entity", "date",
+        return x.withColumn("vol", c("volume")).select(
+            *daily.columns,
             (c("vol") / 10).alias("turnover_rate"), (c("vol") / 8).alias("turnover_rate_f"),
             (pe * 1.1).alias("pe"), pe.alias("pe_ttm"), (c("close") / 3000).alias("pb"),
             (c("close") / 2500).alias("ps"), (c("close") / 2600).alias("ps_ttm"), c("tax").alias("dv_ratio"),

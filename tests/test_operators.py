@@ -56,6 +56,22 @@ def test_average_ranks_match_pandas(skewed):
     assert got == pytest.approx(dict(zip(s, s.rank(method="average"))))
 
 
+def test_tie_ranks_match_pandas(spark):
+    """A third of the rows on one value, a hot group, nulls and NaN, ties longer than a partition."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    rows = [(["hot", "cold", None][int(k)], [0.5, float("nan"), None, float(v)][min(int(m), 3)], i) for i, (k, v, m) in enumerate(zip(rng.choice(3, 6000, p=[0.8, 0.15, 0.05]), rng.integers(0, 900, 6000), rng.choice(4, 6000, p=[0.35, 0.02, 0.03, 0.6])))]
+    df = spark.createDataFrame(rows, "g string, x double, i int").repartition(9)
+    for group in (["g"], []):
+        got = {r["i"]: r["k"] for r in ranking.tie_ranks(df, group, "x", "k").collect()}
+        pdf = pd.DataFrame(rows, columns=["g", "x", "i"])
+        order = pd.Series([-1.0 if x is None else 1e9 if x != x else x for _, x, _ in rows])
+        want = order.groupby(pdf["g"].fillna("-")).rank(method="average") if group else order.rank(method="average")
+        assert got == dict(zip(pdf["i"], want))
+    assert ranking.tie_ranks(df.limit(0), ["g"], "x", "k").count() == 0
+
+
 def test_ntile_matches_definition(spark):
     for n in (5, 100, 257):
         df = spark.range(1, n + 1).select(ranking.ntile_from_rank(F.col("id"), F.lit(n), 10).alias("a"), F.expr("ntile(10) over (order by id)").alias("b"))
