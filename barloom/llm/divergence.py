@@ -1,7 +1,7 @@
 """Audit of sources by how their terms diverge, over terms found by iceberg prefix refinement.
 
 A term is kept where at least ``DOCUMENTS`` documents of its language hold it.  Prefixes of terms are extended level by
-level (4, 8, 16, ... bytes): at each level the distinct documents of every prefix are counted, prefixes below the
+level (4, 12, 36, ... bytes): at each level the distinct documents of every prefix are counted, prefixes below the
 threshold are discarded with all their terms, and only terms of the others go on to the next level.  A term that ends
 within its level's prefix is complete there and is kept or dropped by its own count.  A document is counted for a prefix
 once, in the task that reads it, so the counts of tasks add up and only prefixes are shuffled.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import attach, discard, release, stored
 
 DOCUMENTS, TOP, SCALE, SMOOTH = 3, 200, 1_000_000_000, 1
-FIRST = 4  # bytes of the first level's prefixes
+FIRST, GROWTH = 4, 3  # bytes of the first level's prefixes, and how they grow from level to level
 BLOCK, CELLS = 4096, 1 << 20  # terms of a block; cells of a matrix that is held at a time
 _TABLE = bytes(32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if c <= 90 else c for c in range(256))
 _OPEN = b"\0"  # ends the prefix of a term that goes on; no term holds it
@@ -53,10 +53,14 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), terms, counts], ["lang", "source", "terms", "counts"])
 
 
-def _summed(rows: pa.Table, by: list[str], values: str) -> pa.RecordBatch | None:
-    """One batch with the sums of ``values`` by keys."""
-    out = rows.group_by(by, use_threads=False).aggregate([(values, "sum")]).rename_columns([*by, values])
-    return out.combine_chunks().to_batches()[0] if out.num_rows else None
+def _summed(rows: pa.Table, by: list[str], values: str) -> pa.Table:
+    """The sums of ``values`` by keys."""
+    return rows.group_by(by, use_threads=False).aggregate([(values, "sum")]).rename_columns([*by, values])
+
+
+def _named(rows: pa.Table, langs: pa.Array) -> pa.RecordBatch:
+    """One batch, with languages in place of their numbers."""
+    return rows.set_column(0, "lang", langs.take(rows.column(0).combine_chunks())).combine_chunks().to_batches()[0]
 
 
 def _prefixes(length: int, before: int):
@@ -81,9 +85,10 @@ def _prefixes(length: int, before: int):
             first = np.ones(len(flat), bool)
             first[1:] = pc.or_(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)), pc.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1))).to_numpy(zero_copy_only=False)
             first = pa.array(first)
-            table = pa.table({"lang": b.column(0).take(doc.filter(first)), "key": key.filter(first)})
+            lang = b.column(0).dictionary_encode()
+            table = pa.table({"lang": lang.indices.take(doc.filter(first)), "key": key.filter(first)})
             table = table.append_column("n", pa.array(np.ones(table.num_rows, np.int64)))
-            yield _summed(table, ["lang", "key"], "n")
+            yield _named(_summed(table, ["lang", "key"], "n"), lang.dictionary)
 
     return run
 
@@ -103,7 +108,7 @@ def kept_terms(documents: DataFrame, least: int = DOCUMENTS, first: int = FIRST)
         alive = counted.filter(goes_on).select("lang", F.expr(f"substring(key, 1, {length})").alias("parent"))
         if alive.isEmpty():
             return out
-        before, length = length, 2 * length
+        before, length = length, GROWTH * length
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +118,11 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = pc.list_parent_indices(b.column(2))
         if not len(doc):
             continue
-        table = pa.table({"lang": b.column(0).take(doc), "term": b.column(2).flatten(), "source": b.column(1).take(doc), "n": b.column(3).flatten()})
+        lang = b.column(0).dictionary_encode()
+        table = pa.table({"lang": lang.indices.take(doc), "term": b.column(2).flatten(), "source": b.column(1).take(doc), "n": b.column(3).flatten()})
         rows = _summed(table, ["lang", "term", "source"], "n")
-        rows = pa.table(rows).group_by(["lang", "term"], use_threads=False).aggregate([("source", "list"), ("n", "list")])
-        yield rows.rename_columns(["lang", "term", "sources", "counts"]).combine_chunks().to_batches()[0]
+        rows = rows.group_by(["lang", "term"], use_threads=False).aggregate([("source", "list"), ("n", "list")])
+        yield _named(rows.rename_columns(["lang", "term", "sources", "counts"]), lang.dictionary)
 
 
 def weights(counts: np.ndarray, totals: np.ndarray, v: int) -> np.ndarray:
