@@ -69,13 +69,13 @@ def _least_of(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(h: np.ndarray, ends: np.ndarray, least: int = LEAST, core: int = CORE) -> tuple[np.ndarray, ...]:
-    """Segments of texts laid end to end: first word, end word, hash of the anchor, hash of the segment.
+    """Segments of texts laid end to end: first word, end word, place and hash of the anchor, hash of the segment.
 
     ``h``: word hashes, ``ends``: where each text ends; at most 2^24 words in all.
     """
     none = np.zeros(0, np.int64)
     if len(h) < least:
-        return none, none, none, none
+        return none, none, none, none, none
     at = np.arange(len(h) - core + 1)
     cores = range_hashes(h, at, at + core, _FACTORS[0])
     key = cores & ~_PLACE | (_PLACE - at.astype(np.uint64))
@@ -84,11 +84,11 @@ def segments(h: np.ndarray, ends: np.ndarray, least: int = LEAST, core: int = CO
     inside = starts + least <= ends[np.searchsorted(ends, starts, "right")]
     starts, anchor = starts[inside], anchor[inside]
     if not len(starts):
-        return none, none, none, none
+        return none, none, none, none, none
     fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = starts[fresh]
     end = np.concatenate([starts[:-1][fresh[1:]], starts[-1:]]) + least
-    return first, end, cores[anchor[fresh]].view(np.int64), range_hashes(h, first, end, _FACTORS[1]).view(np.int64)
+    return first, end, anchor[fresh], cores[anchor[fresh]].view(np.int64), range_hashes(h, first, end, _FACTORS[1]).view(np.int64)
 
 
 def _pieces(texts: list[bytes | None], least: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes], list[int]]]:
@@ -112,21 +112,23 @@ def _pieces(texts: list[bytes | None], least: int) -> Iterator[tuple[list[tuple[
         yield held, words, ends
 
 
-def _found(least: int, core: int):
+def found_segments(least: int, core: int):
+    """Rows of the columns before the text, which is the last one, with each segment: pos, words, at (its anchor's place), core, seg."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            for held, words, ends in _pieces(b.column(1).to_pylist(), least):
+            for held, words, ends in _pieces(b.column(b.num_columns - 1).to_pylist(), least):
                 h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
                 ends = np.array(ends)
-                first, end, anchors, segs = segments(h, ends, least, core)
+                first, end, anchor, cores, segs = segments(h, ends, least, core)
                 piece = np.searchsorted(ends, first, "right")
                 begin = np.concatenate([[0], ends[:-1]])[piece]
                 rows, lo = np.array(held)[piece].reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows)), pa.array((first - begin + lo).astype(np.int32)),
-                     pa.array((end - first).astype(np.int32)), pa.array(anchors), pa.array(segs)],
-                    ["_doc", "pos", "words", "core", "seg"],
+                    [*(c.take(pa.array(rows)) for c in b.columns[:-1]), pa.array((first - begin + lo).astype(np.int32)),
+                     pa.array((end - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), pa.array(cores), pa.array(segs)],
+                    [*b.schema.names[:-1], "pos", "words", "at", "core", "seg"],
                 )
 
     return run
@@ -227,7 +229,7 @@ def _parsed(least: int):
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, core: int = CORE) -> DataFrame:
     """(_doc, a, z): words [a, z) of a text are covered by windows that start elsewhere too.  ``docs``: _doc, _text."""
-    found = stored(docs.mapInArrow(_found(least, core), "_doc long, pos int, words int, core long, seg long"))
+    found = stored(docs.mapInArrow(found_segments(least, core), "_doc long, pos int, words int, at int, core long, seg long").drop("at"))
     cores = found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), (F.min("seg") == F.max("seg")).alias("alike"))
     cores = stored(cores.filter("n > 1"))
     rows = stored(sized_join(found, cores, ["core"]).drop("n"))

@@ -1,145 +1,173 @@
 """Repeated passages by a sparse suffix array.
 
 Of all word suffixes of the corpus, only those are retained that begin at a minimiser: the position whose hash of
-``CORE`` words is the smallest among ``LEAST - CORE + 1`` consecutive ones.  Two documents that share ``LEAST``
-words share a minimiser inside them.  Suffixes whose core occurs in one document alone cannot match and are left
-out before any text is moved.  The others are sorted as texts, neighbours are compared word by word, and the match
-is extended to the right; the same cores, sorted by the words before them read backwards, give the extension to
-the left.  A row of the sorted order is compared with the nearest rows of other documents on both sides, where its
-longest matches are, so the work follows the number of suffixes and not the pairs of a group of copies.
-
-The extensions to the left and to the right may come from different documents.  Inside the places found, each window
-of ``LEAST`` words is therefore looked up by its own hashes: another document must hold all of it, and the first one
-that does keeps it.
+``CORE`` words is the smallest in a window of ``LEAST`` words.  Two documents that share a window share the minimiser
+inside it, at the same place.  A suffix is kept with as much text as its windows reach to both sides, and suffixes whose
+core occurs in one document alone cannot match and are left out before any text is moved.
+
+Suffixes with one core are a stretch of the sorted order.  Where all of them have the same text around the core, every
+window of it is shared.  Otherwise they are sorted by their text, neighbours are compared word by word, and for each
+length to the right the suffixes that share it are a run of the order; inside a run the match is extended to the left.
+So the documents that hold a window are known, and the first of them keeps it.  The suffixes of a very common core
+(the edges of a passage in most documents) are no stretch for one task: they are cut into their windows, which meet by
+hash.
 """
 
 from __future__ import annotations
 
-import pickle
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import attach, stored
+from barloom.llm.common import discard, release, sized_join, stored
+from barloom.llm.substring_dedup import found_segments
 
-LEAST, CORE = 50, 25
-_FACTOR = 0x9E3779B97F4A7C15
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
+LEAST, CORE, SUFFIXES = 50, 25, 256
 
 
-def core_hashes(words: list[bytes], core: int = CORE) -> np.ndarray:
-    """Hash of each run of ``core`` words, by prefix sums of a polynomial modulo 2^64."""
-    n = len(words)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    steps = np.full(n, _FACTOR, np.uint64)
-    back = np.full(n, _INVERSE, np.uint64)
-    steps[0] = back[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(steps))])
-    out = (sums[core:] - sums[:-core]) * np.cumprod(back)[: n - core + 1]
-    out ^= out >> np.uint64(31)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
+def shared_windows(block: list[tuple], least: int = LEAST) -> list[list[tuple[int, int]]]:
+    """For each suffix of a core: (words before the core, holder) of its windows that another document holds too.
 
-
-def minimisers(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest of each ``window`` consecutive hashes, the last one among equals."""
-    if len(h) < window:
-        return np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
-    return np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
-
-
-def _retained(least: int, core: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, at, hashes = [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                words = text.split() if text else []
-                if len(words) >= least:
-                    h = core_hashes(words, core)
-                    found = minimisers(h, least - core + 1)
-                    rows.append(np.full(len(found), i))
-                    at.append(found)
-                    hashes.append(h[found])
-            take = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int32)),
-                 pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64))],
-                ["_id", "_doc", "pos", "core"],
-            )
-
-    return run
-
-
-def _short(word: bytes) -> bytes:
-    """A word as it enters a suffix: a very long one by its digest."""
-    return word if len(word) <= 64 else b"#" + xxhash.xxh3_128_hexdigest(word).encode()
-
-
-def _contexts(least: int, core: int):
-    """The suffix at each place, and the words before it read backwards: ``least - core`` words beyond the core."""
-    reach = least - core
+    ``block``: (first holder, smallest and largest document, words before the core from the nearest on, words from the
+    core on) of different suffixes; a holder is a comparable key that ends in its document.
+    """
+    order = sorted(range(len(block)), key=lambda i: block[i][4])
+    common = [0] * len(order)  # words shared with the suffix before
+    for n in range(1, len(order)):
+        a, b = block[order[n - 1]][4], block[order[n]][4]
+        k, most = 0, min(len(a), len(b))
+        while k < most and a[k] == b[k]:
+            k += 1
+        common[n] = k
+    out: list[list[tuple[int, int]]] = [[] for _ in block]
+
+    def close(run: list[int], before: int) -> None:
+        alike = defaultdict(list)
+        for i in run:
+            left = block[i][3]
+            if len(left) >= before:
+                alike[tuple(left[:before])].append(i)
+        for held in alike.values():
+            if min(block[i][1] for i in held) != max(block[i][2] for i in held):
+                holder = min(block[i][0] for i in held)[-1]
+                for i in held:
+                    out[i].append((before, holder))
+
+    for before in range(max(len(b[3]) for b in block) + 1):
+        behind, run = least - before, []
+        for n, i in enumerate(order):
+            if len(block[i][4]) < behind:
+                close(run, before)
+                run = []
+                continue
+            if run and common[n] < behind:
+                close(run, before)
+                run = []
+            run.append(i)
+        close(run, before)
+    return out
+
+
+_KNOWN = ["core", "seg", "null", "name", "holder", "low", "high"]
+
+
+def _texts(least: int):
+    """The text of each wanted suffix, or of each of its windows the hash."""
+    names = [*_KNOWN, "at", "text", "h1", "h2"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[], [], [], [], []]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        release()
+        out: list[tuple] = []
+        fields: pa.StructType | None = None
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_doc", "pos", "core", "right", "left"])
+        def flush():
+            kinds = [*(fields.field(n).type for n in _KNOWN), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            for doc, text, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = [_short(w) for w in text.split()]
-                for p in places:
-                    at = p["pos"]
-                    cols[0].append(doc)
-                    cols[1].append(at)
-                    cols[2].append(p["core"])
-                    cols[3].append(b" ".join(words[at : at + core + reach]))
-                    cols[4].append(b" ".join(words[max(0, at - reach) : at][::-1]))
-                if len(cols[0]) > 20_000:
-                    yield out()
-                    cols = [[], [], [], [], []]
-        yield out()
+            fields = b.column(1).type.value_type
+            for text, wanted in zip(*(b.column(c).to_pylist() for c in ("_text", "_wanted")), strict=True):
+                words = text.split()
+                for s in wanted:
+                    lo, hi = s["pos"], s["pos"] + s["words"]
+                    head = tuple(s[n] for n in _KNOWN)
+                    if s["hot"]:  # windows by their place in the segment
+                        for p in range(lo, hi - least + 1):
+                            h = xxhash.xxh3_128_intdigest(b" ".join(words[p : p + least]))
+                            out.append((*head, p - lo, None, signed(h >> 64), signed(h & (1 << 64) - 1)))
+                    else:
+                        out.append((*head, s["at"], b" ".join(words[lo:hi]), None, None))
+                    if len(out) > 20_000:
+                        yield flush()
+        if out:
+            yield flush()
 
     return run
 
 
-def _windows(least: int, core: int):
-    """Each window of ``least`` words inside the spans of a text, with the hashes of its first and last ``core`` words."""
+def _compared(least: int):
+    """Pass over suffixes sorted by core: (core, seg, first, end, holder) of runs of shared windows, by their place in the segment."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        block: dict[int, tuple] = {}
+        key, out = None, []
+
+        def close():
+            if not block:
+                return
+            for (seg, at), found in zip(((s, v[5]) for s, v in block.items()), shared_windows(list(block.values()), least), strict=True):
+                for before, holder in sorted(found, reverse=True):  # from the first window on
+                    place = at - before
+                    if out and out[-1][:2] == (key, seg) and out[-1][3] == place and out[-1][4] == holder:
+                        out[-1] = (*out[-1][:3], place + 1, holder)
+                    else:
+                        out.append((key, seg, place, place + 1, holder))
+
+        def flush():
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["core", "seg", "a", "z", "holder"])
+
         for b in batches:
-            for row, (text, spans) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                h = core_hashes(text.split(), core).view(np.int64)
-                at = np.unique(np.concatenate([np.arange(s["a"], s["b"] - least + 1) for s in spans]))
-                for lo in range(0, len(at), 50_000):
-                    part = at[lo : lo + 50_000]
-                    take = pa.array(np.full(len(part), row))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(take), b.column(1).take(take), pa.array(part.astype(np.int32)), pa.array(h[part]), pa.array(h[part + least - core])],
-                        ["_id", "_doc", "pos", "h1", "h2"],
-                    )
+            for core, seg, null, name, doc, low, high, at, text in zip(*(b.column(c).to_pylist() for c in (*_KNOWN, "at", "text")), strict=True):
+                if core != key:
+                    close()
+                    block, key = {}, core
+                    if len(out) > 20_000:
+                        yield flush()
+                words = text.split(b" ")
+                block[seg] = ((null, 0 if name is None else name, doc), low, high, words[:at][::-1], words[at:], at)
+        close()
+        yield flush()
 
     return run
 
 
 def runs(held: np.ndarray, foreign: np.ndarray, least: int) -> list[tuple[int, int, bool]]:
-    """(first word, end word, kept) of the maximal runs of equal flag: words of windows, where a window in ``foreign``
-    (subset of ``held``, places of windows) is kept by another document and all of its words with it."""
-    size = int(held.max()) + least + 1 if len(held) else 0
+    """(first word, end word, kept) of the maximal runs of equal flag.
+
+    ``held``: (first, end) places of shared windows; ``foreign``: those of them that another document keeps, with all
+    of their words.
+    """
+    size = int(held[:, 1].max()) + least if len(held) else 0
 
     def cover(at):
         steps = np.zeros(size + 1, np.int64)
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + least, -1)
+        np.add.at(steps, at[:, 0], 1)
+        np.add.at(steps, at[:, 1] - 1 + least, -1)
         return np.cumsum(steps)[:size] > 0
 
-    flags = cover(held).astype(np.int8) + cover(foreign)
+    flags = np.append(cover(held).astype(np.int8) + cover(foreign), np.int8(0))
     edges = np.flatnonzero(np.diff(flags, prepend=np.int8(0)))
     return [(int(a), int(b), bool(flags[a] == 1)) for a, b in zip(edges[:-1], edges[1:], strict=True) if flags[a]]
 
@@ -149,7 +177,7 @@ def _runs(least: int):
         for b in batches:
             rows, cols = [], ([], [], [])
             for row, places in enumerate(b.column(1).to_pylist()):
-                at = np.array([p["pos"] for p in places], np.int64)
+                at = np.array([(p["a"], p["z"]) for p in places], np.int64)
                 foreign = at[~np.array([p["k"] for p in places], bool)]
                 for r in runs(at, foreign, least):
                     rows.append(row)
@@ -161,144 +189,57 @@ def _runs(least: int):
     return run
 
 
-def shared_words(a: bytes, b: bytes) -> int:
-    """Words that two texts of words have in common at their beginning."""
-    if a == b:
-        return a.count(b" ") + 1 if a else 0
-    n = 0
-    for x, y in zip(a.split(b" "), b.split(b" "), strict=False):
-        if x != y or not x:
-            break
-        n += 1
-    return n
-
-
-FAR = 1 << 20  # more than any number of shared words
-
-
-def _common(a: tuple, b: tuple) -> int:
-    """Shared words of two rows (core, text); -1 where their cores differ."""
-    return shared_words(a[1], b[1]) if a[0] == b[0] else -1
-
-
-def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass over sorted rows (_doc, pos, core, text): words shared with the nearest rows of other documents.
-
-    ``side`` 0: known; 1: still to be limited by what comes before the partition; 2: by what comes behind it;
-    3: one row that tells the partition's ends.  Only the rows of one document at an end are held at a time.
-    """
-    part = TaskContext.get().partitionId()
-    out: list[tuple] = []
-    first = last = None  # (doc, core, text)
-    run: list[tuple[int, int]] = []  # (pos, words shared with the row before) of the newest run of one document
-    above, whole, head_gap, single = None, FAR, None, True
-
-    def flush():
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_doc", "pos", "words", "side", "part", "edge"])
-        out.clear()
-        return done
-
-    def close(shared: int, side: int) -> None:
-        """Give the newest run what it shares with the row behind it."""
-        for pos, gap in reversed(run):
-            out.append((last[0], pos, shared, side, part, None))
-            shared = min(shared, gap)
-        run.clear()
-
-    for b in batches:
-        for doc, pos, core, text in zip(*(b.column(c).to_pylist() for c in ("_doc", "pos", "core", "text")), strict=True):
-            row = (doc, core, text)
-            gap = FAR if last is None else _common(last[1:], row[1:])
-            whole = min(whole, gap)
-            if last is None:
-                first = row
-            elif last[0] != doc:
-                close(gap, 0)
-                if single:
-                    head_gap, single = whole, False
-                above = gap
-            elif above is not None:
-                above = min(above, gap)
-            out.append((doc, pos, whole, 1, part, None) if single else (doc, pos, above, 0, part, None))
-            run.append((pos, gap))
-            last = row
-        if len(out) > 20_000:
-            yield flush()
-    if last is not None:
-        close(FAR, 2)
-        ends = {"first": first, "last": last, "whole": whole, "head": head_gap, "tail": above, "single": single}
-        out.append((None, None, None, 3, part, pickle.dumps(ends)))
-        yield flush()
-
-
-def _limits(ends: list[dict]) -> list[tuple[int, int]]:
-    """For each partition in order: words shared across its beginning and across its end with another document."""
-
-    def one_way(ends, first, last, gap):
-        found, tail, second = [], None, -1  # second: words that the last row shares with the nearest other document
-        for e in ends:
-            across = -1 if tail is None else _common(tail[1:], e[first][1:])
-            same = tail is not None and tail[0] == e[first][0]
-            lead = min(across, second) if same else across
-            found.append(lead)
-            second = min(lead, e["whole"]) if e["single"] else e[gap]
-            tail = e[last]
-        return found
-
-    before = one_way(ends, "first", "last", "tail")
-    behind = one_way(ends[::-1], "last", "first", "head")[::-1]
-    return list(zip(before, behind, strict=True))
-
-
-def _extensions(rows: DataFrame) -> DataFrame:
-    """(_doc, pos, words) from rows (_doc, pos, core, text), sorted and compared."""
-    order = ["core", "text", "_doc", "pos"]
-    passed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    passed = stored(passed.mapInArrow(_neighbours, "_doc long, pos int, words int, side int, part int, edge binary"))
-    # one row of bounded size for each partition
-    ends = sorted(((r["part"], pickle.loads(r["edge"])) for r in passed.filter("side = 3").select("part", "edge").collect()), key=lambda x: x[0])
-    limits = [(p, a, b) for (p, _), (a, b) in zip(ends, _limits([e for _, e in ends]), strict=True)]
-    limits = F.broadcast(rows.sparkSession.createDataFrame(limits, "part int, before int, behind int"))
-    passed = passed.filter("side < 3").join(limits, "part")
-    words = F.when(F.col("side") == 1, F.least("words", "before")).when(F.col("side") == 2, F.least("words", "behind")).otherwise(F.col("words"))
-    return passed.select("_doc", "pos", words.alias("words"))
-
-
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, core: int = CORE) -> DataFrame:
     """Passages of ``least`` or more words that another document holds too: identifier, first_word, end_word, n_words, kept.
 
     Words are what stands between ASCII white space, compared as bytes.  A word counts when it lies in ``least`` words
     that one other document holds as well.  ``kept`` is false for words of such a window whose first holder (by
     identifier, null last) is another document, and true for the others; a row is a maximal run of words of equal
-    ``kept``, so the rows of a chain of passages adjoin and may be shorter than ``least``.  Null texts have no words; rows with equal identifier and text are one document; documents
-    without such a passage have no row.
+    ``kept``, so the rows of a chain of passages adjoin and may be shorter than ``least``.  Null texts have no words; rows
+    with equal identifier and text are one document, and repeats inside one document don't count; documents without such
+    a passage have no row.  Other columns are ignored.
     """
+    if not 0 < core < least:
+        raise ValueError("a core is shorter than a window")
     text = F.col(text_col).cast("string")
     doc = F.xxhash64(F.to_json(F.struct(F.col(id_col).alias("i"))), text)
     docs = df.select(F.col(id_col).alias("_id"), doc.alias("_doc"), text.cast("binary").alias("_text"))
     kind = df.schema[id_col].dataType.simpleString()
-    found = stored(docs.mapInArrow(_retained(least, core), f"_id {kind}, _doc long, pos int, core long"))
-    first = F.struct(F.col("_id").isNull().alias("z"), "_id", "_doc")
-    shared = found.groupBy("core").agg(F.min("_doc").alias("a"), F.max("_doc").alias("b"), F.min(first)["_doc"].alias("_first"))
-    shared = stored(shared.filter("a != b").select("core", "_first"))  # apart from the join, so that Spark can split hot cores there
-    places = stored(found.join(shared, "core"))
-    lists = stored(places.groupBy("_doc").agg(F.collect_set(F.struct("pos", "core")).alias("_places")))
-    texts = attach(docs.select("_doc", "_text"), lists, ["_doc"], "inner", elements=200_000, size="_places").select("_doc", "_text", "_places")
-    suffixes = stored(texts.mapInArrow(_contexts(least, core), "_doc long, pos int, core long, right binary, left binary"))
-    # the suffix holds its core, so its own text sorts it
-    right = _extensions(suffixes.select("_doc", "pos", F.lit(0).cast("long").alias("core"), F.col("right").alias("text")))
-    left = _extensions(suffixes.select("_doc", "pos", "core", F.col("left").alias("text")))
-    both = right.select("_doc", "pos", (F.col("words") - core).alias("r"), F.lit(-1).alias("l")).unionByName(left.select("_doc", "pos", F.lit(-1).alias("r"), F.col("words").alias("l")))
-    both = both.groupBy("_doc", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l")).filter(f"r >= 0 and l >= 0 and l + r + {core} >= {least}")
-    spans = both.select("_doc", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + core + F.col("r")).alias("b"))
-    lists = stored(spans.groupBy("_doc").agg(F.collect_set(F.struct("a", "b")).alias("_spans")))
-    texts = attach(docs, lists, ["_doc"], "inner", elements=200_000, size="_spans").select("_id", "_doc", "_text", "_spans")
-    windows = stored(texts.mapInArrow(_windows(least, core), f"_id {kind}, _doc long, pos int, h1 long, h2 long"))
-    held = windows.groupBy("h1", "h2").agg(F.min("_doc").alias("a"), F.max("_doc").alias("b"), F.min(first)["_doc"].alias("_first"))
-    held = stored(held.filter("a != b").select("h1", "h2", "_first"))
-    windows = windows.join(held, ["h1", "h2"]).select("_id", "_doc", F.struct("pos", (F.col("_first") == F.col("_doc")).alias("k")).alias("w"))
-    found = windows.groupBy("_doc").agg(F.first("_id").alias("_id"), F.collect_list("w").alias("_windows")).select("_id", "_windows")
-    found = found.mapInArrow(_runs(least), f"_id {kind}, first_word int, end_word int, kept boolean")
-    return found.select(F.col("_id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "kept")
+    found = stored(docs.mapInArrow(found_segments(least, core), f"_id {kind}, _doc long, pos int, words int, at int, core long, seg long"))
+    cores = found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), (F.min("_doc") != F.max("_doc")).alias("shared"), (F.min("seg") == F.max("seg")).alias("alike"))
+    cores = stored(cores.filter("shared").drop("shared"))
+    rows = stored(sized_join(found, cores, ["core"]).drop("n"))
+    discard(found, cores)
+    first = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("name"), F.col("_doc").alias("holder"))
+    segs = rows.groupBy("core", "seg").agg(
+        F.count(F.lit(1)).alias("n"), F.first("alike").alias("alike"), F.min(first).alias("f"), F.min("_doc").alias("low"), F.max("_doc").alias("high"),
+        F.min(F.struct("_doc", "pos", "words", "at")).alias("place"),
+    )
+    segs = stored(segs.select("core", "seg", "n", "alike", "f.*", "low", "high", "place"))
+    window = lambda a, z: [a.alias("a"), z.alias("z"), "holder"]
+    # one text around the core in all documents: every window is shared; places count from the segment's first word
+    verdicts = segs.filter("alike").select("core", "seg", *window(F.lit(0), F.lit(None).cast("int")))
+    mixed = segs.filter("not alike")
+    sizes = stored(mixed.groupBy("core").agg(F.count(F.lit(1)).alias("variants")))
+    wanted = sized_join(mixed.select(*_KNOWN, "place.*"), sizes, ["core"], "variants")
+    wanted = wanted.select("_doc", F.struct(*_KNOWN, "pos", "words", "at", (F.col("variants") > SUFFIXES).alias("hot")).alias("w"))
+    lists = wanted.groupBy("_doc").agg(F.collect_list("w").alias("_wanted"))
+    texts = docs.select("_doc", "_text").join(lists, "_doc").select("_text", "_wanted")
+    texts = stored(texts.mapInArrow(_texts(least), f"core long, seg long, null boolean, name {kind}, holder long, low long, high long, at int, text binary, h1 long, h2 long"))
+    cold = texts.filter("text is not null").repartition("core").sortWithinPartitions("core").mapInArrow(_compared(least), "core long, seg long, a int, z int, holder long")
+    hot = stored(texts.filter("text is null").drop("text").distinct())  # a document whose row repeats is one document
+    held = hot.groupBy("h1", "h2").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.struct("null", "name", "holder"))["holder"].alias("first"), (F.min("low") != F.max("high")).alias("shared")
+    )
+    hot = sized_join(hot.select("core", "seg", "at", "h1", "h2"), stored(held.filter("shared")), ["h1", "h2"], "rows")
+    hot = hot.select("core", "seg", *window(F.col("at"), F.col("at") + 1)[:2], F.col("first").alias("holder"))
+    verdicts = stored(verdicts.unionByName(cold).unionByName(hot))
+    runs_of = verdicts.groupBy("core", "seg").agg(F.collect_list(F.struct("a", "z", "holder")).alias("v"))  # windows of one segment
+    runs_of = stored(runs_of.join(segs.select("core", "seg", "n"), ["core", "seg"]))
+    marked = sized_join(rows.select("_id", "_doc", "pos", "words", "core", "seg"), runs_of, ["core", "seg"])
+    marked = marked.select("_id", "_doc", "pos", "words", F.explode("v").alias("v"))
+    begin, end = F.col("pos") + F.col("v.a"), F.col("pos") + F.coalesce("v.z", F.col("words") - (least - 1))
+    marked = marked.select("_id", "_doc", F.struct(begin.alias("a"), end.alias("z"), (F.col("v.holder") == F.col("_doc")).alias("k")).alias("w"))
+    passages = marked.groupBy("_doc").agg(F.first("_id").alias("_id"), F.collect_set("w").alias("_windows")).select("_id", "_windows")
+    passages = passages.mapInArrow(_runs(least), f"_id {kind}, first_word int, end_word int, kept boolean")
+    return passages.select(F.col("_id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "kept")
