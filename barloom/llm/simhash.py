@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import free_name, release, stored
+from barloom.llm.common import discard, free_name, release, stored
 
 SEED, WORDS, RADIUS, BUCKET = 42, 3, 3, 512
 
@@ -156,25 +156,33 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(vertex, root) of every vertex of ``edges`` (u, v); equal roots: one component.
+    """(vertex, root) of every vertex of ``edges`` (u, v); the root is the smallest vertex of its component.
 
-    Each round every vertex moves to its smallest neighbour and the edges are contracted, until none is left.
+    Each round ranks the vertices anew by a hash, every vertex moves to the first-ranked of itself and its neighbours, and
+    the edges are contracted, until none is left.  About half of the vertices of a chain stay, so the rounds grow with
+    the logarithm of the longest path, whatever order its vertices have.
     """
-    edges, roots = stored(edges.filter("u != v").select("u", "v")), None
+    edges, roots, turn = stored(edges.filter("u != v").select("u", "v")), None, 0
     while not edges.isEmpty():
+        rank = lambda x: F.struct(F.xxhash64(x, F.lit(turn)).alias("h"), F.col(x).alias("x"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = stored(both.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("m")).select("vertex", F.least("vertex", "m").alias("root")))
+        first = both.groupBy(F.col("u").alias("vertex")).agg(F.min(rank("v")).alias("m"))
+        to = stored(first.select("vertex", F.least(rank("vertex"), "m")["x"].alias("root")))
+        a, b = to.select(F.col("vertex").alias("u"), F.col("root").alias("a")), to.select(F.col("vertex").alias("v"), F.col("root").alias("b"))
+        moved = edges.join(a, "u").join(b, "v").filter("a != b")
+        moved = stored(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
         if roots is None:
-            roots = to
+            new = to
         else:
             step = to.select(F.col("vertex").alias("root"), F.col("root").alias("_next"))
-            roots = roots.join(step, "root", "left").select("vertex", F.coalesce("_next", "root").alias("root"))
-        a, b = to.select(F.col("vertex").alias("u"), F.col("root").alias("a")), to.select(F.col("vertex").alias("v"), F.col("root").alias("b"))
-        moved = edges.join(a, "u").join(b, "v").filter("a != b")
-        edges = stored(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+            new = stored(roots.join(step, "root", "left").select("vertex", F.coalesce("_next", "root").alias("root")))
+            discard(roots, to)
+        discard(edges)
+        edges, roots, turn = moved, new, turn + 1
     if roots is None:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
-    return roots
+    least = roots.groupBy("root").agg(F.min("vertex").alias("_least"))
+    return roots.join(least, "root").select("vertex", F.col("_least").alias("root"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
