@@ -113,6 +113,17 @@ def test_links_of_oversized_buckets(spark):
     assert {s: want[s] for s in signed if sizes[want[s]] > 1} == got
 
 
+def test_rounds_of_a_long_chain(spark, monkeypatch):
+    """A chain in ascending order, which is the worst case where vertices move to their smallest neighbour."""
+    calls = []
+    monkeypatch.setattr(simhash, "stored", lambda df, f=simhash.stored: calls.append(1) or f(df))
+    n = 10_000
+    edges = spark.range(n - 1).selectExpr("id as u", "id + 1 as v").unionByName(spark.createDataFrame([(-7, -5), (-6, -5), (3, 3)], "u long, v long"))
+    got = {r["vertex"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(n)}, -7: -7, -6: -7, -5: -7}
+    assert len(calls) <= 3 * 20
+
+
 def test_masks_cover_the_radius():
     rng = np.random.default_rng(1)
     for radius in range(7):
@@ -200,6 +211,28 @@ def test_repeated_passages_in_many_documents(spark):
     assert [r["doc_id"] for r in found if r["kept"] and r["doc_id"] < 1000] == [1]
 
 
-def test_repeated_passages_odd_rows(odd, none):
+def test_repeated_passages_of_common_cores(spark, monkeypatch):
+    """Edited copies and passages that begin anywhere, with all but the rarest cores cut into windows."""
+    rng = np.random.default_rng(9)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 30, n)]
+    base, rows = [new(300) for _ in range(4)], []
+    for i in range(80):
+        lo = int(rng.integers(0, 220))
+        part = base[i % 4][lo : lo + int(rng.integers(40, 130))]
+        part = [x if rng.random() > 0.02 else "edited" for x in part] if i % 3 == 0 else part
+        rows.append((i, " ".join(new(int(rng.integers(0, 30))) + part + new(int(rng.integers(0, 30))))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(suffix_dedup.repeated_passages(df).collect())
+    assert covered(want) == passages(dict(rows), 50)
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES", 3)
+    assert sorted(suffix_dedup.repeated_passages(df).collect()) == want
+
+
+def test_repeated_passages_odd_rows(spark, odd, none):
     assert covered(suffix_dedup.repeated_passages(odd).collect()) == {}
     assert suffix_dedup.repeated_passages(none).count() == 0
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, passage), (3, f"x {passage}"), (3, f"x {passage}"), (4, passage), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' as _doc", "'q' as core", "'q' as kept")
+    got = {(r["doc_id"], r["first_word"], r["end_word"], r["kept"]) for r in suffix_dedup.repeated_passages(df).collect()}
+    assert got == {(3, 1, 61, True), (4, 0, 60, False), (None, 0, 60, False)}
