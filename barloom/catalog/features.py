@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import BY, DAYNO, REGISTRY, full, over, query
 from barloom.operators import adjust, context, momentum, pattern, price, trend, volatility, volume
 from barloom.operators.recurrence import linear_recurrences
+from barloom.session import ensure_checkpoint_dir
+from barloom.sources import panel
 from barloom.sources.tables import day_number
 
 c = F.col
 W = over()
+KEYS = ["entity", "date"]
 
 
 def nz(a: str, b: str) -> str:
@@ -58,6 +63,17 @@ def _(t):
     return adjust.needs_adjust(raw, raw.agg(F.max("date")).scalar(), days=400)
 
 
+@query("readjusted", "entity:i date:d close:f2 volume", "ADJ-03 UPS-08", "raw",
+       f"""SELECT a.entity, a.date, a.close + CASE WHEN n.entity IS NULL THEN 1 ELSE 0 END AS close, a.volume FROM ({_adjusted("1 PRECEDING")}) a LEFT JOIN (
+ {REGISTRY["needs_adjust"].body}) n ON n.entity = a.entity""")
+def _(t):
+    """A stored panel whose closes are all off by one: entities with a recent break are computed anew, the others stay."""
+    raw, path = t.raw(), f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/adjusted-{uuid.uuid4().hex}"
+    panel.write_bucketed(adjust.back_adjust(raw).select(*KEYS, "open", "high", "low", "close", "volume", "adj_factor").withColumn("close", c("close") + 1), path)
+    adjust.readjust_stored(raw, path, raw.agg(F.max("date")).scalar(), days=400)
+    return t.spark.read.parquet(path)
+
+
 @query("testing_rows", "entity:i date:d open:f2 high:f2 low:f2 close:f2 volume:f2 amount:f4 adj_factor:f4", "ADJ-04", "bars",
        f"""SELECT b.entity, b.date, CAST(round(open, 2) AS DECIMAL(10,2)) AS open, CAST(round(high, 2) AS DECIMAL(10,2)) AS high,
  CAST(round(low, 2) AS DECIMAL(10,2)) AS low, CAST(round(close, 2) AS DECIMAL(10,2)) AS close, CAST(volume AS DECIMAL(20,2)) AS volume,

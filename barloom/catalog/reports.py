@@ -118,6 +118,35 @@ def _(t):
     return feature_rows(t)
 
 
+# The second composition: variant query -> (column of it, name in the composition, neutral constant).
+_VARIANTS: dict[str, list[tuple[str, str, float]]] = {
+    "ema_relative": [("ema_5", "ema_5", 0), ("ema_20", "ema_20", 0)],
+    "sma_relative": [("sma_5", "sma_5", 0), ("sma_20", "sma_20", 0)],
+    "macd_relative": [("macd_line", "macd_line", 0), ("macd_signal", "macd_signal", 0), ("macd_histogram", "macd_histogram", 0)],
+    "bollinger_relative": [("bb_upper", "bb_upper", 0), ("bb_lower", "bb_lower", 0), ("bb_bandwidth", "bb_bandwidth", 0)],
+    "atr_relative": [("atr_pct", "atr_pct", 0)],
+    "year_range_partial": [("price_position_52w", "price_position_52w", 0.5)],
+    "adx_plain": [("adx_14", "adx_14", 25)],
+    "aroon_oldest": [("aroon_up_25", "aroon_up_25", 0), ("aroon_down_25", "aroon_down_25", 0)],
+    "volume_vs_mean": [("volume_roc_mean", "volume_roc_mean", 0)],
+    "rsi": [("rsi_14", "rsi_14", 50)],
+    "kdj": [("kdj_k", "kdj_k", 50), ("kdj_d", "kdj_d", 50), ("kdj_j", "kdj_j", 50)],
+    "williams_r": [("williams_r_14", "williams_r_14", -50)],
+    "momentum": [("price_momentum_20", "price_momentum_20", 0), ("price_roc_5", "price_roc_5", 0)],
+}
+
+
+def _variant_sql() -> str:
+    joins = [f"JOIN ({REGISTRY[n].body.replace('rbars', 'bars').replace('ubars', 'bars')}) {n} ON {n}.entity = b.entity AND {n}.date = b.date" for n in _VARIANTS]
+    picks = [f"coalesce({n}.{x}, {neutral}) AS {name}" for n, cols in _VARIANTS.items() for x, name, neutral in cols]
+    return f"SELECT b.entity, b.date, {', '.join(picks)}, 0 AS asi, 0 AS net_mf_amount FROM (SELECT *, row_number() {W} AS rn FROM bars) b {' '.join(joins)} WHERE b.rn >= 60"
+
+
+@query("feature_table_on_the_fly", "entity:i date:d " + " ".join(name for cols in _VARIANTS.values() for _, name, _ in cols) + " asi net_mf_amount", "FP-02 F-50", "bars", _variant_sql())
+def _(t):
+    return ft.features_on_the_fly(t.bars())
+
+
 @query("feature_table_increment", FEATURE_OUT, "FP-01 INC-03", FEATURE_VIEWS,
        f"SELECT * FROM ({_feature_sql()}) WHERE date >= (SELECT date_trunc('year', max(date)) FROM lines)")
 def _(t):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import round_to
 from barloom.operators.windows import Key, Steps, apply_steps, before, lagged, ordered, ratio
+from barloom.session import settle
+from barloom.sources.panel import BUCKETS, bucket_of, read_buckets, write_bucketed
 
 EPS = 1e-4
 
@@ -64,6 +66,23 @@ def readjust(raw: DataFrame, adjusted: DataFrame, as_of: Column, days: int = 7,
     return adjusted.join(stale, key, "left_anti").unionByName(fresh)
 
 
+def readjust_stored(
+    raw: DataFrame, path: str, as_of: Column, days: int = 7, buckets: int = BUCKETS, key: str = "entity", ts: str = "date"
+) -> list[int]:
+    """Bring a stored adjusted panel (``write_bucketed``) up to date after breaks; returns the buckets that were rewritten.
+
+    Only the buckets of entities that broke are read and rewritten; the files of all other entities stay as they are.
+    """
+    stale = settle(needs_adjust(raw, as_of, days, key))
+    touched = sorted(r["b"] for r in stale.select(bucket_of(key, buckets).alias("b")).distinct().collect())  # at most ``buckets``
+    if touched:
+        stored = read_buckets(raw.sparkSession, path, touched)
+        fresh = back_adjust(raw.join(stale, key, "left_semi"), key=key, ts=ts).select(*stored.columns)
+        merged = settle(stored.join(stale, key, "left_anti").unionByName(fresh))
+        write_bucketed(merged, path, buckets, key, ts, replace=True)
+    return touched
+
+
 def testing_rows(bars: DataFrame, factor: DataFrame, keys=("entity", "date")) -> DataFrame:
     """Raw bars as decimals with the vendor's factor, 1.0 where the vendor has none."""
     price, big, small = "decimal(10,2)", "decimal(20,4)", "decimal(10,4)"

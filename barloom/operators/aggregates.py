@@ -79,7 +79,7 @@ def topk_stats(
 
     Zero counts as positive.  Ranks come from a range partitioning, not from a single-task window.
     """
-    rows = df.where(c(pred).isNotNull() & c(target).isNotNull())
+    rows = df.where(c(pred).isNotNull() & c(target).isNotNull()).select(pred, target, *[t for t in ties if t not in (pred, target)])
     ranked = global_row_number(rows, [F.abs(c(pred)).desc(), *[c(t) for t in ties]], "rn")
     n = rows.agg(F.count(F.lit(1))).scalar()
     hit = ((c(pred) >= 0) == (c(target) >= 0)).cast("int")

@@ -256,12 +256,17 @@ def top_entities(df: DataFrame, n: int, min_rows: int, key: str = "entity") -> D
 
 
 def permute_column(df: DataFrame, col: str, keys: Sequence[str] = ("entity", "date"), seed: int = 42) -> DataFrame:
-    """Shuffle one column over the whole table: the i-th row by key gets the value of the i-th row by digest."""
-    natural = global_row_number(df.drop(col), [c(k) for k in keys], "_i")
+    """Shuffle one column over the whole table: the i-th row by key gets the value of the i-th row by digest.
+
+    Only keys and the column are ordered and stored; the other columns are joined to them by key (keys are unique).
+    """
+    natural = global_row_number(df.select(*keys), [c(k) for k in keys], "_i")
     mixed = global_row_number(
         df.select(*keys, col).withColumn("_u", shuffled_order(*keys, seed=seed)), [c("_u"), *[c(k) for k in keys]], "_i"
     )
-    return natural.join(mixed.select("_i", col), "_i").drop("_i").select(*df.columns)
+    out = natural.join(mixed.select("_i", col), "_i").drop("_i")
+    rest = [n for n in df.columns if n not in (*keys, col)]
+    return (out.join(df.select(*keys, *rest), list(keys)) if rest else out).select(*df.columns)
 
 
 def page(df: DataFrame, order: str | Sequence[str], offset: int, limit: int) -> DataFrame:

@@ -144,3 +144,52 @@ def add_index_columns(df: DataFrame, index_bars: DataFrame, codes: Sequence[str]
     wide = context.pivot_series(solved, codes, cols, ts="_at")
     named = [c(f"{k}_{v}").alias(f"{'fx' if k == 'usdcnh' else 'index'}_{k}_{v}") for k in codes for v in cols]
     return df.join(wide.select(c("_at").alias("prev_date"), *named), "prev_date", "left").drop("prev_date")
+
+
+# What a feature reads where its history is missing; all others read 0.
+NEUTRAL = {"rsi_14": 50.0, "kdj_k": 50.0, "kdj_d": 50.0, "kdj_j": 50.0, "volume_ratio": 1.0, "williams_r_14": -50.0, "adx_14": 25.0, "price_position_52w": 0.5}
+PLACEHOLDERS = ("asi", "net_mf_vol", "net_mf_amount", "smart_money_ratio", "large_order_flow", "industry_avg_return", "stock_vs_industry", "industry_momentum_5d")
+
+
+def variant_steps(key: Key = "entity", ts: str = "date") -> Steps:
+    """The second composition's forms: averages and MACD seeded with the oldest close and relative to the close, partial
+    52-week ranges, ADX without the dominance test, Aroon with the oldest of ties, volume against its mean."""
+    return merge(
+        price.return_steps(key, ts),
+        price.gap_steps(key, ts),
+        price.momentum_steps(key=key, ts=ts),
+        price.lag_return_steps(key=key, ts=ts),
+        trend.ema_steps(seed="first", relative=True, key=key, ts=ts),
+        trend.sma_steps(relative=True, key=key, ts=ts),
+        trend.macd_steps(12, 26, signal=0.9, seed="first", relative=True, key=key, ts=ts),
+        trend.adx_steps(dominance=False, key=key, ts=ts),
+        trend.aroon_steps(ties="oldest", key=key, ts=ts),
+        momentum.rsi_steps(key=key, ts=ts),
+        momentum.kdj_steps(key=key, ts=ts),
+        momentum.williams_steps(key=key, ts=ts),
+        volatility.bollinger_steps(relative=True, key=key, ts=ts),
+        volatility.atr_steps(relative=True, key=key, ts=ts),
+        volatility.volatility_steps(key=key, ts=ts),
+        volatility.range_position_steps(partial=True, key=key, ts=ts),
+        volume.volume_steps(key, ts),
+        volume.volume_vs_mean_steps(key=key, ts=ts),
+        volume.vwap_steps(key=key, ts=ts),
+        volume.cmf_steps(key=key, ts=ts),
+        pattern.streak_steps(key=key, ts=ts),
+    )
+
+
+def features_on_the_fly(bars: DataFrame, min_rows: int = 60, key: str = "entity", ts: str = "date") -> DataFrame:
+    """Features from bars alone, in the forms of ``variant_steps``, from the 60th row of an entity on.
+
+    Nothing is null: a feature without enough history, or without spread to measure, reads its neutral constant
+    (``NEUTRAL``, else 0), and features that need other tables are 0.  One Exchange and one Sort serve all windows.
+    """
+    steps = merge(variant_steps(key, ts), [{"_row": row_no(key, ts)}])
+    steps.append({"ready": c("_row") >= min_rows})
+    out = apply_steps(bars, steps).where("ready").drop("ready").withColumns(row_columns(ts))
+    made = [n for n in out.columns if n not in bars.columns]
+    kinds = dict(out.dtypes)
+    numbers = {n: F.coalesce(c(n), F.lit(NEUTRAL.get(n, 0.0)).cast(kinds[n])) for n in made if kinds[n] not in ("boolean", "string")}
+    flags = {n: F.coalesce(c(n), F.lit(False)) for n in made if kinds[n] == "boolean"}
+    return out.withColumns({**numbers, **flags, **{n: F.lit(0.0) for n in PLACEHOLDERS}})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +33,29 @@ Model = Callable[[np.ndarray], np.ndarray]
 def score_sequences(df: DataFrame, model: Model, outputs: Sequence[str] = ("pred_1day",), limit: float = 15.0, col: str = "seq") -> DataFrame:
     """Run a user's model over (batch, length, features) arrays; one column per model output.
 
-    The model travels with the task closure and sees one Arrow batch at a time.  Non-finite outputs become 0
+    The model travels with the task closure and sees one Arrow batch at a time, without copies or Python rows.  Non-finite outputs become 0
     and all are clamped to ±15.
     """
     ids = [n for n in df.columns if n != col]
     kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{n} {kinds[n]}" for n in ids), *(f"{o} double" for o in outputs)])
+    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in ids), *(f"`{o}` double" for o in outputs)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
                 continue
-            x = np.array([[list(step) for step in seq] for seq in pdf[col]], dtype="float64")
-            y = np.asarray(model(x), dtype="float64").reshape(len(pdf), len(outputs))
+            steps = b.column(len(ids)).flatten()
+            flat = steps.flatten()
+            if len(steps) % n or len(flat) % max(len(steps), 1):
+                raise ValueError("sequences differ in length or width")
+            # the values lie in one buffer, sequence after sequence
+            x = flat.to_numpy(zero_copy_only=False).reshape(n, len(steps) // n, -1)
+            y = np.asarray(model(x), dtype="float64").reshape(n, len(outputs))
             y = np.clip(np.where(np.isfinite(y), y, 0.0), -limit, limit)
-            yield pd.concat([pdf[ids].reset_index(drop=True), pd.DataFrame(y, columns=list(outputs))], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(ids)], *(pa.array(v) for v in y.T)], [*ids, *outputs])
 
-    return df.mapInPandas(run, schema)
+    return df.select(*ids, col).mapInArrow(run, schema)
 
 
 def fit_base(df: DataFrame, features: Sequence[str], target: str, rounds: int = 20, depth: int = 4, seed: int = 42, fit_until=None, ts: str = "date"):

@@ -55,6 +55,25 @@ def _by_year(df: DataFrame, key: str, ts: str):
     return df.withColumn("year", F.year(ts)).repartitionByRange("year", key, ts).sortWithinPartitions("year", key, ts).write.partitionBy("year")
 
 
+BUCKETS = 16
+
+
+def bucket_of(key: str = "entity", buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int = BUCKETS, key: str = "entity", ts: str = "date", replace: bool = False) -> None:
+    """Store a panel by year and bucket of entities; ``replace`` rewrites only the (year, bucket) folders that ``df`` has rows of."""
+    rows = df.withColumns({"year": F.year(ts), "bucket": bucket_of(key, buckets)}).repartitionByRange("year", "bucket", key, ts)
+    mode = "dynamic" if replace else "static"
+    rows.sortWithinPartitions("year", "bucket", key, ts).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("year", "bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, buckets: Sequence[int]) -> DataFrame:
+    """The rows of some buckets of entities; the folders of all others are not read."""
+    return spark.read.parquet(path).where(F.col("bucket").isin(list(buckets))).drop("year", "bucket")
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
