@@ -274,6 +274,44 @@ def _(t):
     return df.withColumns({"size": F.size("features"), **{f"s{i}": c("features")[i] for i in (3, 4, 5, 12, 17, 33, 45, 48, 60, 100)}})
 
 
+# First and last slot, lower and upper bound, shift and width of a span; then what is not a span.
+_SPANS = """(0,2,0,100,0,100),(16,16,0,20,0,20),(17,17,0,1,0,1),(26,32,-1,1,0,1),(34,35,0,100,0,100),(36,36,-20,120,20,140),(40,41,0,1,0,1),(42,42,0,10,0,10),(43,44,0,1,0,1),
+ (47,47,0,10,0,10),(48,48,-0.2,0.2,0,0.2),(49,49,-0.3,0.3,0,0.3),(50,50,-0.5,0.5,0,0.5),(51,51,0,1,0,1),(53,54,0,10,0,10),(55,55,-1,1,0,1),(56,56,0,100,0,100),(58,58,-1,1,0,1),
+ (59,59,0,100,0,100),(60,60,-100,0,100,100),(61,62,0,100,0,100),(63,65,-0.1,0.1,0,0.1),(68,68,-5,5,0,5),(70,70,-0.2,0.2,0,0.2),(71,71,-0.3,0.3,0,0.3),(72,72,-0.5,0.5,0,0.5),
+ (73,73,0,1,0,1),(89,89,-1,1,0,1),(91,91,-0.1,0.1,0,0.1),(92,93,-0.2,0.2,0,0.2),(94,94,0,1,0,1)"""
+
+
+def _wave_sql() -> str:
+    log = "CASE WHEN x < 0 THEN -1 ELSE 1 END * ln(greatest(abs(x), 1)) / 20"
+    return f"""SELECT slot, count(*) AS n, sum(v) AS total, min(v) AS low, max(v) AS high FROM (
+ SELECT slot, CASE WHEN r.a IS NOT NULL THEN (greatest(lo, least(hi, x)) + shift) / width WHEN slot IN (3, 4) THEN greatest(-10, least(30, ln(greatest(x, 1)))) / 20
+  WHEN slot = 5 THEN x / 12 WHEN slot = 6 THEN x / 7 WHEN slot = 7 THEN x / 4 WHEN slot = 8 THEN x / 53 WHEN slot = 33 THEN x / 100
+  WHEN slot = 45 THEN greatest(-2000, least(12000, x)) / 14000 + 0.14 WHEN slot = 46 THEN CASE WHEN abs(x) < 1 THEN 0 ELSE greatest(-1, least(1, {log})) END
+  WHEN slot IN (87, 88, 90) THEN {log} WHEN slot IN (69, 74, 75, 76, 95) THEN x WHEN slot > 95 THEN 0 ELSE tanh(x / 3) END AS v FROM (
+  SELECT slot, CAST((CAST(volume AS BIGINT) * (slot + 3)) % 401 - 200 AS DOUBLE) * CASE slot % 3 WHEN 0 THEN 0.005 WHEN 1 THEN 0.1 ELSE 5 END AS x FROM bars, range(105) s(slot)) y
+ LEFT JOIN (VALUES {_SPANS}) r(a, z, lo, hi, shift, width) ON slot BETWEEN a AND z) GROUP BY slot"""
+
+
+@query("normalized_all_slots", "slot:i n:i total:f4 low high", "VEC-02", "bars", _wave_sql())
+def _(t):
+    """All 105 slots, each over a wave of small and large values of both signs made from the volumes."""
+    x = lambda i: ((c("volume").cast("bigint") * (i + 3)) % 401 - 200).cast("double") * (0.005, 0.1, 5.0)[i % 3]
+    v = vec.normalize(F.array(*[x(i) for i in range(vec.SIZE)]))
+    rows = t.bars().select(F.posexplode(v).alias("slot", "v"))
+    return rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+@query("sequences_all_columns", "entity:i date:d n:i lag_sum close_sum:f3 lag_first close_last:f4", "SEQ-01", "bars",
+       f"""SELECT entity, date, len(s) AS n, list_sum(s) AS lag_sum, list_sum(k) AS close_sum, s[1] AS lag_first, k[-1] AS close_last FROM (
+ SELECT *, {_SEQ} AS s, list(close) OVER ({BY} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS k FROM ({_LAG1})) WHERE len(s) = 30""")
+def _(t):
+    """Both columns of the sequences."""
+    df = seq.make_sequences(_returns(t), ["return_lag_1", "close"], 30)
+    col = lambda j: F.transform("seq", lambda r: r[j])
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda u, w: u + w)
+    return df.withColumns({"n": F.size("seq"), "lag_sum": add(col(0)), "close_sum": add(col(1)), "lag_first": c("seq")[0][0], "close_last": F.element_at("seq", -1)[1]})
+
+
 @query("signed_log_slots", "entity:i date:d s46 s87 s89", "VEC-02", "flows",
        """SELECT entity, date, CASE WHEN abs(net_mf_vol) < 1 THEN 0 ELSE greatest(-1, least(1, ln(abs(net_mf_vol)) / 20 * sign(net_mf_vol))) END AS s46,
  CASE WHEN net_mf_amount < 0 THEN -1 ELSE 1 END * ln(greatest(abs(net_mf_amount), 1)) / 20 AS s87, greatest(-1, least(1, net_mf_vol / 30)) AS s89 FROM flows""")
