@@ -288,14 +288,14 @@ def _wave_sql() -> str:
   WHEN slot = 5 THEN x / 12 WHEN slot = 6 THEN x / 7 WHEN slot = 7 THEN x / 4 WHEN slot = 8 THEN x / 53 WHEN slot = 33 THEN x / 100
   WHEN slot = 45 THEN greatest(-2000, least(12000, x)) / 14000 + 0.14 WHEN slot = 46 THEN CASE WHEN abs(x) < 1 THEN 0 ELSE greatest(-1, least(1, {log})) END
   WHEN slot IN (87, 88, 90) THEN {log} WHEN slot IN (69, 74, 75, 76, 95) THEN x WHEN slot > 95 THEN 0 ELSE tanh(x / 3) END AS v FROM (
-  SELECT slot, CAST((CAST(volume AS BIGINT) * (slot + 3)) % 401 - 200 AS DOUBLE) * CASE slot % 3 WHEN 0 THEN 0.005 WHEN 1 THEN 0.1 ELSE 5 END AS x FROM bars, range(105) s(slot)) y
+  SELECT slot, CAST((CAST(volume AS BIGINT) * (slot + 3)) % 401 - 200 AS DOUBLE) * CASE slot % 3 WHEN 0 THEN 0.00517283 WHEN 1 THEN 0.10314159 ELSE 5.09236713 END AS x FROM bars, range(105) s(slot)) y
  LEFT JOIN (VALUES {_SPANS}) r(a, z, lo, hi, shift, width) ON slot BETWEEN a AND z) GROUP BY slot"""
 
 
 @query("normalized_all_slots", "slot:i n:i total:f4 low high", "VEC-02", "bars", _wave_sql())
 def _(t):
     """All 105 slots, each over a wave of small and large values of both signs made from the volumes."""
-    x = lambda i: ((c("volume").cast("bigint") * (i + 3)) % 401 - 200).cast("double") * (0.005, 0.1, 5.0)[i % 3]
+    x = lambda i: ((c("volume").cast("bigint") * (i + 3)) % 401 - 200).cast("double") * (0.00517283, 0.10314159, 5.09236713)[i % 3]
     v = vec.normalize(F.array(*[x(i) for i in range(vec.SIZE)]))
     rows = t.bars().select(F.posexplode(v).alias("slot", "v"))
     return rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
