@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import attach, discard, numbered, release, stored
 
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
-BLOCK = 1_000_000  # words or phrases that are broadcast at a time
+BLOCK = 400_000  # words or phrases that are broadcast at a time
 SHARD = 1 << 20  # words of a shard
 ROW = 4096  # words that are stored together, so that a batch of rows stays small
 SLICE = 2000  # texts that are encoded at a time
@@ -50,15 +50,16 @@ class Trie:
         parents, labels, begin = [], [], 0
         for d in range(digits):
             arcs, inner = np.unique(node.astype(np.int64) << DIGIT | words >> DIGIT * (digits - 1 - d) & (1 << DIGIT) - 1, return_inverse=True)
-            parents.append(begin + (arcs >> DIGIT))
-            labels.append(arcs & (1 << DIGIT) - 1)
+            parents.append((begin + (arcs >> DIGIT)).astype(np.int32))
+            labels.append((arcs & (1 << DIGIT) - 1).astype(np.int32))
             begin += len(self.roots) if d == 0 else len(parents[d - 1])
             node = inner
+        del arcs, inner, node
         parent, label = np.concatenate(parents), np.concatenate(labels)
         places = _placed(parent, label)
         cell = places[parent] + label
         self.size = int(places.max(initial=0)) + (1 << DIGIT)
-        state = np.concatenate([self.size + np.arange(len(self.roots)), cell])
+        state = np.concatenate([self.size + np.arange(len(self.roots), dtype=np.int32), cell])
         self.base = np.zeros(self.size + len(self.roots), np.int32)
         self.base[state[: len(places)]] = places
         self.base[state[len(state) - len(values) :]] = values
@@ -80,7 +81,7 @@ class Trie:
 def _placed(parent: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Where the cells of each state begin, so that no two arcs share a cell."""
     children = np.bincount(parent)
-    places = np.zeros(len(children), np.int64)
+    places = np.zeros(len(children), np.int32)
     wide = np.flatnonzero(children > _WIDE)
     places[wide] = np.arange(len(wide)) << DIGIT
     low = len(wide) << DIGIT
@@ -89,23 +90,18 @@ def _placed(parent: np.ndarray, label: np.ndarray) -> np.ndarray:
     order = np.argsort(-children[parent], kind="stable")  # the larger ones while there is room
     parent, label = parent[order], label[order]
     span = 3 * len(parent) + (1 << DIGIT)
-    owner, rnd = np.full(span + (1 << DIGIT), -1, np.int64), np.random.default_rng(1)
+    owner, rnd = np.full(span + (1 << DIGIT), -1, np.int32), np.random.default_rng(1)
+    mark = np.zeros(len(owner), np.int32)
     for size in range(_WIDE, 0, -1):
         mine = children[parent] == size
         p, x = parent[mine], label[mine]
         while len(p):
             states, row = np.unique(p, return_inverse=True)
-            tried = rnd.integers(0, span, len(states))
+            tried = rnd.integers(0, span, len(states), np.int32)
             cell = tried[row] + x
             free = owner[cell] < 0
-            mark = np.full(len(owner), -1, np.int64) if len(cell) > 50_000 else None
-            if mark is None:
-                _, first = np.unique(cell, return_index=True)
-                won = np.zeros(len(cell), bool)
-                won[first] = True
-            else:
-                mark[cell] = np.arange(len(cell))
-                won = mark[cell] == np.arange(len(cell))
+            mark[cell] = np.arange(len(cell), dtype=np.int32)  # the last to ask for a cell may have it
+            won = mark[cell] == np.arange(len(cell), dtype=np.int32)
             lost = np.zeros(len(states), bool)
             lost[row[~(free & won)]] = True
             done = ~lost[row]
@@ -265,7 +261,11 @@ def _blocks(rows: DataFrame, number: str, columns: list[str], make) -> Iterator[
     for first in range(0, total, BLOCK):
         part = rows.filter((F.col(number) >= first) & (F.col(number) < first + BLOCK)).select(*columns, number).toArrow()
         part = part.sort_by(number)
-        yield first, part.num_rows, rows.sparkSession.sparkContext.broadcast(make(part))
+        size, made = part.num_rows, make(part)
+        del part
+        release()
+        yield first, size, rows.sparkSession.sparkContext.broadcast(made)
+        del made
 
 
 def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
