@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import round_to
 from barloom.operators.ranking import global_row_number, tie_ranks
+from barloom.session import settle
 from barloom.operators.windows import names, ratio
 
 c = F.col
@@ -47,6 +48,7 @@ def pearson(x: Column, y: Column) -> Column:
 def ic(df: DataFrame, pred: str, target: str) -> DataFrame:
     """Information coefficient: Pearson and Spearman (average ranks) over the whole table, in one row."""
     pairs = df.where(c(pred).isNotNull() & c(target).isNotNull()).select(c(pred).cast("double").alias("_p"), c(target).cast("double").alias("_t"))
+    pairs = settle(pairs)  # range bounds are sampled: evaluate the input once
     ranked = tie_ranks(tie_ranks(pairs, [], "_p", "_rp"), [], "_t", "_rt")
     return ranked.agg(
         F.count(F.lit(1)).alias("n"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barloom.operators.joins import with_scalars
 from barloom.operators.ranking import tie_ranks
 from barloom.operators.windows import ratio
+from barloom.session import settle
 
 c = F.col
 
@@ -195,10 +196,12 @@ def feature_label_corr(df: DataFrame, cols: Sequence[str], y: str, min_pairs: in
     ``place`` numbers the features by |Pearson|, then name.  Ranks are taken per feature inside range partitions, first
     of the feature, then of the label.  Which features are left out: see ``label_pearson``.
     """
-    long = melt(df.where(c(y).isNotNull()).select(c(y).cast("double").alias("_y"), *cols), cols, ["_y"]).where(c("value").isNotNull())
+    # Range bounds are sampled, so the input is evaluated once and kept: the label and the features alone.
+    df = settle(df.where(c(y).isNotNull()).select(c(y).cast("double").alias("_y"), *[c(n).cast("double").alias(n) for n in cols]))
+    long = melt(df, cols, ["_y"]).where(c("value").isNotNull())
     ranked = tie_ranks(tie_ranks(long, ["feature"], "value", "_rx").drop("value"), ["feature"], "_y", "_ry")
     spearman = ranked.groupBy("feature").agg(F.corr("_rx", "_ry").alias("spearman"))
-    out = label_pearson(df, cols, y, min_pairs).join(spearman, "feature")
+    out = label_pearson(df, cols, "_y", min_pairs).join(spearman, "feature")
     # one row per feature
     place = F.row_number().over(Window.orderBy(F.round(F.abs("pearson"), 9).desc(), "feature"))
     return out.select("feature", "n", "pearson", "spearman", (F.abs("pearson") >= 0.9999).alias("near_perfect"), place.alias("place")).orderBy("place")
