@@ -214,7 +214,11 @@ def contaminated(
 def drop_contaminated(
     df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = SIMILARITY
 ) -> DataFrame:
-    """The rows of ``df`` that hold no test item, with all their columns."""
+    """The rows of ``df`` that hold no test item, with all their columns.
+
+    Null and empty texts hold nothing and stay; items without words match nothing, and an item shorter than a seed is its
+    own seed.  Repeated rows stay or go together.  An empty benchmark drops nothing.  Column names are free.
+    """
     name, out = free_name(df.columns, "_text"), df
     for items in _blocks(benchmark, item_col, item_text):
 

@@ -140,7 +140,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``exact_dedup`` keeps, with all their columns."""
+    """The rows that ``exact_dedup`` keeps, with all their columns, whatever their names.
+
+    Null texts count as empty, so of those one row stays; null identifiers come last, and of repeated rows one stays.
+    """
     name = free_name(df.columns, "_kept_columns")
     whole = df.withColumn(name, F.struct(*(F.col(f"`{c}`") for c in df.columns)))
     marked, names = _marked(whole, id_col, F.col(text_col), {name: F.col(name)}, heads_only=True)

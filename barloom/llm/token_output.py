@@ -163,7 +163,11 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 
 def token_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, folder: str | None = None) -> DataFrame:
-    """Encode, write the files to ``folder`` (by default a new one in the shared work folder), read them back and sum them."""
+    """Encode, write the files to ``folder`` (by default a new one in the shared work folder), read them back and sum them.
+
+    Null texts are empty and give the end token alone.  Null identifiers come first in the order; rows with equal
+    identifiers are rows of their own, in any order among them.  Other columns are ignored.  No rows give no rows.
+    """
     spark = df.sparkSession
     folder = folder or f"{work_folder(spark)}/{uuid.uuid4().hex}"
     write_tokens(encoded(df, id_col, text_col, path), folder)

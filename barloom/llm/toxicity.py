@@ -344,7 +344,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", most: float = 0.5) -> DataFrame:
-    """The rows whose score is under ``most``, with all their columns."""
+    """The rows whose score is under ``most``, with all their columns, whatever their names.
+
+    A null text scores as the empty one; repeated rows stay or go together; identifiers play no part.
+    """
     name = free_name(df.columns, "_text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
