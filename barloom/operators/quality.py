@@ -198,9 +198,11 @@ def feature_label_corr(df: DataFrame, cols: Sequence[str], y: str, min_pairs: in
     """
     # Range bounds are sampled, so the input is evaluated once and kept: the label and the features alone.
     df = settle(df.where(c(y).isNotNull()).select(c(y).cast("double").alias("_y"), *[c(n).cast("double").alias(n) for n in cols]))
-    long = melt(df, cols, ["_y"]).where(c("value").isNotNull())
-    ranked = tie_ranks(tie_ranks(long, ["feature"], "value", "_rx").drop("value"), ["feature"], "_y", "_ry")
-    spearman = ranked.groupBy("feature").agg(F.corr("_rx", "_ry").alias("spearman"))
+    # features go by number until the end, which keeps the sorted rows narrow
+    long = df.select("_y", F.posexplode(F.array(*cols)).alias("_f", "_x")).where(c("_x").isNotNull())
+    ranked = tie_ranks(tie_ranks(long, ["_f"], "_x", "_rx").drop("_x"), ["_f"], "_y", "_ry")
+    name = F.element_at(F.array(*[F.lit(n) for n in cols]), c("_f") + 1).alias("feature")
+    spearman = ranked.groupBy("_f").agg(F.corr("_rx", "_ry").alias("spearman")).select(name, "spearman")
     out = label_pearson(df, cols, "_y", min_pairs).join(spearman, "feature")
     # one row per feature
     place = F.row_number().over(Window.orderBy(F.round(F.abs("pearson"), 9).desc(), "feature"))
