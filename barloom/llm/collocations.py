@@ -2,8 +2,8 @@
 
 Frequent words get numbers and texts become arrays of them, cut where no phrase can pass.  Candidates of the next length
 are Apriori-safe: a phrase enters only where the phrase without its last word and the one without its first are
-frequent, seen at the same position.  Pairs, of which that leaves too many, enter only when the sightings of all tasks
-reach the threshold.  Candidates go to the tasks as double-array tries of at most ``BLOCK`` phrases: a word number is read
+frequent, seen at the same position, and where such sightings of all tasks reach the threshold; so the tries hold about as
+much as the result of their level, and passes over the corpus don't grow with what is merely possible.  Candidates go to the tasks as double-array tries of at most ``BLOCK`` phrases: a word number is read
 digit by digit, and numpy advances the states of all positions of a shard at once, a level at a time.  Accepting states
 are counted with bincount and the counts of all shards are summed.
 
@@ -287,8 +287,7 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     trie = lambda t: Trie(t["state"].to_numpy(), t["word"].to_numpy(), t["number"].to_numpy(), digits)
     for k in range(2, longest + 1):
         found = encoded.mapInArrow(_extensions(tries, k), "key long, n long")
-        # sightings are summed for pairs alone: each longer candidate has two frequent phrases inside
-        found = found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least) if k == 2 else found.select("key").distinct()
+        found = found.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         found = found.select(F.shiftright("key", 32).alias("state"), F.col("key").bitwiseAND((1 << 32) - 1).alias("word"))
         candidates = stored(numbered(stored(found), ["state", "word"], "number"))
         seen = []
