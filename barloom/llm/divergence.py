@@ -31,9 +31,9 @@ _TABLE = bytes(32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if c <=
 _OPEN = b"\0"  # ends the prefix of a term that goes on; no term holds it
 
 
-def terms_of(text: str | None) -> list[bytes]:
+def terms_of(text: bytes | None) -> list[bytes]:
     """Maximal runs of ASCII letters and characters beyond ASCII, A-Z lowered, as UTF-8."""
-    return (text or "").encode().translate(_TABLE).split()
+    return (text or b"").translate(_TABLE).split()
 
 
 def _lists(terms: list[list[bytes]], counts: list[Iterable[int]]) -> tuple[pa.Array, pa.Array]:
@@ -121,8 +121,11 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang = b.column(0).dictionary_encode()
         table = pa.table({"lang": lang.indices.take(doc), "term": b.column(2).flatten(), "source": b.column(1).take(doc), "n": b.column(3).flatten()})
         rows = _summed(table, ["lang", "term", "source"], "n")
-        rows = rows.group_by(["lang", "term"], use_threads=False).aggregate([("source", "list"), ("n", "list")])
-        yield _named(rows.rename_columns(["lang", "term", "sources", "counts"]), lang.dictionary)
+        rows = rows.group_by(["lang", "term"], use_threads=False).aggregate([("source", "list"), ("n", "list")]).combine_chunks()
+        held, counts = rows.column("source_list").chunk(0), rows.column("n_list").chunk(0)
+        cells = pa.StructArray.from_arrays([held.values, counts.values], ["source", "n"])
+        rows = rows.select(["lang", "term"]).append_column("cells", pa.ListArray.from_arrays(held.offsets, cells))
+        yield _named(rows, lang.dictionary)
 
 
 def weights(counts: np.ndarray, totals: np.ndarray, v: int) -> np.ndarray:
@@ -171,14 +174,15 @@ def source_divergence(df: DataFrame, text_col: str = "text", lang_col: str = "la
     count as often as they stand there.  Other columns are ignored.
     """
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    docs = df.select(name(lang_col).alias("lang"), name(source_col).alias("source"), name(text_col).alias("text"))
+    docs = df.select(name(lang_col).alias("lang"), name(source_col).alias("source"), name(text_col).cast("binary").alias("text"))
     # 64-bit codes of sources take their place until the end
     docs = stored(docs.mapInArrow(_documents, "lang string, source string, terms array<binary>, counts array<bigint>"))
     kept = stored(kept_terms(docs, least).select("lang", F.col("term").cast("string").alias("term")))
     coded = docs.select("lang", F.xxhash64("source").alias("code"), "terms", "counts")
-    found = coded.mapInArrow(_counts, "lang string, term binary, sources array<bigint>, counts array<bigint>").withColumn("term", F.col("term").cast("string"))
-    found = attach(found, kept, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
-    found = found.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
+    found = coded.mapInArrow(_counts, "lang string, term binary, cells array<struct<source: bigint, n: bigint>>").withColumn("term", F.col("term").cast("string"))
+    # hashed, not sorted: a partition's share of the kept terms is far smaller than that of their counts
+    found = found.join(kept.hint("shuffle_hash"), ["lang", "term"], "left_semi").select("lang", "term", F.explode("cells").alias("x"))
+    found = found.groupBy("lang", "term", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("n"))
     # of each term its count by source: at most one entry for each
     terms = stored(found.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("cells"), F.sum("n").alias("all")))
     totals = terms.select("lang", F.explode("cells").alias("x")).groupBy("lang", F.col("x.source").alias("code")).agg(F.sum("x.n").alias("total"))
