@@ -160,3 +160,11 @@ def test_recursive_macd_and_calendar_text(spark, bars):
         assert close_to(r["macd"], line) and close_to(r["macd_ema_signal"], sig)
     df = price.add_calendar(spark.createDataFrame([("20240101",), ("bad",)], "date string")).orderBy("date").collect()
     assert (df[0]["weekday"], df[0]["week_no"], df[0]["quarter"]) == (0, 1, 1) and df[1]["month"] is None
+
+
+def test_returns_after_a_close_of_zero(spark):
+    from barloom.operators.price import add_returns
+
+    rows = [flat_bar("A", 0, 5.0), flat_bar("A", 1, 0.0), flat_bar("A", 2, 5.0), flat_bar("B", 0, 0.0)]
+    got = [r["close_pct"] for r in add_returns(spark.createDataFrame(rows, BAR)).orderBy("entity", "date").collect()]
+    assert got[:3] == [0.0, -100.0, float("inf")] and got[3] != got[3]  # as floating point divides
