@@ -1,7 +1,8 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies by SimHash and the Jaccard similarity of their word shingles.
 
-Candidates come from MinHash: texts whose ``ROWS`` minima agree in one of ``BANDS`` tables share a bucket there.  A
-pair of similarity 0.8 is missed by all tables with probability (1 - 0.8^5)^28 = 1.5e-5, a closer one more rarely.
+Candidates are all pairs whose SimHash fingerprints differ in three or fewer bits: they meet in one of the 15 tables of
+``simhash``.  Edited texts whose fingerprints lie further apart (about ten bits at a similarity of 0.8) are added by MinHash:
+texts whose ``ROWS`` minima agree in one of ``BANDS`` tables share a bucket there.  A pair of similarity 0.8 is missed by all tables with probability (1 - 0.8^5)^28 = 1.5e-5, a closer one more rarely.
 Inside a bucket whole shingle sets are compared, so a link always stands for a pair of at least that similarity; a
 bucket gives a spanning forest of its links, never all pairs.  Equal sets collapse first.  Oversized buckets are cut
 into blocks and compared block against block in separate groups, so what a task holds at a time is bounded.
@@ -15,9 +16,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm import simhash
 from barloom.llm.common import attach, discard, free_name, release, stored
 from barloom.llm.simhash import components
 
@@ -53,9 +55,10 @@ def _key(found: np.ndarray) -> int:
 def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     for b in batches:
-        sets = list(map(shingles, (t.as_py() for t in b.column(2))))
+        both = [(shingles(t), simhash.fingerprint(t)) for t in (x.as_py() for x in b.column(2))]
+        sets, fps = [s for s, _ in both], np.array([f for _, f in both], np.uint64).view(np.int64)
         keys, sizes = pa.array(list(map(_key, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys, sizes, pa.array(list(map(bands, sets)), pa.list_(pa.int64()))], ["_id", "_digest", "_set", "_size", "_bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys, sizes, pa.array(fps), pa.array(list(map(bands, sets)), pa.list_(pa.int64()))], ["_id", "_digest", "_set", "_size", "_fp", "_bands"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +115,21 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _keys() -> Column:
+    """(t, k) of all tables of a set: those of its fingerprints (every pair within three bits meets in one), then the bands."""
+    masks = [simhash._signed(m) for m in simhash.masks()]
+    of = lambda f: F.array(*(F.struct(F.lit(BANDS + i).alias("t"), f.bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))
+    close = F.array_distinct(F.flatten(F.transform("_fps", of)))
+    return F.concat(close, F.transform("_bands", lambda k, t: F.struct(t.alias("t"), k.alias("k"))))
+
+
 def _pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct sets.  ``rows``: _set, _size, _bands, _digest; ``texts``: _digest, _text."""
-    tables = rows.select("_set", "_size", "_digest", F.posexplode("_bands").alias("t", "k"))
-    sizes = tables.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("m")).filter("n > 1")
+    """Links (u, v) between distinct sets.  ``rows``: _set, _size, _fps, _bands, _digest; ``texts``: _digest, _text."""
+    tables = rows.filter("_size > 0").select("_set", "_size", "_digest", F.explode(_keys()).alias("x")).select("_set", "_size", "_digest", "x.t", "x.k")
+    # Buckets of the same sets give the same links: one of them is compared (members known by 128 bits of hash and their number).
+    members = [F.bit_xor(F.xxhash64("_set", F.lit(i))).alias(f"_x{i}") for i in (0, 1)]
+    sizes = tables.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("m"), *members).filter("n > 1")
+    sizes = sizes.groupBy("n", "m", "_x0", "_x1").agg(F.min(F.struct("t", "k")).alias("b")).select("b.t", "b.k", "n", "m")
     blocks = F.greatest(F.ceil(F.col("n") / SETS), F.ceil(F.col("m") / ELEMENTS))
     tables = stored(tables.join(sizes, ["t", "k"]).select("t", "k", "_set", "_digest", blocks.alias("blocks")))
     wanted = stored(tables.select("_digest", "_set").distinct())
@@ -139,8 +153,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.col(text_col).cast("string")
     texts = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_digest"), text.cast("binary").alias("_text"))
-    rows = stored(texts.mapInArrow(_signed, f"_id {df.schema[id_col].dataType.simpleString()}, _digest long, _set long, _size long, _bands array<bigint>"))
-    sets = stored(rows.groupBy("_set").agg(F.min("_id").alias("_least"), F.min("_digest").alias("_digest"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands")))
+    rows = stored(texts.mapInArrow(_signed, f"_id {df.schema[id_col].dataType.simpleString()}, _digest long, _set long, _size long, _fp long, _bands array<bigint>"))
+    sets = stored(rows.groupBy("_set").agg(F.min("_id").alias("_least"), F.min("_digest").alias("_digest"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands"), F.collect_set("_fp").alias("_fps")))
     roots = components(_pairs(sets, texts.select("_digest", "_text"))).withColumnRenamed("vertex", "_set")
     named = stored(sets.select("_set", "_least").join(roots, "_set", "left").select("_set", "_least", F.coalesce("root", "_set").alias("_root")))
     least = named.groupBy("_root").agg(F.min("_least").alias("_component"))

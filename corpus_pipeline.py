@@ -32,7 +32,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays."""
+    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays;
+    SimHash gives the candidates, MinHash those that differ in more than three bits."""
     return near_copies.drop_near_copies(docs)
 
 
@@ -54,7 +55,7 @@ STAGES = [
     ("byte-level bpe", encode),
 ]
 
-#: Toxicity, shingle similarity, alignment and BPE have no SQL form; tests/llm compares each stage with a brute-force version.
+#: Toxicity, SimHash, shingle similarity, alignment and BPE have no SQL form; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from barloom.llm import near_copies
+from barloom.llm import near_copies, simhash
 from llm_fixtures import docs, none, odd, texts  # noqa: F401
 
 
@@ -68,3 +68,17 @@ def test_near_copies_odd_rows(odd, none):
     out = near_copies.drop_near_copies(odd)
     assert out.schema == odd.schema and near_copies.drop_near_copies(none).count() == 0
     assert sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == [1, 1, 2, 5, 7, 9]
+
+
+def test_simhash_alone_links_close_fingerprints(spark):
+    """Without MinHash tables, pairs within three bits are still compared and linked by their similarity."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 30, 3000)]
+    texts = [" ".join(x).encode() for x in (base, [*base[:-1], "z"], ["y", *base[1:]], base[:1500])]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert all((fps[0] ^ x).bit_count() <= 3 for x in fps[1:3])
+    rows = [(i, len(near_copies.shingles(t)), i, [int(np.uint64(f).view(np.int64))], []) for i, (t, f) in enumerate(zip(texts, fps, strict=True))]
+    sets = spark.createDataFrame(rows, "_set long, _size long, _digest long, _fps array<long>, _bands array<long>")
+    held = spark.createDataFrame(list(enumerate(map(bytearray, texts))), "_digest long, _text binary")
+    roots = simhash.components(near_copies._pairs(sets, held)).collect()
+    assert {(r["vertex"], r["root"]) for r in roots} == {(0, 0), (1, 0), (2, 0)}
