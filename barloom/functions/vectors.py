@@ -154,10 +154,16 @@ def pack_vector(df: DataFrame, layout=LAYOUT, out: str = "features") -> DataFram
 def normalize(col: Column) -> Column:
     """Every slot scaled by its rule; non-finite input counts as 0, slots from 96 on become 0.
 
-    One ``transform`` over the array: the slot number walks a balanced tree of conditions to its rule, so the
-    array is read once and the generated code stays small.
+    Arrays of the layout's size are built slot by slot, in generated code.  Others go through one ``transform``, which
+    Spark interprets: there the slot number walks a balanced tree of conditions to its rule.  ``col`` should be a column, not
+    an expression, since each slot reads it.
     """
-    return F.transform(col, lambda x, i: _by_slot(finite_or_zero(x), i, SCALES))
+    slots = [F.lit(0.0)] * SIZE
+    for first, last, kind, p in SCALES:
+        for i in range(first, last + 1):
+            slots[i] = scale_slot(finite_or_zero(F.get(col, F.lit(i))), kind, p)
+    other = F.transform(col, lambda x, i: _by_slot(finite_or_zero(x), i, SCALES))
+    return F.when(F.size(col) == SIZE, F.array(*slots)).otherwise(other)
 
 
 def _by_slot(x: Column, i: Column, rules: list) -> Column:
