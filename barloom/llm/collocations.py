@@ -5,7 +5,7 @@ are Apriori-safe: a phrase enters only where the phrase without its last word an
 frequent, seen at the same position, and where such sightings of all tasks reach the threshold; so the tries hold about as
 much as the result of their level, and passes over the corpus don't grow with what is merely possible.  Candidates go to the tasks as double-array tries of at most ``BLOCK`` phrases: a word number is read
 digit by digit, and numpy advances the states of all positions of a shard at once, a level at a time.  Accepting states
-are counted with bincount and the counts of all shards are summed.
+are counted with bincount; a task sums those of its shards and gives them in rows of ``PART`` phrases, which are added up.
 
 A task holds one trie at a time, so its memory does not grow with the number of phrases.
 """
@@ -28,6 +28,7 @@ from barloom.llm.common import attach, discard, numbered, release, stored
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 BLOCK = 400_000  # words or phrases that are broadcast at a time
 SHARD = 1 << 20  # words of a shard
+PART = 1024  # phrases whose counts leave a task in one row
 ROW = 4096  # words that are stored together, so that a batch of rows stays small
 SLICE = 2000  # texts that are encoded at a time
 DIGIT = 6  # bits of a word number that a level of a trie reads
@@ -239,7 +240,7 @@ def _extensions(tries: list[list[Broadcast]], k: int):
 
 
 def _counted(tries: list[list[Broadcast]], block: Broadcast, k: int, first: int, size: int):
-    """(number, n): occurrences of the candidates of one block."""
+    """(part, counts): occurrences of the candidates of one block, ``PART`` consecutive ones in a row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -249,8 +250,33 @@ def _counted(tries: list[list[Broadcast]], block: Broadcast, k: int, first: int,
             live = np.flatnonzero((states[: len(ids) - k + 1] >= 0) & (ids[k - 1 :] >= 0)) if len(ids) >= k else np.zeros(0, np.int64)
             _, number = block.value.advance(states[live], ids[live + k - 1])
             total += np.bincount(number - first, minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at + first), pa.array(total[at])], ["number", "n"])
+        rows = [(i, total[i : i + PART]) for i in range(0, size, PART) if total[i : i + PART].any()]
+        counts = pa.array([x for _, x in rows], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([first + i for i, _ in rows], pa.int64()), counts], ["part", "counts"])
+
+    return run
+
+
+def _summed(least: int):
+    """Pass over rows sorted by part: (number, f) of the candidates with f >= ``least``, their counts in all tasks summed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held, part = np.zeros(0, np.int64), -1
+
+        def out():
+            at = np.flatnonzero(held >= least)
+            return pa.RecordBatch.from_arrays([pa.array(at + part), pa.array(held[at])], ["number", "f"])
+
+        for b in batches:
+            for p, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if p != part:
+                    if part >= 0:
+                        yield out()
+                    held, part = np.zeros(len(counts), np.int64), p
+                held = held + counts.values.to_numpy()
+        if part >= 0:
+            yield out()
 
     return run
 
@@ -292,8 +318,9 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
         candidates = stored(numbered(stored(found), ["state", "word"], "number"))
         seen = []
         for first, n, block in _blocks(candidates, "number", ["state", "word"], trie):
-            rows = encoded.mapInArrow(_counted(tries, block, k, first, n), "number long, n long")
-            seen.append(stored(rows.groupBy("number").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)))
+            rows = encoded.mapInArrow(_counted(tries, block, k, first, n), "part long, counts array<bigint>")
+            rows = rows.repartition("part").sortWithinPartitions("part")
+            seen.append(stored(rows.mapInArrow(_summed(least), "number long, f long")))
             block.destroy()
         if not seen:
             break

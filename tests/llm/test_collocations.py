@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from barloom.llm import collocations
 from llm_fixtures import none, odd  # noqa: F401
@@ -77,3 +78,19 @@ def test_odd_rows(odd, none):
     df = odd.selectExpr("*", "case when doc_id > 3 then null else 'en' end as lang", "'q' as words", "'q' as phrase", "'q' as f")
     assert got(df, least=2) == brute([(r["lang"], r["text"]) for r in df.collect()], 2)
     assert collocations.collocations(none.selectExpr("*", "'en' as lang")).count() == 0
+
+
+def test_counts_leave_a_task_in_few_rows():
+    """A task gives one row for PART phrases, and the sums over tasks are those of plain counting."""
+    rng, digits, size = np.random.default_rng(5), 1, 50 * 50
+    pairs = np.arange(size)
+    trie = collocations.Trie(pairs // 50, pairs % 50, pairs.astype(np.int32), digits)
+    block = type("Block", (), {"value": trie})()
+    tasks = [rng.integers(0, 50, 30_000).astype(np.int32) for _ in range(3)]
+    batch = lambda ids: pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32()))], ["ids"])
+    given = [x for ids in tasks for x in collocations._counted([], block, 2, 0, size)([batch(ids)])]
+    assert all(x.num_rows <= -(-size // collocations.PART) for x in given)
+    rows = pa.Table.from_batches(given).sort_by("part")
+    found = pa.Table.from_batches(list(collocations._summed(36)(rows.to_batches())))
+    want = Counter(int(a) * 50 + int(b) for ids in tasks for a, b in zip(ids, ids[1:]))
+    assert dict(zip(found["number"].to_pylist(), found["f"].to_pylist(), strict=True)) == {k: n for k, n in want.items() if n >= 36}
