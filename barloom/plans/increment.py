@@ -68,6 +68,16 @@ def write_states(spark: SparkSession, panel: str, states: str, since: int | None
         last = spark.read.parquet(path)
 
 
+def write_state_before(spark: SparkSession, panel: str, states: str, min_date: date, tail: int = TAIL, origin=None, key: str = "entity", ts: str = "date") -> None:
+    """The one state that a run from ``min_date`` on needs, that of the year before, from all bars up to its end at once.
+
+    It is what :func:`write_states` has for that year, without the states of the years before it.  A panel that begins
+    with the year of ``min_date`` needs no state; an empty one is written, so that there is something to read.
+    """
+    bars = read_panel(spark, panel, end=date(min_date.year - 1, 12, 31), key=key, ts=ts).drop("year")
+    roll_state(bars, None, tail, origin, key, ts).write.mode("overwrite").parquet(f"{states.rstrip('/')}/year={min_date.year - 1}")
+
+
 def rows_since(spark: SparkSession, panel: str, states: str, min_date: date, key: str = "entity", ts: str = "date") -> DataFrame:
     """Bars from which every feature at or after ``min_date`` can be computed, with the totals before them."""
     new = read_panel(spark, panel, date(min_date.year, 1, 1), key=key, ts=ts).drop("year")
