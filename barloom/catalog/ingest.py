@@ -137,6 +137,7 @@ def _message(rows, kind: str, fields: dict, day: str, seq: int = 0):
 def _landed(t):
     """Bars from 1998 on as payloads of two kinds, every fifth day landed again, and a macro series; (payloads, stored tables)."""
     day = lambda n: F.date_format(n, "yyyyMMdd")
+    t = t.with_stored_bars("close", "volume")
     bars, macro = t.bars(), t.index_bars().where("code = 'usdcnh'")
     new, old = bars.where("date >= '1998-01-01'"), bars.where("date < '1999-01-01'")
     vol = F.when(c("volume") > 30, "n/a").otherwise(c("volume").cast("string"))
@@ -154,30 +155,36 @@ def _landed(t):
     return out, {"stock_daily": stock, "index_daily": stock, "macro_daily": held, "express": filings}
 
 
+def _after_landing(t, kind: str):
+    """One table after everything landed: the payloads of kinds without a table are left out, so no other is parsed for it."""
+    landed, tables = _landed(t)
+    return landing.land(landed, {kind: tables[kind]})[kind]
+
+
 @query("landing_keep", "ts_code:s trade_date:d close:f4 vol", "SRC-02 UPS-02 UPS-07 (loader map)", "stock_old stock_new",
        "SELECT * FROM stock_old UNION ALL SELECT * FROM stock_new n WHERE NOT EXISTS (SELECT 1 FROM stock_old o WHERE o.ts_code = n.ts_code AND o.trade_date = n.trade_date)")
 def _(t):
-    return landing.land(*_landed(t))["stock_daily"]
+    return _after_landing(t, "stock_daily")
 
 
 @query("landing_replace", "ts_code:s trade_date:d close:f4 vol", "SRC-02 UPS-01 UPS-07 (loader map)", "stock_old stock_new",
        "SELECT * FROM stock_new UNION ALL SELECT * FROM stock_old o WHERE NOT EXISTS (SELECT 1 FROM stock_new n WHERE o.ts_code = n.ts_code AND o.trade_date = n.trade_date)")
 def _(t):
-    return landing.land(*_landed(t))["index_daily"]
+    return _after_landing(t, "index_daily")
 
 
 @query("landing_coalesce_new", "trade_date:d usd_cny_rate:f4 gold_price:f4", "SRC-02 UPS-04 (loader map)", "macro_old macro_new",
        """SELECT trade_date, coalesce(n.usd_cny_rate, o.usd_cny_rate) AS usd_cny_rate, coalesce(n.gold_price, o.gold_price) AS gold_price
  FROM macro_old o FULL JOIN macro_new n USING (trade_date)""")
 def _(t):
-    return landing.land(*_landed(t))["macro_daily"]
+    return _after_landing(t, "macro_daily")
 
 
 @query("landing_append", "ts_code:s ann_date:d revenue:f4", "SRC-02 UPS-11 (loader map)", "bars",
        """SELECT CAST(entity AS VARCHAR) AS ts_code, date AS ann_date, close AS revenue FROM bars WHERE date < DATE '1999-01-01'
  UNION ALL SELECT CAST(entity AS VARCHAR), date, close FROM bars WHERE date >= DATE '1998-01-01'""")
 def _(t):
-    return landing.land(*_landed(t))["express"]
+    return _after_landing(t, "express")
 
 
 # -------------------------------------------------------------------------------------------- upserts
