@@ -20,6 +20,7 @@ from barloom.plans import signals as sg
 from barloom.plans import validation as va
 from barloom.functions import vectors as vec
 from barloom.catalog.features import ema_sql, _TR
+from barloom.session import settle
 from barloom.sources.tables import day_number
 
 c = F.col
@@ -77,7 +78,8 @@ def boosted_rows(t):
     from barloom.operators.price import residual_label
 
     feats = ["return_lag_1", "return_lag_2", "return_lag_3", "volume"]
-    df = add_labels(add_lag_returns(t.bars())).select(*KEYS, *feats, "next_day_return").where(c("next_day_return").isNotNull())
+    # Fitting and applying the trees read the rows many times: they are made once.
+    df = settle(add_labels(add_lag_returns(t.bars())).select(*KEYS, *feats, "next_day_return").where(c("next_day_return").isNotNull()))
     model = so.fit_base(df, feats, "next_day_return", rounds=5, depth=3, fit_until="1998-01-01")
     return residual_label(so.predict_base(model, df, feats), "base_pred")
 
@@ -137,6 +139,7 @@ add_view("ctx", "preds dim ind val", _CTX)
 
 
 def _context(t):
+    t = t.with_stored_bars("open", "high", "low", "close", "volume", "disc", "tax")
     feats = indicators(t).join(t.valuation().select(*KEYS, "total_mv", "pe_ttm", "pb"), KEYS, "left")
     return sg.signal_context(t.preds(), t.dim(), feats)
 
