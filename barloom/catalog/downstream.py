@@ -44,8 +44,8 @@ add_view(
 )
 
 
-def indicators(t):
-    df = add_momentum(add_returns(t.bars()), (5,), key="entity")
+def indicators(t, bars=None):
+    df = add_momentum(add_returns(t.bars() if bars is None else bars), (5,), key="entity")
     return add_adx(add_volume_features(add_bollinger(add_macd(add_rsi(df)))))
 
 
@@ -139,9 +139,8 @@ add_view("ctx", "preds dim ind val", _CTX)
 
 
 def _context(t):
-    t = t.with_stored_bars("open", "high", "low", "close", "volume", "disc", "tax")
-    feats = indicators(t).join(t.valuation().select(*KEYS, "total_mv", "pe_ttm", "pb"), KEYS, "left")
-    return sg.signal_context(t.preds(), t.dim(), feats)
+    t = t.with_stored_bars("open", "high", "low", "close", "volume", "disc")
+    return sg.signal_context(t.preds(), t.dim(), indicators(t, t.bars_with_value()))
 
 
 @query("signal_context", "entity:i date:d industry:s predicted_return confidence rsi_14 macd_histogram:f4 bb_percent_b volume_ratio price_momentum_5 adx_14 total_mv:f4 pe_ttm pb",
