@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.joins import with_scalars
-from barloom.operators.ranking import tie_ranks
+from barloom.operators.ranking import rank_correlations
 from barloom.operators.windows import ratio
 from barloom.session import settle
 
@@ -193,16 +193,13 @@ def label_pearson(df: DataFrame, cols: Sequence[str], y: str, min_pairs: int = 3
 def feature_label_corr(df: DataFrame, cols: Sequence[str], y: str, min_pairs: int = 30) -> DataFrame:
     """Pearson and Spearman of every feature with the label over pairwise non-null rows, strongest |Pearson| first.
 
-    ``place`` numbers the features by |Pearson|, then name.  Ranks are taken per feature inside range partitions, first
-    of the feature, then of the label.  Which features are left out: see ``label_pearson``.
+    ``place`` numbers the features by |Pearson|, then name.  The label is sorted once
+    for all features (``rank_correlations``).  Which features are left out: see ``label_pearson``.
     """
     # Range bounds are sampled, so the input is evaluated once and kept: the label and the features alone.
     df = settle(df.where(c(y).isNotNull()).select(c(y).cast("double").alias("_y"), *[c(n).cast("double").alias(n) for n in cols]))
-    # features go by number until the end, which keeps the sorted rows narrow
-    long = df.select("_y", F.posexplode(F.array(*cols)).alias("_f", "_x")).where(c("_x").isNotNull())
-    ranked = tie_ranks(tie_ranks(long, ["_f"], "_x", "_rx").drop("_x"), ["_f"], "_y", "_ry")
     name = F.element_at(F.array(*[F.lit(n) for n in cols]), c("_f") + 1).alias("feature")
-    spearman = ranked.groupBy("_f").agg(F.corr("_rx", "_ry").alias("spearman")).select(name, "spearman")
+    spearman = rank_correlations(df, cols, "_y").select(name, "spearman")
     out = label_pearson(df, cols, "_y", min_pairs).join(spearman, "feature")
     # one row per feature
     place = F.row_number().over(Window.orderBy(F.round(F.abs("pearson"), 9).desc(), "feature"))
