@@ -15,17 +15,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.windows import running
+from barloom.session import settle_by
 
 c = F.col
 
 
-def add_row_index(df: DataFrame, key: str = "entity", ts: str = "date", period: str = "month") -> DataFrame:
+def add_row_index(df: DataFrame, key: str = "entity", ts: str = "date", period: str = "month", rows: int = 0) -> DataFrame:
     """``_row``: 1..n per entity in time order.
 
     Rows are counted per (entity, period) first; only those counts are summed along the entity, and row
-    numbers are taken inside a period, so no task sees more than one period of one entity.
+    numbers are taken inside a period, so no task sees more than one period of one entity.  ``df`` is evaluated once and
+    stored by entity and period, where rows are counted, numbered and given their start; ``rows``: see ``parts_of``.
     """
-    marked = df.withColumn("_period", F.date_trunc(period, ts))
+    marked = settle_by(df.withColumn("_period", F.date_trunc(period, ts)), (key, "_period"), ts, rows)
     sizes = marked.groupBy(key, "_period").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(key, "_period", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
@@ -42,6 +44,7 @@ def in_blocks(
     key: str = "entity",
     ts: str = "date",
     period: str = "month",
+    rows: int = 0,
 ) -> DataFrame:
     """Run ``build(df, key_columns)`` on blocks of each entity and keep every row once.
 
@@ -56,7 +59,7 @@ def in_blocks(
         F.array(home, F.when(place >= size - overlap, home + 1), F.when((place < ahead) & (home > 0), home - 1))
     )
     spread = (
-        add_row_index(df, key, ts, period)
+        add_row_index(df, key, ts, period, rows)
         .withColumns({"_home": home, "_homes": homes})
         .withColumn("_block", F.explode("_homes"))
         .withColumn("_own", c("_block") == c("_home"))
@@ -66,10 +69,10 @@ def in_blocks(
 
 
 def running_sum_in_blocks(
-    df: DataFrame, value: str, out: str, size: int = 4096, key: str = "entity", ts: str = "date", period: str = "month"
+    df: DataFrame, value: str, out: str, size: int = 4096, key: str = "entity", ts: str = "date", period: str = "month", rows: int = 0
 ) -> DataFrame:
     """Running sum along each entity: a running sum per block plus the totals of the blocks before."""
-    cut = add_row_index(df, key, ts, period).withColumn("_block", F.floor((c("_row") - 1) / size))
+    cut = add_row_index(df, key, ts, period, rows).withColumn("_block", F.floor((c("_row") - 1) / size))
     totals = cut.groupBy(key, "_block").agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_before"))
